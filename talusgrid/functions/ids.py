@@ -58,7 +58,7 @@ def release_date(text: Column) -> Column:
 
 def log_month(log_id: Column) -> Column:
     """The month in an id ``prefix_<base-36 milliseconds>_<suffix>``."""
-    ms = F.conv(F.upper(F.split(log_id, "_")[1]), 36, 10).cast("long")
+    ms = F.conv(F.upper(F.get(F.split(log_id, "_"), F.lit(1))), 36, 10).cast("long")
     return F.date_format(F.timestamp_millis(ms), "yyyy-MM")
 
 

@@ -75,7 +75,7 @@ def read_monthly(spark: SparkSession, path: str, schema: str, first: str | None
 def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
     """Terms of a tab-separated file; lines that begin with # and blank ones are passed over."""
     rows = spark.read.text(path).where(~F.rlike("value", F.lit(r"^\s*(#|$)")))
-    return rows.select(F.trim(F.split("value", "\t")[0]).alias("term"), F.split("value", "\t")[1].try_cast("long").alias("n"))
+    return rows.select(F.trim(F.split("value", "\t")[0]).alias("term"), F.get(F.split("value", "\t"), F.lit(1)).try_cast("long").alias("n"))
 
 
 def write_lexicon(terms: DataFrame, path: str) -> None:
