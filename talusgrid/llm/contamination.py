@@ -7,8 +7,9 @@ window of the class, so that a passage with an item's shingles lies in one
 window whose size is near the item's.  Items and windows have MinHash
 signatures of ``HASHES`` values (a longer class's run is the minimum of two
 shorter ones), and one equal value makes a pair a candidate: an item of which
-80 % stands in a window is missed with a chance below one in a million.  A
-candidate counts if the document holds at least ``min_containment`` of the
+80 % stands in a window is missed with a chance of about one in a million.  Items of
+up to half of the least class have all their shingles as their signature, and
+are looked up with every shingle of a document.  A candidate counts if the document holds at least ``min_containment`` of the
 item's distinct shingles, compared as text.  Documents are only scanned:
 nothing of them is shuffled.
 
@@ -36,6 +37,8 @@ from .common import pieces, text_bytes
 SHINGLE = 5
 HASHES = 64
 LEAST_CLASS = 16
+#: The class of items too short for windows of ``LEAST_CLASS`` runs.
+SMALL = 0
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _R = np.uint64(0x9E3779B97F4A7C15)
@@ -106,11 +109,13 @@ class ItemIndex:
                 by[s] = key
         index = cls(list(by.values()), list(by))
         for i, s in enumerate(index.shingles):
-            size = LEAST_CLASS
-            while size < len(s):
+            size = SMALL if len(s) <= LEAST_CLASS // 2 else LEAST_CLASS
+            while size and size < len(s):
                 size *= 2
             index.classes.setdefault(size, []).append(i)
         for size, members in index.classes.items():
+            if size == SMALL:
+                continue
             rows = []
             for i in members:
                 h, _ = shingle_hashes([x for x in index.shingles[i]])
@@ -119,14 +124,23 @@ class ItemIndex:
         return index
 
     def lookup(self):
-        """Per class and hash: a bit map over upper bits, the sorted values, and their items."""
+        """Per class: a bit map for each hash over mixed values, the sorted values, and their items."""
         tables = {}
+        if SMALL in self.classes:
+            pairs = [(h, i) for i in self.classes[SMALL] for h in shingle_hashes(sorted(self.shingles[i]))[0].tolist()]
+            values, items = np.array([h for h, _ in pairs], np.uint64), np.array([i for _, i in pairs])
+            bits = min(24, max(12, len(pairs).bit_length() + 8))
+            seen = np.zeros(1 << bits, bool)
+            seen[values >> np.uint64(64 - bits)] = True
+            order = np.argsort(values)
+            tables[SMALL] = (bits, seen, values[order], items[order])
         for size, rows in self.signatures.items():
-            bits = min(26, max(12, int(len(rows)).bit_length() + 7))
+            bits = min(24, max(12, int(len(rows)).bit_length() + 8))
             maps = np.zeros((HASHES, 1 << bits), bool)
-            maps[np.arange(HASHES)[None, :], rows >> np.uint64(64 - bits)] = True
+            # minima are small numbers, so their own upper bits would hardly differ
+            maps[np.arange(HASHES)[None, :], (rows * _MIX) >> np.uint64(64 - bits)] = True
             order = np.argsort(rows, axis=0)
-            tables[size] = (bits, maps, np.take_along_axis(rows, order, 0), np.asarray(self.classes[size])[order])
+            tables[size] = (bits, maps, np.ascontiguousarray(np.take_along_axis(rows, order, 0).T), np.asarray(self.classes[size])[order].T)
         return tables
 
     def candidates(self, h: np.ndarray, count: np.ndarray, tables) -> set[tuple[int, int]]:
@@ -134,13 +148,30 @@ class ItemIndex:
         found: set[tuple[int, int]] = set()
         if not len(h) or not tables:
             return found
+        if SMALL in tables:
+            bits, seen, values, items = tables[SMALL]
+            w = np.flatnonzero(seen[h >> np.uint64(64 - bits)])
+            near, after = (np.searchsorted(values, h[w], side) for side in ("left", "right"))
+            owners = np.searchsorted(np.cumsum(count), w, "right")
+            for i in np.flatnonzero(after > near):
+                found.update((int(owners[i]), int(x)) for x in items[near[i] : after[i]])
+            if len(tables) == 1:
+                return found
         texts = np.flatnonzero(count)
         count = count[texts]
         first = np.cumsum(count) - count
         runs = -(-count // LEAST_CLASS)
         owner = np.repeat(np.arange(len(texts)), runs)
         begin = first[owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(runs) - runs, runs)) * LEAST_CLASS
-        low = [np.minimum.reduceat(h * a, begin) for a in _A]
+        # one row for each place in a run, a run that is cut short repeats its text's last shingle
+        final = (first + count - 1)[owner]
+        placed = np.stack([h[np.minimum(begin + j, final)] for j in range(LEAST_CLASS)])
+        low = []
+        for a in _A:
+            least = placed[0] * a
+            for row in placed[1:]:
+                np.minimum(least, row * a, out=least)
+            low.append(least)
         size = LEAST_CLASS
         while True:
             if size in tables:
@@ -150,12 +181,13 @@ class ItemIndex:
                 for k in range(HASHES):
                     both = np.minimum(low[k][pair], low[k][pair + 1])
                     for window, who in ((both, owner[pair]), (low[k][alone], owner[alone])):
-                        for w in np.flatnonzero(maps[k][window >> np.uint64(64 - bits)]):
-                            v = window[w]
-                            at = np.searchsorted(values[:, k], v)
-                            while at < len(values) and values[at, k] == v:
-                                found.add((int(texts[who[w]]), int(items[at, k])))
-                                at += 1
+                        w = np.flatnonzero(maps[k][(window * _MIX) >> np.uint64(64 - bits)])
+                        if not len(w):
+                            continue
+                        near, after = (np.searchsorted(values[k], window[w], side) for side in ("left", "right"))
+                        for i in np.flatnonzero(after > near):
+                            text = int(texts[who[w[i]]])
+                            found.update((text, int(x)) for x in items[k, near[i] : after[i]])
             if size >= max(tables):
                 return found
             size *= 2
