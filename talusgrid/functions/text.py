@@ -90,10 +90,14 @@ def clip(text: Column, most: int = 240) -> Column:
 
 def phrases(text: Column, width: int = 4, most: int = 5) -> Column:
     """The first distinct phrases of ``width`` words with a capital or a digit after the lead word."""
-    words = F.filter(F.split(text, r"\s+"), lambda x: x != "")
-    starts = F.when(F.size(words) >= width, F.sequence(F.lit(1), F.size(words) - (width - 1))).otherwise(F.array().cast("array<int>"))
-    runs = F.transform(starts, lambda i: F.array_join(F.slice(words, i, width), " "))
-    return F.slice(F.array_distinct(F.filter(runs, lambda p: p.rlike(r"\s[^\s]*[A-Z0-9]"))), 1, most)
+    def pick(words: Column) -> Column:
+        starts = F.when(F.size(words) >= width, F.sequence(F.lit(1), F.size(words) - (width - 1))).otherwise(F.array().cast("array<int>"))
+        runs = F.transform(starts, lambda i: F.array_join(F.slice(words, i, width), " "))
+        return F.slice(F.array_distinct(F.filter(runs, lambda p: p.rlike(r"\s[^\s]*[A-Z0-9]"))), 1, most)
+
+    # through a one-element array, so that the text is split once a row and not once a run
+    words = F.array(F.filter(F.split(text, r"\s+"), lambda x: x != ""))
+    return F.element_at(F.transform(words, pick), 1)
 
 
 def json_block(text: Column) -> Column:
