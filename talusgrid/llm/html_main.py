@@ -39,18 +39,21 @@ MARKS = frozenset(
     "sidebar aside menu nav navbar navigation breadcrumb breadcrumbs comment comments disqus reply replies respond share sharing social related "
     "recommended newsletter subscribe subscription signup login search pagination pager footer masthead toolbar complementary contentinfo hidden".split()
 )
+#: Marks that whole pages carry on their outer elements too: there they do not reach an article inside.
+LAYOUT = frozenset("sidebar menu nav navbar navigation banner header footer masthead toolbar social share sharing modal overlay popup".split())
 _PARTS = re.compile(r"[^a-z0-9]+")
 _SPACE = re.compile(r"\s+")
 
 
-def marked(attributes: list[tuple[str, str | None]]) -> bool:
+def marks(attributes: list[tuple[str, str | None]]) -> set[str]:
+    """The marks that an element's attributes carry."""
+    found: set[str] = set()
     for name, value in attributes:
-        if name in ("class", "id", "role", "aria-label") and value and name != "aria-label":
-            if not MARKS.isdisjoint(_PARTS.split(value.lower())):
-                return True
+        if name in ("class", "id", "role") and value:
+            found.update(MARKS.intersection(_PARTS.split(value.lower())))
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and value and "display:none" in value.replace(" ", "")):
-            return True
-    return False
+            found.add("hidden")
+    return found
 
 
 class Lines(HTMLParser):
@@ -58,13 +61,13 @@ class Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool, bool]] = []  # tag, container or -1, unseen, aside
+        self.stack: list[tuple[str, int, bool, int, bool]] = []  # tag, container or -1, unseen, change of aside, firm
         self.kinds: list[str] = []
         self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
         self.path: tuple[int, ...] = ()
         self.parts: list[str] = []
         self.tags = 0
-        self.unseen = self.aside = 0
+        self.unseen = self.aside = self.firm = 0
 
     def flush(self) -> None:
         text = _SPACE.sub(" ", "".join(self.parts)).strip()
@@ -74,9 +77,10 @@ class Lines(HTMLParser):
             self.tags = 0
 
     def pop(self) -> None:
-        _, container, unseen, aside = self.stack.pop()
+        _, container, unseen, aside, firm = self.stack.pop()
         self.unseen -= unseen
         self.aside -= aside
+        self.firm -= firm
         if container >= 0:
             self.path = self.path[:-1]
 
@@ -102,11 +106,19 @@ class Lines(HTMLParser):
             container = len(self.kinds)
             self.kinds.append("main" if ("role", "main") in attrs else tag)
             self.path += (container,)
-        header = tag == "header" and not any(t in ("article", "main") for t, *_ in self.stack)
-        aside = tag in ASIDE or header or (tag not in ("html", "body", "article", "main") and marked(attrs))
-        self.stack.append((tag, container, tag in UNSEEN, aside))
+        inside = any(t in ("article", "main") for t, *_ in self.stack)
+        firm = tag in ASIDE or (tag == "header" and not inside)
+        if tag in ("article", "main"):
+            # an outer element's layout marks end here
+            aside = 0 if inside or self.firm else -self.aside
+        else:
+            found = marks(attrs) if tag not in ("html", "body") else set()
+            firm = firm or not found <= LAYOUT
+            aside = int(firm or bool(found))
+        self.stack.append((tag, container, tag in UNSEEN, aside, firm))
         self.unseen += tag in UNSEEN
         self.aside += aside
+        self.firm += firm
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)

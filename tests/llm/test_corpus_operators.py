@@ -325,6 +325,8 @@ def test_main_text():
     assert html_main.main_lines(PAGE) == ["Head line", "First é paragraph with bold words, that goes on for a while.", "Short.", "Quoted text of some length stands here <b>.", "item one", "item two"]
     bare = "<div id=nav-menu><a>a</a><a>b</a></div><div><div><p>" + "Long text. " * 30 + "</p><p>" + "More text. " * 30 + "</p></div></div><div class=footer>end</div>"
     assert [x[:10] for x in html_main.main_lines(bare)] == ["Long text.", "More text."]
+    wrapped = "<div class='page with-sidebar'><div class=sidebar>Links and more links</div><article><p>Body of it.</p><div class=comments><article>Nice!</article></div></article></div>"
+    assert html_main.main_lines(wrapped) == ["Body of it."]
     assert html_main.main_lines("just words\n here") == ["just words here"]
     assert html_main.main_lines(None) == html_main.main_lines("") == html_main.main_lines("<p></p>") == []
     assert html_main.main_lines("<article><p>cut <b>off") == ["cut off"]
