@@ -38,7 +38,3 @@ def new_entries(seen: DataFrame, found: DataFrame, key: str, order: Column, rece
     top = seen.agg(F.max(order).alias("_top"))
     fresh = found.join(seen.select(key), key, "left_anti").crossJoin(F.broadcast(top))  # one row
     return fresh.where((order > F.coalesce("_top", F.lit(float("-inf")))) | recent).drop("_top")
-
-
-def save_sorted_postings(postings: DataFrame, path: str) -> None:
-    postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(path)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import ids
 
@@ -90,8 +90,6 @@ def events_of_stream(lines: DataFrame, key: str, order: str, text: str) -> DataF
     """The data of the last complete event of server-sent event lines, per key."""
     field = F.regexp_extract(text, r"^(event|data):\s?(.*)$", 1)
     value = F.regexp_extract(text, r"^(event|data):\s?(.*)$", 2)
-    from pyspark.sql import Window
-
     w = Window.partitionBy(key).orderBy(order)
     named = lines.withColumn("_event", F.last(F.when(field == "event", value), ignorenulls=True).over(w)).withColumn("_field", field).withColumn("_value", value)
     done = named.where((F.col("_field") == "data") & (F.col("_event") == "complete"))
