@@ -211,7 +211,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     found = components(docs, id_col, text_col).where(F.col(id_col).isNotNull())
     firsts = materialize(found.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).count(), "firsts")
-    kept = docs.join(firsts.select(id_col), id_col, "left_semi").select(docs.columns)
+    # nearly all ids are kept, so this side is no broadcast but at the smallest inputs; the plan is the same at every size
+    kept = docs.join(firsts.select(id_col).hint("merge"), id_col, "left_semi").select(docs.columns)
     if firsts.where("count > 1").limit(1).count():
         kept = kept.dropDuplicates([id_col])
     return kept.unionByName(docs.where(F.col(id_col).isNull()))
