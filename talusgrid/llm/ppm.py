@@ -47,8 +47,22 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 END = b"\n"
 #: The label of counts over all classes.
 ALL = ""
-#: Costs travel as whole numbers of this part of a decimal digit.
+#: Costs travel as whole numbers of this part of a decimal digit, as 32-bit floats, which have room for a token of any length.
 UNITS = 500
+#: Probabilities under this are worked out in logarithms.
+TINY = 1e-280
+
+
+def packed_costs(log_probs: np.ndarray) -> np.ndarray:
+    """Costs in units, rounded up, so that probabilities never add up to more than one."""
+    exact = np.ceil(log_probs * -UNITS)
+    units = exact.astype("<f4")
+    return np.where(units < exact, np.nextafter(units, np.float32(np.inf)), units).astype("<f4")
+
+
+def unpacked_costs(packed: bytes, width: int) -> np.ndarray:
+    """The log10 probabilities of :func:`packed_costs`, a row for each token."""
+    return np.frombuffer(packed, "<f4").reshape(-1, width).astype(np.float64) / -UNITS
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -242,8 +256,8 @@ class PpmModel:
         weight = run[:-1] + self.prior
         weight[self.window :] -= run[: max(0, n - self.window)]
         weight -= weight.max(1, keepdims=True)
-        np.exp(weight * np.log(10), out=weight)
-        p = (weight * chances[word_ids]).sum(1) / weight.sum(1)
+        share = np.exp(weight * np.log(10))
+        p = (share * chances[word_ids]).sum(1) / share.sum(1)
         order = np.argsort(word_ids, kind="stable")
         ranked = word_ids[order]
         first = np.zeros(n, np.int64)
@@ -252,7 +266,18 @@ class PpmModel:
         before = np.empty(n)
         before[order] = i - np.maximum.accumulate(first)
         own = self.own_weight * i / (i + 20.0)
-        return float(np.log10(own * before / np.maximum(i, 1) + (1 - own) * p).sum())
+        seen = own * before / np.maximum(i, 1)
+        tiny = np.flatnonzero(p < TINY)
+        if not len(tiny):
+            return float(np.log10(seen + (1 - own) * p).sum())
+        p[tiny] = 1  # long tokens, whose chances are too small for a float, follow
+        out = np.log10(seen + (1 - own) * p)
+        terms = weight[tiny] + costs[word_ids[tiny]]
+        most = terms.max(1)
+        rest = most + np.log10((10.0 ** (terms - most[:, None])).sum(1) / share[tiny].sum(1)) + np.log10(1 - own[tiny])
+        with np.errstate(divide="ignore"):
+            out[tiny] = np.logaddexp(np.log(seen[tiny]), rest * np.log(10)) / np.log(10)
+        return float(out.sum())
 
 
 def _blocks(docs: DataFrame, blocks: int, train: Column, id_col: str, text_col: str, class_col: str | None) -> DataFrame:
@@ -394,8 +419,7 @@ def score(
         at, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
         totals = np.bincount(at, weights=counts, minlength=len(names)).astype("<i8")
         costs = np.concatenate([shared.value.word_log_probs(names[i : i + 20_000]) for i in range(0, len(names), 20_000)])
-        # rounded up to a unit, so that probabilities never add up to more than one
-        units = np.ceil(costs * -UNITS).clip(0, 65535).astype("<u2")
+        units = packed_costs(costs)
         parts = np.split(at, np.cumsum([len(row) for row in words])[:-1])
         return pa.table(
             {
@@ -414,7 +438,7 @@ def score(
             for w in row.split(b" "):
                 names[w] = len(names)
         counts = np.frombuffer(b"".join(right.column("counts").to_pylist()), "<i8")
-        costs = np.frombuffer(b"".join(right.column("costs").to_pylist()), "<u2").reshape(-1, width) / -UNITS
+        costs = unpacked_costs(b"".join(right.column("costs").to_pylist()), width)
         chances = 10.0**costs
         base = np.log10((counts + 0.1) / (total + 0.1 * (distinct + 1)))
         out = []

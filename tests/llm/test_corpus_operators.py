@@ -6,6 +6,7 @@ import math
 import random
 import zlib
 from collections import Counter
+from decimal import Decimal
 
 import duckdb
 import numpy as np
@@ -203,6 +204,34 @@ def test_ppm_odd_rows_and_bounded_model(spark, odd):
     assert untrained[0][3] == 0 and untrained[0][5] == pytest.approx(-5 * math.log10(256), abs=0.02)
 
 
+def test_ppm_long_tokens_cost_all_their_bytes(spark):
+    draw = random.Random(3)
+    word = "".join(draw.choice("abcdefghijklmnopqrstuvwxyz0123456789+/=") for _ in range(10_000))
+    docs = spark.createDataFrame([(1, "some plain words in some text"), (2, word), (3, f"some {word} {word} text")], "doc_id long, text string")
+    trie = reference_trie(Counter([*words_of("some plain words in some text"), ppm.END]))
+    once, some, text, end = (reference_log10(trie, w) for w in (word.encode(), b"some", b"text", ppm.END))
+    assert once < -10_000
+    got = {x[0]: x[5] for x in rows_of(ppm.score(docs, F.col("doc_id") == 1, class_col=None))}
+    own = [0.2 * i / (i + 20) for i in range(5)]
+    assert got[2] == pytest.approx(once + math.log10(1 - own[1]) + end, abs=0.01)
+    # the second time the document's own counts know the word
+    assert got[3] == pytest.approx(some + math.log10(1 - own[1]) + once + math.log10(own[2] / 2) + math.log10(1 - own[3]) + text + math.log10(1 - own[4]) + end, abs=0.02)
+
+
+def test_ppm_mixture_in_logarithms():
+    model = ppm.PpmModel(["", "a"], np.log10([0.2, 0.8]), np.empty(0, np.int64), np.empty((0, 2)))
+    costs = ppm.unpacked_costs(ppm.packed_costs(np.array([[-24_000.1239, -24_001.5], [-1.0, -900.0], [-3e7, -1.0]])).tobytes(), 2)
+    assert costs[0, 0] == -24_000.124 and costs[2, 0] <= -3e7
+    ids, total, run = np.array([0, 1, 2, 0]), Decimal(1), np.log10([0.2, 0.8])
+    for i, t in enumerate(ids.tolist()):
+        weight = [Decimal(10) ** Decimal(float(x)) for x in run]
+        p = sum(w * Decimal(10) ** Decimal(float(c)) for w, c in zip(weight, costs[t])) / sum(weight)
+        own = Decimal(0.2) * i / (i + 20)
+        total *= own * ids[:i].tolist().count(t) / max(i, 1) + (1 - own) * p
+        run = run + costs[t]
+    assert model.text_log_prob(costs, 10.0**costs, ids) == pytest.approx(float(total.log10()), abs=1e-6)
+
+
 # --- 4 quality rules
 
 
