@@ -88,6 +88,12 @@ class DictionaryModel:
         return score
 
 
+def excerpt(text_col: str, size: int) -> Column:
+    """The text's bytes; of one over ``size`` bytes so many at a place that its hash gives."""
+    start = F.pmod(F.xxhash64(text_col), F.greatest(F.octet_length(text_col) - size, F.lit(0)) + 1)
+    return F.substring(F.col(text_col).cast("binary"), start.cast("int") + 1, F.lit(size))
+
+
 def fit(
     docs: DataFrame,
     train: Column,
@@ -102,9 +108,10 @@ def fit(
     """Learn dictionaries from the rows where ``train`` holds and the label is not null.
 
     This is a fit on a bounded sample of labelled rows: per language the
-    ``sample_rows`` or so rows with the smallest id hash, of which whole texts
-    enter the dictionary until ``dictionary_bytes`` are full.  The driver sees at
-    most ``max_languages * sample_rows`` rows or so; rarer languages than the
+    ``sample_rows`` or so rows with the smallest id hash, of which texts enter
+    the dictionary until ``dictionary_bytes`` are full.  Of a text over an eighth
+    of that, an excerpt of this size at a hashed place enters.  The driver sees
+    at most ``max_languages * sample_rows`` rows or so; rarer languages than the
     first ``max_languages`` are not learned.
     """
     rows = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
@@ -120,15 +127,15 @@ def fit(
     share = {r["lang"]: min(space, space * sample_rows // r["count"] + 1) for r in counts}
     limit = F.create_map(*[F.lit(x) for kv in share.items() for x in kv])
     picked = (
-        rows.where((F.pmod("h", F.lit(space)) < limit[F.col("lang")]) & (F.octet_length("text") <= usual))
-        .select("lang", "h", "text")
+        rows.where(F.pmod("h", F.lit(space)) < limit[F.col("lang")])
+        .select("lang", "h", excerpt("text", usual).alias("text"))
         .collect()
     )
     made = []
     for r in counts:
         body = bytearray()
         for x in sorted((p["h"], p["text"]) for p in picked if p["lang"] == r["lang"]):
-            form = normal_form(x[1])
+            form = normal_form(x[1].decode("utf-8", "ignore"))  # without the bytes of characters cut at an end
             if form and len(body) + len(form) <= dictionary_bytes:
                 body += form
         made.append((r["lang"], bytes(body) or b" " * 8))

@@ -104,6 +104,25 @@ def test_language_odd_rows(spark, odd):
     assert {x[1] for x in rows_of(lang_zstd.identify(odd, nothing))} == {"und"}
 
 
+def test_language_of_long_texts_only(spark):
+    draw = random.Random(5)
+    made = lambda letters: ["".join(draw.choices(letters, k=draw.randint(2, 7))) for _ in range(300)]
+    words = {"x1": made("कखगघचजटडतदनपबमयरलवसह"), "x2": made("कखगघचजटडतदनपबमयरलवसह"), "x3": made("etaoinshrdlu")}
+    size = {"x1": 900, "x2": 30, "x3": 30}
+    rows = [(i, " ".join(draw.choices(words[lang], k=size[lang])), lang) for i, lang in enumerate(["x1", "x2", "x3"] * 20)]
+    assert min(len(t.encode()) for _, t, lang in rows if lang == "x1") > 8192
+    model = lang_zstd.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert len(dict(model.dictionaries)["x1"]) > 30_000
+    assert set(dict(model.dictionaries)["x1"].decode().split()[1:-1]) & set(words["x1"])
+    new = [(i, " ".join(draw.choices(words[lang], k=k)), lang) for i, (lang, k) in enumerate([(x, k) for x in words for k in (30, 900)])]
+    found = rows_of(lang_zstd.identify(spark.createDataFrame(new, "doc_id long, text string, lang string"), model))
+    assert {(x[0], x[1], x[4]) for x in found} == {(i, lang, False) for i, _, lang in new}
+    # a short text is taken whole, a long one in part, from where its hash says
+    some = spark.createDataFrame([("abc",), ("",), ("abcdefgh" * 9,)], "text string")
+    assert [bytes(r[0]) for r in some.select(lang_zstd.excerpt("text", 8)).collect()][:2] == [b"abc", b""]
+    assert {len(r[0]) for r in some.select(lang_zstd.excerpt("text", 8)).collect()} == {3, 0, 8}
+
+
 # --- 3 partial matching
 
 
