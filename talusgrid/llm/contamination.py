@@ -11,10 +11,11 @@ shorter ones), and one equal value makes a pair a candidate: an item of which
 up to half of the least class have all their shingles as their signature, and
 are looked up with every shingle of a document.  A candidate counts if the document holds at least ``min_containment`` of the
 item's distinct shingles, compared as text.  Documents are only scanned:
-nothing of them is shuffled.
+nothing of their texts is shuffled.
 
 The index of items is broadcast in parts of at most ``items_per_part`` items,
-so its size is bounded whatever the benchmark's; each part scans the documents.
+so its size is bounded whatever the benchmark's; each part scans the documents,
+and the hits of several parts meet by id and a 128-bit hash of the text.
 
 Defined results: words are runs of anything but ASCII white space, with A-Z in
 lower case.  A text with one to four words is one shingle, equal only to the
@@ -26,13 +27,17 @@ alike; other columns are never read.
 
 from __future__ import annotations
 
+import string
 from dataclasses import dataclass, field
+from functools import reduce
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import pieces, text_bytes
+from .common import SPACE_RUN, pieces, text_bytes
 
 SHINGLE = 5
 HASHES = 64
@@ -216,13 +221,23 @@ class ItemIndex:
         return out
 
 
+def _shingle_set(text_col: str) -> Column:
+    """The sorted set of :func:`shingle_texts`."""
+    lower = F.translate(text_col, string.ascii_uppercase, string.ascii_lowercase)
+    words = F.filter(F.split(lower, SPACE_RUN), lambda x: x != "")
+    # bound once, or each shingle would split the text again
+    at = lambda w: F.sequence(F.lit(1), F.greatest(F.size(w) - SHINGLE + 1, F.lit(1)))
+    sets = F.transform(F.array(words), lambda w: F.array_sort(F.array_distinct(F.transform(at(w), lambda i: F.array_join(F.slice(w, i, SHINGLE), " ")))))
+    return F.element_at(sets, 1)
+
+
 def item_parts(items: DataFrame, id_col: str = "item_id", text_col: str = "text", items_per_part: int = 50_000):
     """Indexes over hash parts of the items, each small enough to broadcast."""
     rows = items.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     parts = max(1, -(-rows.count() // items_per_part))
     for part in range(parts):
-        # equal texts share a part, so that they become one item
-        mine = rows.where(F.pmod(F.xxhash64(F.lower("text")), F.lit(parts)) == part).collect()
+        # items of equal shingles share a part, so that they become one item
+        mine = rows.where(F.pmod(F.xxhash64(_shingle_set("text")), F.lit(parts)) == part).collect() if parts > 1 else rows.collect()
         yield ItemIndex.build([(r["id"], r["text"].encode()) for r in mine])
 
 
@@ -239,9 +254,9 @@ def contaminated(docs: DataFrame, items: DataFrame, min_containment: float = 0.8
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema[0].dataType.simpleString()
     item_kind = items.select(item_id_col).schema[0].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, item_ids array<{item_kind}>, best_item_id {item_kind}, containment double"
-    found = None
-    parts = 0
+    schema = f"`{id_col}` {kind}, _text binary, _hits array<struct<share: double, id: {item_kind}>>"
+    hits_type = pa.list_(pa.struct([("share", pa.float64()), ("id", to_arrow_type(items.schema[item_id_col].dataType))]))
+    found = []
     for index in item_parts(items, item_id_col, item_text_col, items_per_part):
         shared = spark.sparkContext.broadcast(index)
 
@@ -249,23 +264,27 @@ def contaminated(docs: DataFrame, items: DataFrame, min_containment: float = 0.8
             for part, hits in _judged(shared.value, batches, 1, min_containment):
                 keep = [i for i, x in enumerate(hits) if x]
                 if keep:
+                    mine = part.take(pa.array(keep))
                     yield pa.RecordBatch.from_arrays(
                         [
-                            part.column(0).take(pa.array(keep)),
-                            pa.array([[k for k, _ in hits[i]] for i in keep]),
-                            pa.array([hits[i][0][0] for i in keep]),
-                            pa.array([hits[i][0][1] for i in keep], pa.float64()),
+                            mine.column(0),
+                            pa.array([blake2b(x, digest_size=16).digest() for x in text_bytes(mine.column(1))], pa.binary()),
+                            pa.array([[{"share": share, "id": k} for k, share in hits[i]] for i in keep], hits_type),
                         ],
-                        names=[id_col, "item_ids", "best_item_id", "containment"],
+                        names=[id_col, "_text", "_hits"],
                     )
 
-        mine = rows.mapInArrow(run, schema)
-        found = mine if found is None else found.unionByName(mine)
-        parts += 1
-    if parts == 1:
-        return found
-    best = F.max_by("best_item_id", "containment")
-    return found.groupBy(id_col).agg(F.sort_array(F.flatten(F.collect_list("item_ids"))).alias("item_ids"), best.alias("best_item_id"), F.max("containment").alias("containment"))
+        found.append(rows.mapInArrow(run, schema))
+    merged = found[0]
+    if len(found) > 1:
+        # rows equal in id and text have equal hits in each part: they meet as one, and become as many as they were
+        key = [id_col, "_text"]
+        each = [x.groupBy(*key).agg(F.count("*").alias("_n"), F.first("_hits").alias("_hits")) for x in found]
+        merged = reduce(DataFrame.unionByName, each).groupBy(*key).agg(F.max("_n").alias("_n"), F.flatten(F.collect_list("_hits")).alias("_hits"))
+        order = F.transform("_hits", lambda x: F.struct((-x["share"]).alias("less"), x["id"].isNull().alias("none"), x["share"].alias("share"), x["id"].alias("id")))
+        merged = merged.select(id_col, F.array_sort(order).alias("_hits"), F.explode(F.sequence(F.lit(1).cast("long"), "_n")))
+    best = F.get("_hits", F.lit(0))
+    return merged.select(id_col, F.transform("_hits", lambda x: x["id"]).alias("item_ids"), best["id"].alias("best_item_id"), best["share"].alias("containment"))
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, min_containment: float = 0.8, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", items_per_part: int = 50_000) -> DataFrame:

@@ -335,6 +335,33 @@ def test_containment_equals_brute_force(spark):
     assert clean == {i for i, k in want.items() if not k}
 
 
+def test_containment_of_item_parts(spark):
+    draw = random.Random(4)
+    vocab = [f"w{i}" for i in range(900)]
+    items = [(100 - i, " ".join(draw.choices(vocab, k=20))) for i in range(40)]
+    # equal shingles: other white space, capitals, a word more of a repeated one
+    items += [(200 + i, t.upper().replace(" ", " \n\t", 9) + " ") for i, t in items[:15]] + [(300, "a a a a a a a"), (301, "a a a a a a"), (None, "b b b b b b"), (None, "short one"), (302, "Short  One")]
+    docs = []
+    for i in range(50):
+        passages = [t if draw.random() < 0.6 else t.rsplit(" ", 2)[0] for _, t in draw.sample(items[:40], 4)]
+        docs.append((draw.choice([i, i, 7, None]), " ".join(passages + draw.choices(vocab, k=9))))
+    docs += [docs[0], docs[0], docs[1], (None, "x b b b b b b"), (None, "short one"), (None, None), (7, "a a a a a a y")]
+    sets = {}
+    for i, t in items:
+        s = frozenset(shingle_set(t))
+        sets[s] = min((x for x in (sets.get(s), i) if x is not None), default=None)
+    want = []
+    for i, t in docs:
+        own = shingle_set(t)
+        hits = sorted(((-len(s & own) / len(s), k is None, k or 0, k) for s, k in sets.items() if len(s & own) / len(s) >= 0.8))
+        if hits:
+            want.append((i, [h[3] for h in hits], hits[0][3], -hits[0][0]))
+    assert len({len(w[1]) for w in want}) > 1 and len({w[3] for w in want}) > 1
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for per in (50_000, 7):
+        assert sorted(rows_of(contamination.contaminated(df, bench, items_per_part=per)), key=str) == sorted(want, key=str)
+
+
 def test_containment_odd_rows(spark, odd):
     bench = spark.createDataFrame([(1, "same words stand here in this text"), (2, None)], "item_id long, text string")
     assert sorted(r["doc_id"] or 0 for r in contamination.contaminated(odd, bench).collect()) == [0, 1, 1, 2]
