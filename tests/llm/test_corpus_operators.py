@@ -126,29 +126,25 @@ def test_language_of_long_texts_only(spark):
 # --- 3 partial matching
 
 
-def reference_trie(counts):
-    trie = {}
-    for word, n in counts.items():
-        s = b" \n" if word == ppm.END else b" " + word + b" "
-        for i in range(1, len(s)):
-            for k in range(min(ppm.ORDER, i) + 1):
-                d = trie.setdefault(s[i - k : i], {})
-                d[s[i]] = d.get(s[i], 0) + n
-    return trie
-
-
-def reference_log10(trie, word):
-    s = b" \n" if word == ppm.END else b" " + word + b" "
-    out = 0.0
-    for i in range(1, len(s)):
-        out += math.log10(symbol_chance(trie, s[max(0, i - ppm.ORDER) : i], s[i]))
+def contexts_of(s, at):
+    """The contexts of a place, longest first."""
+    return ([s[:at]] if 3 <= at <= ppm.DEPTH else []) + [s[at - n : at] for n in (2, 1, 0) if n <= at]
+
+
+def reference_trie(words):
+    out = {}
+    for w, n in words.items():
+        s = ppm.padded(w)
+        for at in range(1, len(s)):
+            for c in contexts_of(s, at):
+                out.setdefault(c, Counter())[s[at]] += n
     return out
 
 
-def symbol_chance(trie, context, symbol):
+def symbol_chance(trie, contexts, symbol):
     above, p = None, 1.0
-    for k in range(len(context), -1, -1):
-        seen = trie.get(context[len(context) - k :])
+    for c in contexts:
+        seen = trie.get(c)
         if seen is None:
             continue
         total = sum(seen.values()) - sum(seen[x] for x in above or ())
@@ -161,35 +157,87 @@ def symbol_chance(trie, context, symbol):
     return p / (256 - len(trie.get(b"", ())))
 
 
-def tries_of(*counters):
-    every = Counter()
-    for c in counters:
-        every.update(c)
-    keys, n = ppm.gram_counts(list(every), np.array(list(every.values())))
-    counts = np.zeros((len(keys), len(counters)))
-    place = {k: i for i, k in enumerate(keys.tolist())}
+def reference_log10(trie, word):
+    s = ppm.padded(word)
+    return sum(math.log10(symbol_chance(trie, contexts_of(s, at), s[at])) for at in range(1, len(s)))
+
+
+def short_of(*counters):
+    every = sorted({k for c in counters for k in ppm.short_counts([ppm.padded(w) for w in c], np.array(list(c.values())))[0].tolist()})
+    counts = np.zeros((len(every), len(counters)))
     for z, c in enumerate(counters):
-        for k, m in zip(*ppm.gram_counts(list(c), np.array(list(c.values())))):
-            counts[place[int(k)], z] = m
-    return ppm.Tries(keys, counts)
+        keys, n = ppm.short_counts([ppm.padded(w) for w in c], np.array(list(c.values())))
+        counts[np.searchsorted(every, keys), z] = n
+    return ppm.ShortContexts(np.array(every), counts)
 
 
 def test_trie_equals_a_dictionary_of_contexts():
     draw = random.Random(1)
-    words = [bytes(draw.choice(b"abcd") for _ in range(draw.randint(1, 7))) for _ in range(80)] + [ppm.END] * 9
+    words = [bytes(draw.choice(b"abcd") for _ in range(draw.randint(1, 9))) for _ in range(300)] + [b"ab" * 40, b"ab" * 40 + b"c"] + [ppm.END] * 9
     first, second = Counter(words), Counter(words[:25])
-    tries = tries_of(first, second)
-    asked = [*first, b"zz", b"abcdz", "é".encode(), b"a" * 300]
-    got = tries.log_probs(asked)
-    for z, counts in enumerate((first, second)):
-        trie = reference_trie(counts)
+    short = short_of(first, second)
+    asked = sorted({*first, b"zz", b"abcdz", b"aabz", "é".encode(), b"a" * 300, b"ab" * 40 + b"d"})
+    counts = np.array([[c[w] for c in (first, second)] for w in asked], float)
+    got = ppm.log_probs(asked, counts, short)
+    # the words of a range cost the same beside the beginnings of the others
+    bounds = [b" abc", b" bb", b" bbbd", b" c"]
+    for bucket in range(len(bounds) + 1):
+        lo, hi = (b"", *bounds)[bucket], (*bounds, b"\xff")[bucket]
+        mine = [i for i, w in enumerate(asked) if lo <= ppm.padded(w) < hi]
+        rest = [i for i in range(len(asked)) if i not in mine]
+        nodes = ppm._edges(bounds, bucket)
+        others = [(s, v) for s, v in ppm._children([ppm.padded(asked[i]) for i in rest], counts[rest], nodes) if s not in nodes]
+        part = ppm.log_probs([asked[i] for i in mine], counts[mine], short, others)
+        assert np.allclose(part, got[mine])
+    for z, c in enumerate((first, second)):
+        trie = reference_trie(c)
         assert np.allclose(got[:, z], [reference_log10(trie, w) for w in asked])
 
 
 def test_trie_symbols_sum_to_one():
-    trie = reference_trie(Counter([b"ab", b"abc", b"b", ppm.END]))
-    for context in (b" ", b" a", b" ab", b"zz", b""):
-        assert sum(symbol_chance(trie, context, s) for s in range(256)) == pytest.approx(1.0)
+    trie = reference_trie(Counter([b"ab", b"abc", b"abcde", b"b", ppm.END]))
+    for s in (b" ", b" a", b" ab", b" abc", b"zz", b" abd"):
+        assert sum(symbol_chance(trie, contexts_of(s, len(s)), x) for x in range(256)) == pytest.approx(1.0)
+
+
+def reference_score(train, text):
+    """``train``: (label, text) rows; the mixture worked out token by token in plain Python."""
+    by = {}
+    for label, t in train:
+        by.setdefault(label, Counter()).update(words_of(t) + [ppm.END])
+    whole = sum(by.values(), Counter())
+    labels = [x for x in by if x]
+    tries = [reference_trie(c) for c in (whole, *(by[x] for x in labels))]
+    mass = [sum(n * (len(ppm.padded(w)) - 1) for w, n in by[x].items()) for x in labels]
+    prior = [0.2] + [0.8 * m / sum(mass) for m in mass] if labels else [1.0]
+    costs, total, own = [], 0.0, words_of(text) + [ppm.END]
+    for i, w in enumerate(own):
+        recent = [math.log10(p) + sum(c[z] for c in costs[max(0, i - ppm.WINDOW) : i]) for z, p in enumerate(prior)]
+        share = [10 ** (r - max(recent)) for r in recent]
+        now = [-math.ceil(reference_log10(t, w) * -ppm.UNITS) / ppm.UNITS for t in tries]
+        p = sum(s * 10**c for s, c in zip(share, now)) / sum(share)
+        a = 0.2 * i / (i + 20)
+        total += math.log10(a * own[:i].count(w) / max(i, 1) + (1 - a) * p)
+        costs.append(now)
+    return total
+
+
+def test_ppm_score_equals_brute_force(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").where("length(text) < 1500").limit(60)
+    kept = [(r["doc_id"], r["lang"], r["text"]) for r in docs.collect()]
+    kept += [(5000, None, "a label that is null counts for all alone"), (5001, "en", "https://a.example/one https://a.example/two"), (5002, "de", "https://a.example/three")]
+    docs = spark.createDataFrame(kept, "doc_id long, lang string, text string")
+    train = [(lang or "", t) for i, lang, t in kept if zlib.crc32(str(i).encode()) % 10]
+    # blocks of a few documents, so that words meet from many blocks and contexts run over bounds
+    got = {x[0]: x[5] for x in rows_of(ppm.score(docs, crc_mod("doc_id", 10) != 0, block_bytes=3000))}
+    for i, _, text in kept[:12] + kept[-3:]:
+        assert got[i] == pytest.approx(reference_score(train, text), abs=1e-3)
+
+
+def test_ppm_rare_classes_share_a_trie(spark):
+    docs = spark.createDataFrame([(i, ("a", "b", "c", "d", None)[i % 5], f"word{i % 5} word{i % 7} more") for i in range(60)], "doc_id long, lang string, text string")
+    got = rows_of(ppm.score(docs, F.lit(True), components=2))
+    assert len(got) == 60 and all(math.isfinite(x[5]) for x in got)
 
 
 def test_ppm_counts_and_gain(spark):
@@ -211,12 +259,12 @@ def test_ppm_counts_and_gain(spark):
     assert held[1] > held[0]
 
 
-def test_ppm_odd_rows_and_bounded_model(spark, odd):
+def test_ppm_odd_rows(spark, odd):
     got = rows_of(ppm.score(odd, crc_mod("doc_id", 10) != 0))
     assert len(got) == odd.count() and all(math.isfinite(x[5]) and x[5] <= 0 for x in got)
     assert {x[1] for x in got if x[0] in (3, 4, 5)} == {1}
     assert len({x[4:] for x in got if x[0] == 1}) == 1
-    small = rows_of(ppm.score(odd, F.lit(True), max_nodes=300, block_bytes=10_000, class_col=None))
+    small = rows_of(ppm.score(odd, F.lit(True), block_bytes=10_000, class_col=None))
     assert {(x[0], x[1]) for x in small} == {(x[0], x[1]) for x in got} and all(math.isfinite(x[5]) for x in small)
     assert ppm.score(odd.limit(0), F.lit(True)).count() == 0
     untrained = rows_of(ppm.score(odd.where("doc_id = 7"), F.lit(False)))
