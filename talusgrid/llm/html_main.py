@@ -1,23 +1,29 @@
 """Main text of web pages by text-to-tag ratios.
 
 The standard library's streaming parser turns a page into lines: one a block
-element, with the characters and tags met in it and the containers around it.
+element, with the characters and tags met in it and the container around it.
 The ratio of text to tags is smoothed over neighbouring lines with a Gaussian;
 two-means clustering of the smoothed ratios gives the threshold between content
-and the rest.  The region is the article (or main) element that holds most of
-the content lines' text, or where there is none the innermost container that
-holds nearly all of it.  All its lines are returned but those inside menus,
-headers, footers, sidebars, notices, adverts, forms and comments.
+and the rest.  The regions are the article and main elements of which the
+content lines hold the larger part of the text (of nested ones the innermost
+that holds all of it), or where there is none the innermost container that
+holds nearly all content; there, link lists before the first and after the last
+content line are left out.  All other lines of the regions are returned but
+those inside menus, headers, footers, sidebars, notices, adverts, forms and
+comments.  A form with more than half of a page's text is the page's frame.
 
 Defined results: null and empty pages give an empty text, as do pages without
-text; broken or cut-off markup is read as far as it goes.  A page without any
-container is a region itself.  Repeated pages give equal rows; other columns
-are never read.
+text; broken or cut-off markup is read as far as it goes: end tags that HTML
+lets pages omit are supplied, an unclosed comment or tag ends the page.  A page
+without any container is a region itself.  Time is in proportion to the page,
+however deep its elements are nested.  Repeated pages give equal rows; other
+columns are never read.
 """
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import numpy as np
@@ -27,22 +33,48 @@ from pyspark.sql import DataFrame, functions as F
 from .common import pieces
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("head script style noscript template iframe object svg math canvas audio video".split())
-ASIDE = frozenset("nav footer aside form menu dialog button select textarea fieldset datalist label".split())
-CONTAINER = frozenset("article main section div td body html center".split())
+UNSEEN = frozenset("head title script style noscript template iframe object svg math canvas audio video".split())
+#: What may stand in a head; anything else ends one without an end tag.
+HEAD = frozenset("html head title base basefont bgsound link meta style script noscript noframes template".split())
+ASIDE = frozenset("nav footer aside menu dialog button select textarea fieldset datalist label".split())
+CONTAINER = frozenset("article main section div td body html center form".split())
 BLOCK = CONTAINER | ASIDE | frozenset(
     "address blockquote dd details dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 header hgroup hr li ol p pre summary table tbody thead tfoot tr th ul caption".split()
 )
-#: Whole parts of class names, ids and roles that mark what is not the article.
+#: A start tag ends the open elements named first, unless one of those named second is open inside them.
+ENDS = {
+    "li": (("li",), ("ul", "ol", "menu")),
+    "dt": (("dt", "dd"), ("dl",)),
+    "dd": (("dt", "dd"), ("dl",)),
+    "td": (("td", "th"), ("table", "tr")),
+    "th": (("td", "th"), ("table", "tr")),
+    "tr": (("tr",), ("table",)),
+    "tbody": (("thead", "tbody", "tfoot"), ("table",)),
+    "thead": (("thead", "tbody", "tfoot"), ("table",)),
+    "tfoot": (("thead", "tbody", "tfoot"), ("table",)),
+    "option": (("option",), ("select", "datalist")),
+    "body": (("head",), ()),
+}
+#: Parts of class names, ids and roles that mark what is not the article, whatever stands beside them.
 MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay "
-    "sidebar aside menu nav navbar navigation breadcrumb breadcrumbs comment comments disqus reply replies respond share sharing social related "
-    "recommended newsletter subscribe subscription signup login search pagination pager footer masthead toolbar complementary contentinfo hidden".split()
+    "advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr sidebar navbar breadcrumb breadcrumbs comments disqus newsletter "
+    "subscribe subscription pagination masthead complementary contentinfo".split()
+)
+#: Parts that mark it alone or beside neutral parts only.
+WEAK_MARKS = frozenset(
+    "ad ads promo promotion banner notice notices alert alerts popup modal overlay aside menu nav navigation comment reply replies respond share sharing social related "
+    "recommended signup login search pager footer toolbar hidden".split()
+)
+NEUTRAL = frozenset(
+    "a b c area bar block body bottom box btn button buttons card center col column container content count dialog element field footer form frame global group head header icon icons inner "
+    "item items js large layer left link links list main mobile module nav new outer page panel post posts primary right row secondary section site slot small sticky tab tabs thread title "
+    "top unit user widget widgets wrap wrapper".split()
 )
 #: Marks that whole pages carry on their outer elements too: there they do not reach an article inside.
 LAYOUT = frozenset("sidebar menu nav navbar navigation banner header footer masthead toolbar social share sharing modal overlay popup".split())
 _PARTS = re.compile(r"[^a-z0-9]+")
 _SPACE = re.compile(r"\s+")
+_CUT_OFF = re.compile(r"<[!/?a-zA-Z]")
 
 
 def marks(attributes: list[tuple[str, str | None]]) -> set[str]:
@@ -50,71 +82,112 @@ def marks(attributes: list[tuple[str, str | None]]) -> set[str]:
     found: set[str] = set()
     for name, value in attributes:
         if name in ("class", "id", "role") and value:
-            found.update(MARKS.intersection(_PARTS.split(value.lower())))
+            for token in value.lower().split():
+                parts = {x for x in _PARTS.split(token) if x and not x.isdigit()}
+                found.update(parts & MARKS)
+                if parts <= WEAK_MARKS | NEUTRAL | MARKS:
+                    found.update(parts & WEAK_MARKS)
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and value and "display:none" in value.replace(" ", "")):
             found.add("hidden")
     return found
 
 
+@dataclass
+class Line:
+    text: str
+    tags: int
+    container: int
+    #: In something that is not the article; whether the innermost form counts is told later.
+    aside: bool
+    form: int
+    linked: int
+
+
 class Lines(HTMLParser):
-    """Collects lines: (text, tags, path of container numbers, inside something that is not the article)."""
+    """Collects the lines of a page and its containers: their ``kinds`` and, smaller, the numbers of the ``parents`` around them."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, int, bool, int, bool]] = []  # tag, container or -1, unseen, change of aside, firm
+        self.open: dict[str, list[int]] = {}  # places in the stack by tag
+        self.blocks: list[int] = []
         self.kinds: list[str] = []
-        self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
-        self.path: tuple[int, ...] = ()
+        self.parents: list[int] = []
+        self.inside: list[int] = []  # containers that are open
+        self.inside_at: list[int] = []  # their places in the stack
+        self.forms: list[int] = []
+        self.lines: list[Line] = []
         self.parts: list[str] = []
-        self.tags = 0
+        self.tags = self.linked = 0
         self.unseen = self.aside = self.firm = 0
 
+    def last(self, *tags: str) -> int:
+        """The place of the innermost open element of these, -1 if there is none."""
+        return max((self.open[t][-1] for t in tags if self.open.get(t)), default=-1)
+
     def flush(self) -> None:
         text = _SPACE.sub(" ", "".join(self.parts)).strip()
         self.parts.clear()
         if text:
-            self.lines.append((text, self.tags, self.path, self.aside > 0))
-            self.tags = 0
+            self.lines.append(Line(text, self.tags, self.inside[-1] if self.inside else -1, self.aside > 0, self.forms[-1] if self.forms else -1, self.linked))
+            self.tags = self.linked = 0
 
-    def pop(self) -> None:
-        _, container, unseen, aside, firm = self.stack.pop()
-        self.unseen -= unseen
-        self.aside -= aside
-        self.firm -= firm
-        if container >= 0:
-            self.path = self.path[:-1]
+    def pop_to(self, size: int) -> None:
+        while len(self.stack) > size:
+            tag, container, unseen, aside, firm = self.stack.pop()
+            self.open[tag].pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+            self.unseen -= unseen
+            self.aside -= aside
+            self.firm -= firm
+            if container >= 0:
+                self.inside.pop()
+                self.inside_at.pop()
+                if tag == "form":
+                    self.forms.pop()
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
         if tag in BLOCK:
             self.flush()
-            if tag != "li":
-                # a block ends an open paragraph
-                for i in range(len(self.stack) - 1, -1, -1):
-                    if self.stack[i][0] == "p":
-                        while len(self.stack) > i:
-                            self.pop()
-                        break
-                    if self.stack[i][1] >= 0:
-                        break
         elif tag == "br":
             self.parts.append(" ")
+        if tag not in HEAD and self.open.get("head"):
+            self.pop_to(self.open["head"][-1])
+        if tag in ENDS:
+            ended, kept = ENDS[tag]
+            at = min((x for x in (self.last(t) for t in ended) if x > self.last(*kept)), default=-1)
+            if at >= 0:
+                self.pop_to(at)
+        if tag in BLOCK and tag != "li":
+            # a block ends an open paragraph
+            at = self.last("p")
+            if at > (self.inside_at[-1] if self.inside_at else -1):
+                self.pop_to(at)
         if tag in VOID:
             return
+        articles = len(self.open.get("article", ())) + len(self.open.get("main", ()))
         container = -1
         if tag in CONTAINER:
             container = len(self.kinds)
             self.kinds.append("main" if ("role", "main") in attrs else tag)
-            self.path += (container,)
-        inside = any(t in ("article", "main") for t, *_ in self.stack)
-        firm = tag in ASIDE or (tag == "header" and not inside)
-        if tag in ("article", "main"):
+            self.parents.append(self.inside[-1] if self.inside else -1)
+            self.inside.append(container)
+            self.inside_at.append(len(self.stack))
+            if tag == "form":
+                self.forms.append(container)
+        firm = tag in ASIDE or (tag == "header" and not articles)
+        if tag in ("article", "main") and not (found := marks(attrs)):
             # an outer element's layout marks end here
-            aside = 0 if inside or self.firm else -self.aside
+            aside = 0 if articles or self.firm else -self.aside
         else:
             found = marks(attrs) if tag not in ("html", "body") else set()
             firm = firm or not found <= LAYOUT
             aside = int(firm or bool(found))
+        self.open.setdefault(tag, []).append(len(self.stack))
+        if tag in BLOCK:
+            self.blocks.append(len(self.stack))
         self.stack.append((tag, container, tag in UNSEEN, aside, firm))
         self.unseen += tag in UNSEEN
         self.aside += aside
@@ -129,20 +202,21 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in BLOCK:
             self.flush()
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                while len(self.stack) > i:
-                    self.pop()
-                return
-            if tag not in BLOCK and self.stack[i][0] in BLOCK:
-                return  # an inline end tag reaches no further than its block
+        at = self.last(tag)
+        # an inline end tag reaches no further than its block
+        if at >= 0 and (tag in BLOCK or tag in UNSEEN or not self.blocks or at > self.blocks[-1]):
+            self.pop_to(at)
 
     def handle_data(self, data):
         if not self.unseen:
             self.parts.append(data)
+            if self.open.get("a"):
+                self.linked += len(data)
 
     def finish(self, html: str) -> Lines:
         self.feed(html)
+        if _CUT_OFF.match(self.rawdata):
+            self.rawdata = ""
         self.close()
         self.flush()
         return self
@@ -170,35 +244,70 @@ def threshold(values: np.ndarray, rounds: int = 30) -> float:
     return float((low + high) / 2)
 
 
+def is_content(lines: list[Line]) -> np.ndarray:
+    """Whether each line's smoothed text-to-tag ratio reaches the threshold between the two clusters."""
+    level = smooth(np.log1p(np.array([len(x.text) / max(1, x.tags) for x in lines])))
+    return level >= threshold(level)
+
+
+def _subtree_sums(values: np.ndarray, parents: list[int]) -> np.ndarray:
+    """Adds each container's value to those around it; a container's number is larger than its parent's."""
+    out = values.copy()
+    for c in range(len(parents) - 1, -1, -1):
+        if parents[c] >= 0:
+            out[parents[c]] += out[c]
+    return out
+
+
 def main_lines(html: str | None) -> list[str]:
     """The lines of the main text in page order."""
     if not html:
         return []
     page = Lines().finish(html)
-    lines = page.lines
+    lines, parents, kinds = page.lines, page.parents, page.kinds
     if not lines:
         return []
-    ratio = np.log1p(np.array([len(t) / max(1, k) for t, k, _, _ in lines]))
-    level = smooth(ratio)
-    content = level >= threshold(level)
-    weight: dict[int, int] = {}
-    total = 0
-    for (text, _, path, aside), is_content in zip(lines, content):
-        if is_content and not aside:
-            total += len(text)
-            for c in path:
-                weight[c] = weight.get(c, 0) + len(text)
-    articles = [c for c in weight if page.kinds[c] in ("article", "main")]
-    region = None
-    if articles:
-        # the largest; of nested ones the inner
-        region = max(articles, key=lambda c: (weight[c], c))
-    elif total:
-        full = [c for c in weight if weight[c] >= 0.9 * total]
-        region = max(full, default=None)
-    if region is None:
-        return [t for t, _, _, aside in lines if not aside]
-    return [t for t, _, path, aside in lines if region in path and not aside]
+    n = len(kinds)
+    content = is_content(lines)
+    at = np.array([x.container for x in lines])
+    size = np.array([len(x.text) for x in lines])
+    aside = np.array([x.aside for x in lines])
+    form = np.array([x.form for x in lines])
+    # a form with most of the page's text is its frame
+    in_form = np.bincount(form[~aside & (form >= 0)], weights=size[~aside & (form >= 0)], minlength=n)
+    aside |= (form >= 0) & ((in_form * 2 <= size[~aside].sum())[form] if n else False)
+    use = ~aside & (at >= 0)
+    weight = _subtree_sums(np.bincount(at[use & content], weights=size[use & content], minlength=n), parents)
+    whole = _subtree_sums(np.bincount(at[use], weights=size[use], minlength=n), parents)
+    outer, best = np.full(n, -1), {}  # the outermost article around each container
+    for c in range(n):
+        outer[c] = outer[parents[c]] if parents[c] >= 0 else -1
+        if outer[c] < 0 and kinds[c] in ("article", "main"):
+            outer[c] = c
+        if kinds[c] in ("article", "main") and whole[c] > 0:
+            # of nested ones the innermost with all of the content
+            o = int(outer[c])
+            if o not in best or (weight[c], c) > (weight[best[o]], best[o]):
+                best[o] = c
+    regions: set[int] = set()
+    if best:
+        most = max(best.values(), key=lambda c: (weight[c], whole[c], c))
+        regions = {most} | {c for c in best.values() if weight[c] * 2 > whole[c]}
+    else:
+        total = size[use & content].sum()
+        full = [c for c in range(n) if total and weight[c] >= 0.9 * total]
+        if full:
+            regions = {max(full)}
+            here = np.flatnonzero(content & ~aside)
+            linked = np.array([x.linked * 2 > len(x.text) for x in lines])
+            place = np.arange(len(lines))
+            aside |= linked & ((place < here[0]) | (place > here[-1]))
+    if not regions:
+        return [x.text for x, a in zip(lines, aside) if not a]
+    inside = np.zeros(n, bool)
+    for c in range(n):
+        inside[c] = c in regions or (parents[c] >= 0 and inside[parents[c]])
+    return [x.text for x, a, c in zip(lines, aside, at) if not a and c >= 0 and inside[c]]
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

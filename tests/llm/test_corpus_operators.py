@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import Counter
 from decimal import Decimal
@@ -455,6 +456,61 @@ def test_main_text():
     assert html_main.main_lines("<article><p>cut <b>off") == ["cut off"]
 
 
+ARTICLE = "<h1>A head</h1><p>Some long article text that goes on and on for a while here.</p><p>More of the text, with many words in it.</p><p>Short.</p>"
+ARTICLE_LINES = ["A head", "Some long article text that goes on and on for a while here.", "More of the text, with many words in it.", "Short."]
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html><head><meta charset=u><title>t</title><script>var a='<p>';</script><p>{}",
+        "<html><body><form action=x><div class=nav><a>m</a></div><div id=content>{}</div><input></form></body>",
+        "<body><ul><li class=ad>buy<li>{}</ul>",
+        "<body><table><tr><td class=sidebar>side<td>{}</table>",
+        "<body><select><option>a<option>b</select><dl><dt class=ad>x<dd>{}</dl>",
+        "<body><div id='social-policy'>{}</div>",
+        "<body><article>{}</article><!-- unclosed",
+        "<body><article>{}</article><div class='x",
+        "<body><div class='cookie-policy'>We use</div><div>{}</div><form><label>Mail</label><p>Sign up now please</p></form>",
+        "<article>{}<article class=comment><p>nice post this is my comment</p></article></article>",
+        "<body><div><a>one</a></div><div><a>two</a></div><div>{}</div><div><a>foot</a></div>",
+    ],
+)
+def test_main_text_of_loose_markup(page):
+    assert html_main.main_lines(page.format(ARTICLE)) == ARTICLE_LINES
+
+
+def test_main_text_of_several_articles():
+    for tag in ("article", "main"):
+        assert html_main.main_lines(f"<body><{tag}>{ARTICLE}</{tag}><nav>x</nav><{tag}>{ARTICLE}</{tag}>") == ARTICLE_LINES * 2
+
+
+def test_main_text_takes_time_in_proportion():
+    for tag in ("<div>", "<font>", "<p>", "<li>", "<td>", "<article>", "</x><i>", "<form>"):
+        seconds = []
+        for n in (10_000, 80_000):
+            began = time.process_time()
+            assert html_main.main_lines(tag * n + "text") == ["text"]
+            seconds.append(time.process_time() - began)
+        assert seconds[1] < 24 * max(seconds[0], 0.02)
+    long = "<article>" + "<p>some words of a long page</p>" * 60_000 + "</article>"
+    assert len(html_main.main_lines(long)) == 60_000
+
+
+def test_ratios_equal_brute_force():
+    lines = html_main.Lines().finish(f"<nav><a>a</a><a>b</a><a>c</a></nav><ul><li><a>d</a><li><a>e</a></ul>{ARTICLE * 3}<footer><a>f</a> g</footer>").lines
+    ratio = [math.log(1 + len(x.text) / max(1, x.tags)) for x in lines]
+    weight = {d: math.exp(-0.5 * d * d) for d in range(-3, 4)}
+    smooth = [sum(w * ratio[min(max(i + d, 0), len(ratio) - 1)] for d, w in weight.items()) / sum(weight.values()) for i in range(len(ratio))]
+    low, high = min(smooth), max(smooth)
+    for _ in range(30):
+        upper = [x for x in smooth if x >= (low + high) / 2]
+        lower = [x for x in smooth if x < (low + high) / 2]
+        low, high = sum(lower) / len(lower), sum(upper) / len(upper)
+    assert html_main.is_content(lines).tolist() == [x >= (low + high) / 2 for x in smooth]
+    assert 0 < sum(html_main.is_content(lines)) < len(lines)
+
+
 def test_extract_odd_rows(spark):
     df = spark.createDataFrame([(1, None, "x"), (1, None, "x"), (None, "<article><p>a  b</article>", "y"), (2, "", None)], "page_id long, html string, text string")
     assert sorted(rows_of(html_main.extract(df)), key=str) == sorted([(1, "", 0), (1, "", 0), (None, "a b", 3), (2, "", 0)], key=str)
