@@ -623,9 +623,12 @@ def test_warc_round_trip_and_lookup(spark, small, tmp_path):
     base = str(tmp_path / "w")
     warc_index.write_archives(df, f"{base}/a", records_per_file=2)
     warc_index.build_index(spark, f"{base}/a", f"{base}/i", lines_per_block=2)
-    hits = warc_index.lookup(spark, "http://A.example.com/x", f"{base}/a", f"{base}/i")
-    assert sorted(h["WARC-Record-ID"] for h, _ in hits) == ["<urn:page:1>", "<urn:page:3>"]
-    assert warc_index.lookup(spark, "http://zzz.example.com", f"{base}/a", f"{base}/i") == []
+    hits = warc_index.lookup(spark, ["http://A.example.com/x", "http://c.example.com/"], f"{base}/a", f"{base}/i")
+    assert sorted(r["page_id"] for r in hits.collect()) == [1, 3, 6]
+    assert warc_index.lookup(spark, ["http://zzz.example.com"], f"{base}/a", f"{base}/i").count() == 0
+    places = warc_index.locate(spark, warc_index.with_key(df), f"{base}/i")
+    whole = warc_index._cut_whole(spark, places, f"{base}/a", True)
+    assert sorted(map(repr, rows_of(whole))) == sorted(map(repr, rows_of(warc_index.read_ranges(spark, places, f"{base}/a"))))
     import gzip
     from pathlib import Path
 
@@ -634,6 +637,28 @@ def test_warc_round_trip_and_lookup(spark, small, tmp_path):
     assert warc_index.round_trip(df.limit(0)).count() == 0
 
 
+def test_warc_hot_url_and_repeated_rows(spark, tmp_path):
+    # one URL with 20,000 captures, one null URL with as many, and rows repeated whole
+    n = 20_000
+    rows = [(i, "http://hot.example.com/", f"page {i}") for i in range(n)] + [(n + i, None, "x") for i in range(n)] + [(-1, "http://b.example.com", "again")] * 50 + [(None, None, "none")] * 40
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    base = str(tmp_path / "w")
+    warc_index.write_archives(df, f"{base}/a")
+    warc_index.build_index(spark, f"{base}/a", f"{base}/i", lines_per_block=500)
+    wanted = warc_index.with_key(df)
+    assert warc_index.locate(spark, wanted, f"{base}/i").count() == len(rows)
+    entries = sorted((warc_index._goal(r["first_key"], r["first_id"]), warc_index._goal(r["last_key"], r["last_id"]), r["block"]) for r in spark.read.parquet(f"{base}/i/directory").collect())
+    goals = {warc_index._goal(r["key"], r["page_id"]) for r in wanted.collect()}
+    assert len(entries) > 70 and sum(len(x) for x in warc_index.find_blocks(sorted(goals), *map(list, zip(*entries)))) <= len(goals) + 4
+    got = warc_index.round_trip(df)
+    assert got.count() == len(rows) and got.where("page_id = -1").count() == 50 and got.where("page_id is null").count() == 40
+
+
+def test_spans_of_ranges():
+    assert warc_index.spans([(0, 10), (20, 5), (200_000, 7), (200_007, 5 << 20)]) == [[(0, 10), (20, 5)], [(200_000, 7)], [(200_007, 5 << 20)]]
+    assert warc_index.spans([]) == []
+
+
 # --- 10 BPE
 
 
