@@ -6,12 +6,13 @@ the sites is aggregated per key; sketches merge in the partial aggregation, so
 a line that a third of all rows share costs one sketch a task.  Keys whose
 estimate is near the threshold get an exact distinct count.  Lines on
 ``min_sites`` sites or more are boilerplate: all occurrences go but the first,
-which is that in the row with the smallest id, so no text is lost altogether.
+which is that in the row with the smallest id (null before all), so no text is
+lost altogether.
 All of it is DataFrame aggregations and joins on the keys.
 
 Defined results: null texts stay null and have no lines.  Blank lines are never
 counted or removed.  A null site is a site of its own.  Rows equal in id and
-text are treated alike.  An empty table gives an empty result.
+text are treated alike: each keeps the first.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import SPACES, materialize
 
+#: Copies of a whole text lie on fewer sites than this, lines of a template on more.
+MIN_SITES = 8
 #: Relative standard error of a sketch with 2^12 registers is 1.6 %; this is ten times as much.
 NEAR = 0.16
 LG_REGISTERS = 12
@@ -37,28 +40,31 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFr
 
 
 def boilerplate(shared: DataFrame, min_sites: int) -> DataFrame:
-    """Keys of lines on at least ``min_sites`` sites, from the lines on more than one."""
-    sketches = shared.groupBy("_h1", "_h2").agg(F.hll_sketch_agg("_site", LG_REGISTERS).alias("sketch"))
-    sketches = materialize(sketches.select("_h1", "_h2", F.hll_sketch_estimate("sketch").alias("sites")), "line-sites")
-    sure = sketches.where(F.col("sites") > min_sites * (1 + NEAR)).select("_h1", "_h2")
+    """Keys of lines on at least ``min_sites`` sites, from the lines on more than one, with their first occurrence.
+
+    The first occurrence is a minimum that is combined beside the sketch, so the
+    rows of a line never have to meet.
+    """
+    first = F.min(F.struct("_id", "_at", "_k1", "_k2")).alias("_first")
+    sketches = shared.groupBy("_h1", "_h2").agg(F.hll_sketch_agg("_site", LG_REGISTERS).alias("sketch"), first)
+    sketches = materialize(sketches.select("_h1", "_h2", F.hll_sketch_estimate("sketch").alias("sites"), "_first"), "line-sites")
+    sure = sketches.where(F.col("sites") > min_sites * (1 + NEAR)).select("_h1", "_h2", "_first")
     near = sketches.where(F.col("sites").between(min_sites * (1 - NEAR) - 1, min_sites * (1 + NEAR)))
-    exact = shared.join(near.select("_h1", "_h2"), ["_h1", "_h2"], "left_semi").groupBy("_h1", "_h2").agg(F.countDistinct("_site").alias("n"))
-    return sure.unionByName(exact.where(F.col("n") >= min_sites).select("_h1", "_h2"))
+    exact = shared.join(near.select("_h1", "_h2"), ["_h1", "_h2"], "left_semi").groupBy("_h1", "_h2").agg(F.countDistinct("_site").alias("n"), first)
+    return sure.unionByName(exact.where(F.col("n") >= min_sites).select("_h1", "_h2", "_first"))
 
 
-def removals(docs: DataFrame, min_sites: int = 10, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
+def removals(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
     """For rows that lose lines: their key and ``_drop``, the places of the lines to remove."""
     lines = _lines(docs, id_col, text_col, site_col)
     spread = lines.groupBy("_h1", "_h2").agg(F.min("_site").alias("lo"), F.max("_site").alias("hi")).where("lo <> hi").select("_h1", "_h2")
     shared = materialize(lines.join(spread, ["_h1", "_h2"], "left_semi"), "shared-lines")
     wide = materialize(boilerplate(shared, min_sites), "boilerplate")
-    hits = shared.join(wide, ["_h1", "_h2"])
-    first = hits.groupBy("_h1", "_h2").agg(F.min(F.struct("_id", "_at", "_k1", "_k2")).alias("_first"))
-    gone = hits.join(first, ["_h1", "_h2"]).where(~F.struct("_id", "_at", "_k1", "_k2").eqNullSafe(F.col("_first")))
+    gone = shared.join(wide, ["_h1", "_h2"]).where(~F.struct("_id", "_at", "_k1", "_k2").eqNullSafe(F.col("_first")))
     return gone.groupBy("_k1", "_k2").agg(F.collect_set("_at").alias("_drop"))
 
 
-def clean(docs: DataFrame, min_sites: int = 10, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
+def clean(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
     """The columns of ``docs`` with cleaned texts, then ``_n_lines`` (with a word) and ``_n_removed``."""
     drop = removals(docs, min_sites, id_col, text_col, site_col)
     keyed = docs.select(F.struct("*").alias("_row"), *_row_key(id_col, text_col)).join(drop, ["_k1", "_k2"], "left")
@@ -76,7 +82,7 @@ def clean(docs: DataFrame, min_sites: int = 10, id_col: str = "doc_id", text_col
     )
 
 
-def oracle_sql(min_sites: int = 10, table: str = "documents") -> str:
+def oracle_sql(min_sites: int = MIN_SITES, table: str = "documents") -> str:
     spaces = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
     return f"""
 WITH t AS (SELECT row_number() OVER () AS rid, doc_id, text, source FROM {table}),

@@ -431,9 +431,32 @@ def test_line_spread(spark):
     assert line_spread.clean(df.limit(0), 10).count() == 0
 
 
+def brute_line_spread(rows, min_sites):
+    """(id, text, cleaned, lines, removed) of (id, text, site) rows."""
+    spaces, found = " \t\n\x0b\f\r", {}
+    for i, text, site in rows:
+        for at, line in enumerate(text.split("\n") if text is not None else ()):
+            if line.strip(spaces):
+                found.setdefault(line.strip(spaces), []).append((site, (i is not None, i or 0, at)))
+    wide = {line: min(place for _, place in x) for line, x in found.items() if len({site for site, _ in x}) >= min_sites}
+    out = []
+    for i, text, _ in rows:
+        lines = text.split("\n") if text is not None else []
+        gone = [wide.get(x.strip(spaces), (i is not None, i or 0, at)) != (i is not None, i or 0, at) for at, x in enumerate(lines)]
+        out.append((i, text, None if text is None else "\n".join(x for x, g in zip(lines, gone) if not g), sum(bool(x.strip(spaces)) for x in lines), sum(gone)))
+    return out
+
+
 def test_line_spread_odd_rows(spark, odd):
-    cleaned = line_spread.clean(odd, 2)
-    assert cleaned.count() == odd.count() and cleaned.columns[: len(odd.columns)] == odd.columns
+    more = [(20 + i, f"  shared by many \r\nown {i}\n\nshared by many\nshared by few", f"s{i % 5}") for i in range(9)] + [(None, "shared by many", None), (60, "shared by few", "s1"), (60, "shared by few", "s1"), (None, "a line of null ids", "s1"), (None, "a line of null ids", "s2")]
+    extra = [F.lit("x").alias(c) for c in odd.columns[5:]]
+    df = odd.unionByName(spark.createDataFrame([(a, b, "en", c, 1) for a, b, c in more], DOCUMENTS).select("*", *extra))
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in df.collect()]
+    for least in (2, 4, 6, 7):
+        cleaned = line_spread.clean(df, least)
+        assert cleaned.columns[: len(df.columns)] == df.columns
+        got = [(r["doc_id"], r["text"], r["_n_lines"], r["_n_removed"]) for r in cleaned.collect()]
+        assert sorted(map(repr, got)) == sorted(repr((i, clean, n, gone)) for i, _, clean, n, gone in brute_line_spread(rows, least))
 
 
 # --- 7 html
@@ -719,7 +742,7 @@ def test_pipeline_against_brute_force(spark, small):
         if line:
             spread.setdefault(line, set()).add(site)
             heads[line] = min(heads.get(line, (doc, i)), (doc, i))
-    gone = {(d, i) for d, i, line, _ in lines if line and len(spread[line]) >= 10 and heads[line] != (d, i)}
+    gone = {(d, i) for d, i, line, _ in lines if line and len(spread[line]) >= line_spread.MIN_SITES and heads[line] != (d, i)}
     cleaned = {r["doc_id"]: "\n".join(x for i, x in enumerate(r["text"].split("\n")) if (r["doc_id"], i) not in gone) for r in kept}
     groups = brute_components([(i, brute_fingerprint(t)) for i, t in cleaned.items()])
     firsts = {i: t for i, t in cleaned.items() if groups[i] == i}
