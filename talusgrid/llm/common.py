@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import gc
+import atexit
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from py4j.protocol import Py4JError
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: The white space that separates words: space, tab, \n, \v, \f, \r.
@@ -32,9 +34,11 @@ def held_out(column: str, modulus: int, remainder: int) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, else a local one of this run."""
+    """The folder all executors share: ``spark.checkpoint.dir``; only a local master may do without, with a folder of this run."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = _local_folder()
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(base)
@@ -42,6 +46,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 _LOCAL: list[str] = []
+#: Scratch paths that are still there; what lazy results read is removed when the driver ends.
+_MADE: list[str] = []
 
 
 def _local_folder() -> str:
@@ -51,7 +57,9 @@ def _local_folder() -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -70,20 +78,38 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def discard(df: DataFrame) -> None:
     """Delete a table that :func:`materialize` made and nothing reads any more."""
     path = getattr(df, "_scratch_path", None)
-    if path:
-        remove_path(df.sparkSession, path)
+    if path in _MADE:
+        _remove(path)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove the shuffle files of finished jobs now, not at the driver's next collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def scratch_mark() -> int:
+    """A place in the order in which scratch paths are made, for :func:`clear_scratch`."""
+    return len(_MADE)
 
 
-def remove_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
+def clear_scratch(since: int = 0, keep: tuple[DataFrame, ...] = ()) -> None:
+    """Delete what was made since a mark but for the tables to keep; results that still read the rest become unreadable."""
+    kept = {getattr(df, "_scratch_path", None) for df in keep}
+    for path in _MADE[since:]:
+        if path not in kept:
+            _remove(path)
+
+
+def _remove(path: str) -> None:
+    jvm = SparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    target.getFileSystem(jvm.org.apache.spark.deploy.SparkHadoopUtil.get().conf()).delete(target, True)
+    _MADE.remove(path)
+
+
+def _at_exit() -> None:
+    try:
+        clear_scratch()
+    except (Py4JError, OSError, AttributeError):
+        pass  # the JVM is gone; nothing can be removed from here
+
+
+atexit.register(_at_exit)
 
 
 def text_bytes(column: pa.ChunkedArray | pa.Array) -> list:

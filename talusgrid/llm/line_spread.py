@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import SPACES, materialize
+from .common import SPACES, clear_scratch, materialize, scratch_mark
 
 #: Copies of a whole text lie on fewer sites than this, lines of a template on more.
 MIN_SITES = 8
@@ -59,7 +59,9 @@ def removals(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id"
     lines = _lines(docs, id_col, text_col, site_col)
     spread = lines.groupBy("_h1", "_h2").agg(F.min("_site").alias("lo"), F.max("_site").alias("hi")).where("lo <> hi").select("_h1", "_h2")
     shared = materialize(lines.join(spread, ["_h1", "_h2"], "left_semi"), "shared-lines")
+    mark = scratch_mark()
     wide = materialize(boilerplate(shared, min_sites), "boilerplate")
+    clear_scratch(mark, keep=(wide,))
     gone = shared.join(wide, ["_h1", "_h2"]).where(~F.struct("_id", "_at", "_k1", "_k2").eqNullSafe(F.col("_first")))
     return gone.groupBy("_k1", "_k2").agg(F.collect_set("_at").alias("_drop"))
 

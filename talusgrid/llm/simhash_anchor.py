@@ -11,9 +11,15 @@ rows are compared with all rows; of the links found there only a spanning
 forest is kept.  Components over distinct fingerprints come from
 :mod:`.components`.
 
+The anchors grow with the input: one with more than ``split_group`` rows is
+split by the anchors of the other two chunks.  Its pairs differ in at most four
+bits of those together, so in at most two of one of them, and a row goes to all
+anchors within radius 3 + 2 there (22 on average).  So a fingerprint meets a
+bounded number of others up to some billions of fingerprints.
+
 Exact copies meet as one distinct fingerprint before any comparison.  An anchor
-with more than ``max_group`` rows is cut into a grid of home parts by row
-parts, so that no task gets all of it and no link is lost.
+that still has more than ``max_group`` rows is cut into a grid of home parts by
+row parts, so that no task gets all of it and no link is lost.
 
 Defined results: null, empty and blank texts have fingerprint zero and link
 like any other.  Rows whose id is null never link: their component is null.
@@ -23,13 +29,17 @@ words make one shingle.  Other columns are never read.
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+from operator import xor
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize, pieces, text_bytes
-from .components import connected_components
+from .common import clear_scratch, materialize, pieces, scratch_mark, text_bytes
+from .components import connected_components, join_groups
 
 THRESHOLD = 4
 SHINGLE = 4
@@ -75,12 +85,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, f"`{id_col}` {kind}, fp long")
 
 
-def golay_cosets() -> tuple[np.ndarray, np.ndarray]:
-    """For each of the 2,048 syndromes the error patterns of weight up to 4, nearest first.
+def golay_cosets(most: int = RADIUS + 1) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the 2,048 syndromes the error patterns of weight up to ``most``, nearest first.
 
     The generator polynomial x^11+x^10+x^6+x^5+x^4+x^2+1 makes the perfect code
-    of length 23; a syndrome has one pattern of weight 3 or less, and five of
-    weight 4 beside it if that one has weight 3.  Unused places repeat the first.
+    of length 23; a syndrome has one pattern of weight 3 or less.  Unused places
+    repeat the first.
     """
     poly = 0b110001110101
     unit = []
@@ -91,45 +101,47 @@ def golay_cosets() -> tuple[np.ndarray, np.ndarray]:
                 v ^= poly << (k - 11)
         unit.append(v)
     table: list[list[int]] = [[] for _ in range(2048)]
-    place = range(23)
-    table[0].append(0)
-    for a in place:
-        table[unit[a]].append(1 << a)
-    for a in place:
-        for b in range(a):
-            table[unit[a] ^ unit[b]].append(1 << a | 1 << b)
-    for a in place:
-        for b in range(a):
-            for c in range(b):
-                table[unit[a] ^ unit[b] ^ unit[c]].append(1 << a | 1 << b | 1 << c)
-    for a in place:
-        for b in range(a):
-            for c in range(b):
-                for d in range(c):
-                    table[unit[a] ^ unit[b] ^ unit[c] ^ unit[d]].append(1 << a | 1 << b | 1 << c | 1 << d)
-    most = max(map(len, table))
-    return np.array([t + t[:1] * (most - len(t)) for t in table], np.int64), np.array(unit, np.int64)
+    for weight in range(most + 1):
+        for places in combinations(range(23), weight):
+            table[reduce(xor, (unit[i] for i in places), 0)].append(sum(1 << i for i in places))
+    width = max(map(len, table))
+    return np.array([t + t[:1] * (width - len(t)) for t in table], np.int64), np.array(unit, np.int64)
+
+
+def chunk_anchors(fp: np.ndarray, chunk: int, cosets: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index into ``fp``, anchor, home) for every anchor of a chunk that the cosets' patterns lead to."""
+    patterns, unit = cosets
+    first, width = CHUNKS[chunk]
+    word = (fp.view(np.uint64) >> np.uint64(first)).astype(np.int64) & ((1 << width) - 1)
+    syndrome = np.zeros(len(fp), np.int64)
+    for i in range(width):
+        syndrome ^= np.where(word >> i & 1, unit[i], 0)
+    errors = patterns[syndrome]
+    codes = (word[:, None] ^ errors) >> 11  # the code is systematic: its upper twelve bits name the anchor
+    used = errors != errors[:, :1]
+    used[:, 0] = True
+    r, k = np.nonzero(used)
+    return r, codes[r, k], k == 0
 
 
 def anchor_rows(fp: np.ndarray, cosets=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(index into ``fp``, bucket, home) for every anchor within ``RADIUS`` + 1 of each chunk."""
-    patterns, unit = cosets or golay_cosets()
-    index, bucket, home = [], [], []
-    for c, (first, width) in enumerate(CHUNKS):
-        word = (fp.view(np.uint64) >> np.uint64(first)).astype(np.int64) & ((1 << width) - 1)
-        syndrome = np.zeros(len(fp), np.int64)
-        for i in range(width):
-            syndrome ^= np.where(word >> i & 1, unit[i], 0)
-        errors = patterns[syndrome]
-        codes = (word[:, None] ^ errors) >> 11  # the code is systematic: its upper twelve bits name the anchor
-        first_place = np.zeros(errors.shape, bool)
-        first_place[:, 0] = True
-        used = first_place | (errors != errors[:, :1])
-        r, k = np.nonzero(used)
-        index.append(r)
-        bucket.append(codes[r, k] + (c << 12))
-        home.append(k == 0)
-    return np.concatenate(index), np.concatenate(bucket), np.concatenate(home)
+    cosets = cosets or golay_cosets()
+    found = [chunk_anchors(fp, c, cosets) for c in range(len(CHUNKS))]
+    return tuple(np.concatenate(x) for x in zip(*((r, code + (c << 12), home) for c, (r, code, home) in enumerate(found))))
+
+
+def split_rows(fp: np.ndarray, bucket: np.ndarray, home: np.ndarray, cosets) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index into the rows, bucket, home) at the anchors, within ``RADIUS`` + 2, of the chunks that the bucket is not of."""
+    index, buckets, homes = [], [], []
+    for chunk in range(len(CHUNKS)):
+        mine = np.flatnonzero(bucket >> 12 != chunk)
+        r, code, first = chunk_anchors(fp[mine], chunk, cosets)
+        index.append(mine[r])
+        # above all buckets of one level, and apart for each pair of anchors
+        buckets.append((1 + bucket[mine[r]] << 16) + (chunk << 12) + code)
+        homes.append(first & home[mine[r]])
+    return np.concatenate(index), np.concatenate(buckets), np.concatenate(homes)
 
 
 def forest(home: np.ndarray, rows: np.ndarray, threshold: int = THRESHOLD) -> list[tuple[int, int]]:
@@ -156,20 +168,37 @@ def forest(home: np.ndarray, rows: np.ndarray, threshold: int = THRESHOLD) -> li
     return [(int(signed[a]), int(signed[b])) for a, b in edges]
 
 
-def links(distinct: DataFrame, max_group: int = 8192) -> DataFrame:
+def links(distinct: DataFrame, max_group: int = 8192, split_group: int = 32768) -> DataFrame:
     """Edges ``a``, ``b`` between distinct fingerprints (column ``fp``) that span all links."""
-    cosets = golay_cosets()
+    cosets, wider = golay_cosets(), golay_cosets(RADIUS + 2)
+
+    def batch_of(bucket, fp, home):
+        return pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int64)), pa.array(fp), pa.array(home)], names=["bucket", "fp", "home"])
 
     def spread(batches):
         for batch in batches:
             fp = batch.column(0).to_numpy(zero_copy_only=False)
             index, bucket, home = anchor_rows(fp, cosets)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), pa.array(fp[index]), pa.array(home)], names=["bucket", "fp", "home"])
+            yield batch_of(bucket, fp[index], home)
 
-    rows = materialize(distinct.select("fp").mapInArrow(spread, "bucket int, fp long, home boolean"), "anchors")
+    def split(batches):
+        for batch in batches:
+            bucket, fp, home = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            for lo in range(0, len(fp), 2000):
+                part = slice(lo, lo + 2000)
+                index, deep, first = split_rows(fp[part], bucket[part], home[part], wider)
+                yield batch_of(deep, fp[part][index], first)
+
+    schema = "bucket long, fp long, home boolean"
+    rows = materialize(distinct.select("fp").mapInArrow(spread, schema), "anchors")
     # at most 3 x 4,096 buckets, so this table is small whatever the input
-    sizes = rows.groupBy("bucket").count().where(F.col("count") > max_group)
-    sizes = F.broadcast(sizes.select("bucket", F.ceil(F.col("count") / max_group).cast("int").alias("cuts")))
+    large = rows.groupBy("bucket").count().where(F.col("count") > split_group).select("bucket")
+    deep = [r["bucket"] for r in large.collect()]
+    if deep:
+        large = F.broadcast(distinct.sparkSession.createDataFrame([(x,) for x in deep], "bucket long"))
+        below = rows.join(large, "bucket", "left_semi").select("bucket", "fp", "home").mapInArrow(split, schema)
+        rows = materialize(rows.join(large, "bucket", "left_anti").select("bucket", "fp", "home").unionByName(below), "anchors")
+    sizes = rows.groupBy("bucket").count().where(F.col("count") > max_group).select("bucket", F.ceil(F.col("count") / max_group).cast("int").alias("cuts"))
     part = F.pmod(F.xxhash64("fp"), F.col("cuts")).cast("int")
     every = F.sequence(F.lit(0), F.col("cuts") - 1)
     cut = rows.join(sizes, "bucket", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1))).withColumn("part", part)
@@ -188,16 +217,18 @@ def links(distinct: DataFrame, max_group: int = 8192) -> DataFrame:
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: the id, ``fp`` and ``component_id``, the smallest id reachable over links."""
     prints = materialize(fingerprints(docs, id_col, text_col).withColumnRenamed(id_col, "id"), "fingerprints")
-    nodes = prints.where(F.col("id").isNotNull()).groupBy("fp").agg(F.min("id").alias("least"), F.max("id").alias("most"))
+    nodes = prints.where(F.col("id").isNotNull()).groupBy("fp").agg(F.min("id").alias("least"))
     nodes = materialize(nodes, "distinct-fingerprints")
+    mark = scratch_mark()
     edges = links(nodes)
     # rows with one id are one document: its fingerprints belong together
     repeated = prints.where(F.col("id").isNotNull()).groupBy("id").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a <> z")
     same = prints.join(repeated, "id").where("fp <> a").select("a", F.col("fp").alias("b")).distinct()
     roots = connected_components(edges.unionByName(same), "a", "b")
+    clear_scratch(mark, keep=(roots,))
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("_n"))
+    named = join_groups(rooted, "root", least, nodes.count()).select("fp", "component_id")
     out = prints.join(named, "fp", "left").select(
         F.col("id").alias(id_col), "fp", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id")
     )
@@ -209,8 +240,10 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Rows with a null id never link and stay; of rows with the same id one stays.
     """
+    mark = scratch_mark()
     found = components(docs, id_col, text_col).where(F.col(id_col).isNotNull())
     firsts = materialize(found.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).count(), "firsts")
+    clear_scratch(mark, keep=(firsts,))
     # nearly all ids are kept, so this side is no broadcast but at the smallest inputs; the plan is the same at every size
     kept = docs.join(firsts.select(id_col).hint("merge"), id_col, "left_semi").select(docs.columns)
     if firsts.where("count > 1").limit(1).count():

@@ -41,7 +41,7 @@ import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import default_parallelism, materialize, pieces, scratch_path
+from .common import default_parallelism, discard, materialize, pieces, scratch_path
 
 #: A whole gzip member without content, as latin-1 text for the writer's separator.
 EMPTY_MEMBER = gzip.compress(b"", mtime=0).decode("latin-1")
@@ -134,6 +134,7 @@ def write_archives(pages: DataFrame, path: str, revisit_bytes: int = 1000, recor
 
     packed = rows.mapInArrow(pack, "member binary").select(F.col("member").cast("string").alias("value"))
     packed.write.option("lineSep", EMPTY_MEMBER).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", records_per_file).text(path)
+    discard(again)
 
 
 def archives(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from talusgrid.llm import bpe, bradley_terry, components, contamination, html_main, lang_zstd, line_spread, ppm, quality_cascade, registry, simhash_anchor, warc_index
+from talusgrid.llm import bpe, bradley_terry, common, components, contamination, html_main, lang_zstd, line_spread, ppm, quality_cascade, registry, simhash_anchor, warc_index
 from talusgrid.llm.common import crc_mod
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -589,8 +589,8 @@ def test_anchors_meet_and_large_groups_are_cut(spark):
     fps = np.array(values, np.uint64)
     df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
     want = brute_components([(i, int(f)) for i, f in enumerate(fps)])
-    for most in (8192, 3):
-        roots = components.connected_components(simhash_anchor.links(df, most))
+    for most, split in ((8192, 32768), (3, 2)):
+        roots = components.connected_components(simhash_anchor.links(df, most, split))
         found = {r["node"]: r["root"] for r in roots.collect()}
         mine = [found.get(int(x), int(x)) for x in fps.view(np.int64)]
         assert [mine.index(x) for x in mine] == [[want[j] for j in range(len(fps))].index(want[i]) for i in range(len(fps))]
@@ -603,6 +603,23 @@ def test_golay_code_covers():
     assert all(len(set(r)) == (6 if w == 3 else 1) for r, w in zip(table.tolist(), weights[:, 0]))
 
 
+def test_split_anchors_hold_every_pair():
+    draw = np.random.default_rng(7)
+    wider = simhash_anchor.golay_cosets(simhash_anchor.RADIUS + 2)
+    for _ in range(300):
+        a = int(draw.integers(0, 1 << 63)) * 2 + 1
+        b = a
+        for bit in draw.choice(64, 4, replace=False):
+            b ^= 1 << int(bit)
+        fp = np.array([a, b], np.uint64).view(np.int64)
+        index, bucket, home = simhash_anchor.anchor_rows(fp)
+        deep, below, first = simhash_anchor.split_rows(fp[index], bucket, home, wider)
+        rows = set(zip(index[deep].tolist(), below.tolist()))
+        assert any((1, x) in rows for i, x, h in zip(index[deep].tolist(), below.tolist(), first.tolist()) if h and i == 0)
+    # a row goes to 22 anchors on average in each of two chunks
+    assert len(deep) < 2 * 40 * len(index)
+
+
 def test_simhash_odd_rows(spark, odd):
     got = rows_of(simhash_anchor.components(odd))
     assert len(got) == odd.count()
@@ -625,6 +642,44 @@ def test_components_of_chains_and_loops(spark):
     assert components.connected_components(df.limit(0)).count() == 0
 
 
+def test_hub_of_a_star(spark):
+    edges = [(i, 0) for i in range(1, 3000)] + [(5000 + i, 2999 - i) for i in range(300)] + [(9001, 9000)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    got = {r["node"]: r["root"] for r in components.connected_components(df).collect()}
+    assert got == {i: 0 for i in [*range(3000), *range(5000, 5300)]} | {9000: 9000, 9001: 9000}
+
+
+def test_large_groups_are_broadcast(spark):
+    rows = spark.createDataFrame([(i % 3 if i < 900 else i, i) for i in range(1200)], "k long, v long")
+    groups = rows.groupBy("k").agg(F.max("v").alias("most"), F.count("*").alias("_n"))
+    got = {tuple(r) for r in components.join_groups(rows, "k", groups, 1200).select("k", "v", "most").collect()}
+    assert got == {(i % 3, i, 897 + i % 3) for i in range(900)} | {(i, i, i) for i in range(900, 1200)}
+
+
+def test_scratch_is_removed_and_must_be_shared(spark, tmp_path):
+    from pathlib import Path
+
+    mark = common.scratch_mark()
+    made, kept = common.materialize(spark.range(3), "a"), common.materialize(spark.range(4), "b")
+    common.clear_scratch(mark, keep=(kept,))
+    assert not Path(made._scratch_path.removeprefix("file:")).exists() and kept.count() == 4
+    common.discard(kept)
+    assert common.scratch_mark() == mark
+
+    class Cluster:
+        conf = spark.conf
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})()
+
+    shared = spark.conf.get("spark.checkpoint.dir")
+    spark.conf.unset("spark.checkpoint.dir")
+    try:
+        if not spark.conf.get("spark.checkpoint.dir", None):
+            with pytest.raises(ValueError, match="share"):
+                common.shared_folder(Cluster)
+    finally:
+        spark.conf.set("spark.checkpoint.dir", shared)
+
+
 # --- 9 WARC
 
 
