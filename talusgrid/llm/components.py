@@ -1,46 +1,29 @@
 """Connected components by alternating large-star and small-star steps.
 
-Each step is a grouped minimum and a join with it.  Nodes with very many
-neighbours are joined by broadcast, of which a bound keeps them few, so none of
-them is gathered in one task.  Every round is written to the shared folder,
-which bounds the lineage and survives lost executors.
+Each step is a grouped minimum and a join with it.  The minimum is written
+first: a join of two tables, unlike one with an aggregate, is split by adaptive
+execution where a node has very many neighbours.  Every round is written to the
+shared folder, which bounds the lineage and survives lost executors.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import discard, materialize
+from .common import clear_scratch, discard, materialize, scratch_mark
 
 
-def join_groups(rows: DataFrame, key: str, groups: DataFrame, total: int) -> DataFrame:
-    """``rows`` inner-joined with an aggregate of them by ``key``, which has their number a group as ``_n``.
-
-    ``total`` bounds the number of rows.  Groups of more than a ten-thousandth of
-    it (and a hundred rows) are at most ten thousand, so these are broadcast; all
-    others are small.  Adaptive execution does not split a join with an aggregate.
-    """
-    limit = max(100, total // 10_000)
-    heavy = F.broadcast(groups.where(F.col("_n") > limit).withColumn("_heavy", F.lit(True)))
-    both = rows.join(heavy, key, "left")
-    names = [c for c in groups.columns if c != key]
-    light = both.where(F.col("_heavy").isNull()).drop("_heavy", *names).join(groups.where(F.col("_n") <= limit), key)
-    return both.where("_heavy").drop("_heavy", "_n").unionByName(light.drop("_n"))
-
-
-def _large_star(edges: DataFrame, total: int) -> DataFrame:
+def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("_n")).withColumn("m", F.least("a", "m"))
-    return join_groups(both.where("b > a"), "a", least, 2 * total).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = materialize(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")), "least")
+    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(edges: DataFrame, total: int) -> DataFrame:
+def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("_n"))
-    joined = join_groups(down, "a", least, total)
-    return joined.select("b", "m").where("b <> m").withColumnRenamed("b", "a").withColumnRenamed("m", "b").unionByName(
-        least.select("a", F.col("m").alias("b"))
-    )
+    least = materialize(down.groupBy("a").agg(F.min("b").alias("m")), "least")
+    joined = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return joined.unionByName(least.select("a", F.col("m").alias("b")))
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -50,12 +33,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     """
     now = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b").distinct()
     now = materialize(now, "edges")
-    total = now.count()
     seen = None
     for _ in range(max_rounds):
-        after = materialize(_small_star(_large_star(now, total), total).where("a <> b").distinct(), "edges")
+        mark = scratch_mark()
+        large = materialize(_large_star(now), "edges")
+        after = materialize(_small_star(large).where("a <> b").distinct(), "edges")
         state = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         discard(now)
+        clear_scratch(mark - 1, keep=(after,))
         now = after
         if tuple(state) == seen:
             break

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .common import clear_scratch, materialize, pieces, scratch_mark, text_bytes
-from .components import connected_components, join_groups
+from .components import connected_components
 
 THRESHOLD = 4
 SHINGLE = 4
@@ -170,7 +170,7 @@ def forest(home: np.ndarray, rows: np.ndarray, threshold: int = THRESHOLD) -> li
 
 def links(distinct: DataFrame, max_group: int = 8192, split_group: int = 32768) -> DataFrame:
     """Edges ``a``, ``b`` between distinct fingerprints (column ``fp``) that span all links."""
-    cosets, wider = golay_cosets(), golay_cosets(RADIUS + 2)
+    cosets = golay_cosets()
 
     def batch_of(bucket, fp, home):
         return pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int64)), pa.array(fp), pa.array(home)], names=["bucket", "fp", "home"])
@@ -182,6 +182,7 @@ def links(distinct: DataFrame, max_group: int = 8192, split_group: int = 32768)
             yield batch_of(bucket, fp[index], home)
 
     def split(batches):
+        wider = golay_cosets(RADIUS + 2)
         for batch in batches:
             bucket, fp, home = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
             for lo in range(0, len(fp), 2000):
@@ -227,8 +228,9 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     roots = connected_components(edges.unionByName(same), "a", "b")
     clear_scratch(mark, keep=(roots,))
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("_n"))
-    named = join_groups(rooted, "root", least, nodes.count()).select("fp", "component_id")
+    # written, so that the join is split where one root has very many fingerprints
+    least = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "components")
+    named = rooted.join(least, "root").select("fp", "component_id")
     out = prints.join(named, "fp", "left").select(
         F.col("id").alias(id_col), "fp", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id")
     )
