@@ -1,11 +1,13 @@
 """Quality rules as a short-circuit cascade of SQL expressions.
 
-A rule is a name and a condition that rejects a row.  Each rule's cost and
-rejection share are estimated on a bounded sample; the rules then stand in one
-CASE expression, most rejections per cost first, so that a row pays for the
-rules up to the first that rejects it.  The verdict does not depend on the
-order.  Everything runs as DataFrame expressions inside the scan's tasks: there
-is no shuffle and no Python.
+A rule is a name and a condition that rejects a row.  Each rule's cost, that of
+the counts it needs included, and its rejection share are estimated on a bounded
+sample; the rules then stand in one CASE expression, most rejections per cost
+first, so that a row pays for the rules up to the first that rejects it.  The
+verdict does not depend on the order.  :func:`keep` works out every count inside
+the rule that needs it; :func:`judge`, which reports the basic counts of each
+row, takes those as given.  Everything runs as DataFrame expressions inside the
+scan's tasks: there is no shuffle and no Python.
 
 Defined results: a null text has no words and all its counts are 0.  Conditions
 that are null do not reject.  Repeated rows get equal results; an empty table
@@ -69,46 +71,68 @@ def duplicate_lines(text: Column) -> Column:
     return let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
 
 
+#: The basic counts of a text column that is not null.
+COUNTS: dict[str, Callable[[Column], Column]] = {
+    "n_words": lambda text: F.size(words_of(text)).cast("long"),
+    "word_chars": lambda text: F.length(F.translate(text, SPACES, "")).cast("long"),
+    "n_symbols": lambda text: (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
+    "n_dup_lines": duplicate_lines,
+    "n_repeat_words": lambda text: repeated_words(words_of(text)),
+}
+Counts = Callable[[str], Column]
+
+
+def given(name: str) -> Column:
+    """A count as a column that :func:`measures` made."""
+    return F.col(name)
+
+
+def worked_out(name: str) -> Column:
+    """A count as an expression of the text, evaluated where it stands."""
+    return COUNTS[name](F.col("text"))
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+
+
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id, the text, and the basic counts of each whole text."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col), text.alias("text")).withColumn("words", words_of(F.col("text")))
-    return rows.select(
-        F.col(id_col),
-        "text",
-        F.size("words").cast("long").alias("n_words"),
-        F.length(F.translate("text", SPACES, "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        duplicate_lines(F.col("text")).alias("n_dup_lines"),
-        repeated_words(F.col("words")).alias("n_repeat_words"),
-    )
+    rows = _texts(docs, id_col, text_col).withColumn("words", words_of(F.col("text")))
+    of_words = {"n_words": F.size("words").cast("long"), "n_repeat_words": repeated_words(F.col("words"))}
+    return rows.select(F.col(id_col), "text", *[of_words.get(name, count(F.col("text"))).alias(name) for name, count in COUNTS.items()])
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``rejects`` may use the columns of :func:`measures`."""
+    """``rejects`` gets the counts by name (:func:`given` or :func:`worked_out`) and may use the column ``text``."""
 
     name: str
-    rejects: Callable[[], Column]
+    rejects: Callable[[Counts], Column]
 
 
 def _letters_share(pattern: str, most: float) -> Column:
     return F.length(F.regexp_replace("text", pattern, "")) < F.length("text") * (1 - most)
 
 
+#: What every text must pass.
+BASE = (
+    Rule("few_words", lambda n: n("n_words") < 20),
+    Rule("repeated_words", lambda n: n("n_repeat_words") * 100 > n("n_words") * 30),
+)
 #: Rejections that clean prose stays far from.
 RULES = (
-    Rule("symbols", lambda: F.col("n_symbols") * 10 > F.col("n_words")),
-    Rule("word_length", lambda: (F.col("word_chars") < F.col("n_words") * 2) | (F.col("word_chars") > F.col("n_words") * 15)),
-    Rule("duplicate_lines", lambda: F.col("n_dup_lines") * 10 > F.size(F.split("text", "\n")) * 3),
-    Rule("shouting", lambda: _letters_share("[A-Z]", 0.5)),
-    Rule("exclamations", lambda: (F.length("text") - F.length(F.translate("text", "!", ""))) * 3 > F.col("n_words")),
-    Rule("digits", lambda: _letters_share("[0-9]", 0.3)),
+    Rule("symbols", lambda n: n("n_symbols") * 10 > n("n_words")),
+    Rule("word_length", lambda n: (n("word_chars") < n("n_words") * 2) | (n("word_chars") > n("n_words") * 15)),
+    Rule("duplicate_lines", lambda n: n("n_dup_lines") * 10 > F.size(F.split("text", "\n")) * 3),
+    Rule("shouting", lambda n: _letters_share("[A-Z]", 0.5)),
+    Rule("exclamations", lambda n: (F.length("text") - F.length(F.translate("text", "!", ""))) * 3 > n("n_words")),
+    Rule("digits", lambda n: _letters_share("[0-9]", 0.3)),
 )
 
 
 def base_failed() -> Column:
-    return (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
+    return BASE[0].rejects(given) | BASE[1].rejects(given)
 
 
 @dataclass(frozen=True)
@@ -123,17 +147,19 @@ class Estimate:
         return self.rejected / self.seconds if self.rejected else -self.seconds
 
 
-def estimate(docs: DataFrame, rules=RULES, sample_rows: int = 400, repeats: int = 3, id_col: str = "doc_id", text_col: str = "text") -> list[Estimate]:
-    """Cost and rejection share of each rule on the first ``sample_rows`` rows at hand.
+def estimate(docs: DataFrame, rules=RULES, counts: Counts = given, sample_rows: int = 400, repeats: int = 3, id_col: str = "doc_id", text_col: str = "text") -> list[Estimate]:
+    """Cost and rejection share of each rule on about ``sample_rows`` rows, picked by a hash of id and text.
 
     The sample only decides the order of the rules, never a verdict.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(text_col).cast("string").alias("text")).take(sample_rows)
+    share = min(1.0, sample_rows / max(1, docs.count()))
+    picked = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1
+    rows = _texts(docs.where(picked), id_col, text_col).select("text").collect()
     if not rows:
         return [Estimate(r.name, 1.0, 0.0) for r in rules]
     sample = spark.createDataFrame([(i, r["text"]) for i, r in enumerate(rows)], "doc_id long, text string")
-    sample = measures(sample).cache()
+    sample = (measures(sample) if counts is given else sample).cache()
     sample.count()
 
     def timed(condition: Column) -> tuple[float, int]:
@@ -147,7 +173,7 @@ def estimate(docs: DataFrame, rules=RULES, sample_rows: int = 400, repeats: int
     idle, _ = timed(F.lit(False))
     found = []
     for rule in rules:
-        seconds, hits = timed(F.coalesce(rule.rejects(), F.lit(False)))
+        seconds, hits = timed(F.coalesce(rule.rejects(counts), F.lit(False)))
         found.append(Estimate(rule.name, max(seconds - idle, 1e-5), hits / len(rows)))
     sample.unpersist()
     return found
@@ -159,17 +185,17 @@ def ordered(rules, estimates: list[Estimate]) -> list[Rule]:
     return sorted(rules, key=lambda r: (-gain[r.name], r.name))
 
 
-def first_rejection(rules) -> Column:
+def first_rejection(rules, counts: Counts = given) -> Column:
     """The name of the first rule that rejects the row, null if none does."""
     out = F.lit(None).cast("string")
     for rule in reversed(list(rules)):
-        out = F.when(rule.rejects(), F.lit(rule.name)).otherwise(out)
+        out = F.when(rule.rejects(counts), F.lit(rule.name)).otherwise(out)
     return out
 
 
 def judge(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 400) -> DataFrame:
     """Per row: the id, the counts, ``base_failed``, ``failed_rule`` (which rule comes first varies) and ``kept``."""
-    order = ordered(rules, estimate(docs, rules, sample_rows, id_col=id_col, text_col=text_col))
+    order = ordered(rules, estimate(docs, rules, given, sample_rows, id_col=id_col, text_col=text_col))
     rows = measures(docs, id_col, text_col).withColumn("base_failed", base_failed())
     failed = F.when(F.col("base_failed"), F.lit("base")).otherwise(first_rejection(order))
     return rows.withColumn("failed_rule", failed).select(
@@ -177,6 +203,14 @@ def judge(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str =
     )
 
 
+def keep(docs: DataFrame, rules=BASE + RULES, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 400, order: list[Rule] | None = None) -> DataFrame:
+    """The rows of ``docs`` that no rule rejects, with their columns unchanged; a row pays for no rule after the first that rejects it."""
+    order = order or ordered(rules, estimate(docs, rules, worked_out, sample_rows, id_col=id_col, text_col=text_col))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.struct("*").alias("_row"), text.alias("text"))
+    return rows.where(first_rejection(order, worked_out).isNull()).select("_row.*")
+
+
 def oracle_sql(table: str = "documents") -> str:
     """The same counts and verdict in DuckDB SQL."""
     spaces = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"

@@ -333,10 +333,25 @@ def test_verdict_does_not_depend_on_order(spark, small):
     a, b = (rows.select("doc_id", quality_cascade.first_rejection(r).isNull().alias("k")) for r in (quality_cascade.RULES, quality_cascade.RULES[::-1]))
     assert sorted(rows_of(a)) == sorted(rows_of(b))
     found = [quality_cascade.Estimate("a", 1.0, 0.1), quality_cascade.Estimate("b", 0.1, 0.1), quality_cascade.Estimate("c", 0.5, 0.0)]
-    rules = [quality_cascade.Rule(n, lambda: F.lit(False)) for n in "cab"]
+    rules = [quality_cascade.Rule(n, lambda n: F.lit(False)) for n in "cab"]
     assert [r.name for r in quality_cascade.ordered(rules, found)] == ["b", "a", "c"]
 
 
+def test_cascade_works_counts_out_where_they_are_needed(spark, odd, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    for df in (odd, docs):
+        verdict = Counter(tuple(r) for r in quality_cascade.judge(df).where("kept").select("doc_id").collect())
+        kept = quality_cascade.keep(df)
+        assert kept.columns == df.columns and Counter(tuple(r) for r in kept.select("doc_id").collect()) == verdict
+        for order in (list(quality_cascade.BASE + quality_cascade.RULES), list(quality_cascade.BASE + quality_cascade.RULES)[::-1]):
+            assert Counter(tuple(r) for r in quality_cascade.keep(df, order=order).select("doc_id").collect()) == verdict
+    assert quality_cascade.keep(odd.limit(0)).count() == 0
+    cost = {e.name: e.seconds for e in quality_cascade.estimate(docs, quality_cascade.BASE, quality_cascade.worked_out)}
+    assert cost["repeated_words"] > cost["few_words"]
+    plan = quality_cascade.keep(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan
+
+
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_same_rows_as_sql(spark, duck, small, tmp_path, name):
     path = str(tmp_path / "out")
