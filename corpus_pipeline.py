@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from talusgrid.llm import bpe, contamination, lang_zstd, line_spread, simhash_anchor
-from talusgrid.llm.common import materialize, table
+from talusgrid.llm.common import clear_scratch, materialize, scratch_mark, table
 from talusgrid.llm.registry import byte_bpe_files, fit_language_model
 
 
@@ -19,7 +19,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Remove lines spread over ten sites or more, but for their first occurrence; ``n_chars`` follows the text."""
+    """Remove lines spread over many sites, but for their first occurrence; ``n_chars`` follows the text."""
     cleaned = line_spread.clean(docs)
     size = F.when(F.col("_n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return cleaned.withColumn("n_chars", size).select(docs.columns)
@@ -55,6 +55,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each stage's rows are written to the shared folder and read by the next."""
     docs = table(spark, sf_dir, "documents")
+    mark = scratch_mark()
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        clear_scratch(mark, keep=(docs,))
     return STAGES[-1][1](spark, docs, sf_dir)
