@@ -1,5 +1,6 @@
 """Operators on small hand-made tables, with values worked out by hand."""
 
+from pathlib import Path
 import time
 
 import numpy as np
@@ -272,3 +273,21 @@ def test_plans_prune_and_push(spark, small):
     shown = rows._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(o_orderstatus,F)" in shown and "o_totalprice" not in shown
     assert FUSION.rank_constant == 60
+
+
+def test_entry_without_the_corpus_operators(tmp_path):
+    """The engine's queries stay where the optional packages, or a library they need, are not there."""
+    import subprocess
+    import sys
+
+    root = str(Path(__file__).resolve().parent.parent)
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+for name in {{blocked}}:
+    sys.modules[name] = None
+import __spark_entry__ as e
+print(len(e.queries()), sum(n.startswith('op') and n[2].isdigit() or n == 'pipeline' for n in e.queries()), set(e.oracle_sql()) <= set(e.queries()))
+"""
+    got = [subprocess.run([sys.executable, "-c", code.format(blocked=b)], capture_output=True, text=True, check=True, cwd=tmp_path).stdout.split() for b in (["talusgrid.llm", "corpus_pipeline"], ["zstandard"])]
+    assert got[0] == got[1] and got[0][1:] == ["0", "True"] and int(got[0][0]) > 100
