@@ -57,6 +57,8 @@ class Fusion:
     inject_min_similarity: float = 0.15
     inject_cap: int = 3
     inject_pool: int = 6
+    inject_targets: int = 3
+    inject_enough: int = 3
     topic_discount: float = 0.85
     supplemental_discount: float = 0.7
 

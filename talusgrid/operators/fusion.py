@@ -57,15 +57,23 @@ def boilerplate_factor(text: Column, patterns: tuple[str, ...], p: Fusion = FUSI
     return F.when(hits >= 2, F.lit(p.boilerplate_two)).when(hits == 1, F.lit(p.boilerplate_one)).otherwise(F.lit(1.0))
 
 
-def inject(main: DataFrame, pool: DataFrame, n_targets: int, p: Fusion = FUSION) -> DataFrame:
+def inject(main: DataFrame, pool: DataFrame, targets: list, group_of: DataFrame, p: Fusion = FUSION) -> DataFrame:
     """Add well matching rows of the target groups that the main list lacks.
 
-    ``pool``: query_id, id, score (a similarity), group.  Of its best
-    ``inject_pool`` rows a target, those not in ``main`` that are similar enough
-    enter, at most ``inject_cap`` a group, with the main list's upper median.
+    ``main``: query_id, id, score, source; ``group_of``: id, group of all rows;
+    ``pool``: query_id, id, score (a similarity), group, the nearest rows of the
+    targets.  Of its best ``inject_pool`` rows a target, those not in ``main``
+    that are similar enough enter, at most ``inject_cap`` a group, with the main
+    list's upper median.  Without targets, with more than ``inject_targets``, or
+    where each target has ``inject_enough`` rows in the main list already, the
+    list stays as it is.
     """
+    if not 0 < len(targets) <= p.inject_targets:
+        return main.select("query_id", "id", "score", "source")
+    of_targets = main.select("query_id", "id").join(group_of.where(F.col("group").isin(targets)), "id").groupBy("query_id", "group").count()
+    served = of_targets.where(F.col("count") >= p.inject_enough).groupBy("query_id").count().where(F.col("count") == len(set(targets)))
     top = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    best = pool.withColumn("r", F.row_number().over(top)).where(F.col("r") <= p.inject_pool * n_targets)
+    best = pool.withColumn("r", F.row_number().over(top)).where(F.col("r") <= p.inject_pool * len(targets)).join(served.select("query_id"), "query_id", "left_anti")
     new = best.join(main.select("query_id", "id"), ["query_id", "id"], "left_anti").where(F.col("score") >= p.inject_min_similarity)
     per = Window.partitionBy("query_id", "group").orderBy(F.desc("score"), "id")
     new = new.withColumn("g", F.row_number().over(per)).where(F.col("g") <= p.inject_cap)
@@ -87,29 +95,38 @@ def drop_near_copies(ranked: DataFrame, p: Fusion = FUSION) -> DataFrame:
     return lists.select("query_id", F.posexplode(kept).alias("pos", "x")).select("query_id", F.col("x.id").alias("id"), (-F.col("x.s")).alias("score"), (F.col("pos") + 1).cast("long").alias("rank"))
 
 
-def caps(ranked: DataFrame, targets: list[str], n_terms: int, p: Fusion = FUSION) -> DataFrame:
-    """How many rows a group may keep: query_id, group, cap.
+def group_cap(targets: list[str], n_terms: int, multi: Column, share: Column, p: Fusion = FUSION) -> Column:
+    """How many rows a group may keep.
 
     Targets (three at most) get a multiple.  With two or more terms, a group with
-    several rows that match two terms, and a large share of all such rows, gets
-    more too.  ``ranked`` has query_id, group and ``hits`` (matching terms).
+    several rows that match two terms (``multi``), and a large share of all such
+    rows, gets more too.
     """
-    multi = F.sum((F.col("hits") >= 2).cast("int"))
-    per = ranked.groupBy("query_id", "group").agg(multi.alias("multi"))
-    share = F.col("multi") / F.nullif(F.sum("multi").over(Window.partitionBy("query_id")), F.lit(0))
-    dense = F.lit(n_terms >= 2) & (F.col("multi") >= p.dense_hits) & (share >= p.dense_share)
+    dense = F.lit(n_terms >= 2) & (multi >= p.dense_hits) & (share >= p.dense_share)
     target = F.col("group").isin(targets) if 0 < len(targets) <= 3 else F.lit(False)
-    cap = F.greatest(F.when(target, F.lit(p.target_cap_factor * p.group_cap)).otherwise(p.group_cap), F.when(dense, F.lit(p.dense_cap_factor * p.group_cap)).otherwise(p.group_cap))
-    return per.select("query_id", "group", cap.alias("cap"))
+    return F.greatest(F.when(target, F.lit(p.target_cap_factor * p.group_cap)).otherwise(p.group_cap), F.when(dense, F.lit(p.dense_cap_factor * p.group_cap)).otherwise(p.group_cap))
+
+
+def with_caps(ranked: DataFrame, targets: list[str], n_terms: int, p: Fusion = FUSION) -> DataFrame:
+    """``ranked`` (query_id, group and ``hits``, the matching terms, among others) with the ``cap`` of each row's group, in one pass."""
+    strong = (F.col("hits") >= 2).cast("int")
+    multi = F.sum(strong).over(Window.partitionBy("query_id", "group"))
+    every = F.sum(strong).over(Window.partitionBy("query_id"))
+    return ranked.withColumn("cap", group_cap(targets, n_terms, multi, multi / F.nullif(every, F.lit(0)), p))
+
+
+def caps(ranked: DataFrame, targets: list[str], n_terms: int, p: Fusion = FUSION) -> DataFrame:
+    """The caps of all groups: query_id, group, cap."""
+    return with_caps(ranked, targets, n_terms, p).select("query_id", "group", "cap").distinct()
 
 
-def diversify(ranked: DataFrame, cap: DataFrame, final: int) -> DataFrame:
+def diversify(ranked: DataFrame, final: int, cap: DataFrame | None = None) -> DataFrame:
     """Rows with a keyword first, at most ``cap`` a group, then others up to what the cap leaves; ``final`` rows in all.
 
-    ``ranked``: query_id, id, group, score, rank, ``hits``.  The order is that of
-    the two passes.
+    ``ranked``: query_id, id, group, score, rank, ``hits``, and ``cap`` unless a
+    table of caps is given.  The order is that of the two passes.
     """
-    rows = ranked.join(cap, ["query_id", "group"], "left").withColumn("keyed", F.col("hits") > 0)
+    rows = (ranked.join(cap, ["query_id", "group"], "left") if cap is not None else ranked).withColumn("keyed", F.col("hits") > 0)
     per = Window.partitionBy("query_id", "group", "keyed").orderBy("rank")
     group = Window.partitionBy("query_id", "group")
     rows = rows.withColumn("n", F.row_number().over(per))
@@ -118,7 +135,12 @@ def diversify(ranked: DataFrame, cap: DataFrame, final: int) -> DataFrame:
     stage = F.when(F.col("keyed") & (F.col("n") <= F.col("cap")), 1).when(~F.col("keyed") & (F.col("n") <= F.col("left")), 2)
     rows = rows.withColumn("stage", stage).where(F.col("stage").isNotNull())
     order = Window.partitionBy("query_id").orderBy("stage", "rank")
-    return rows.withColumn("pos", F.row_number().over(order).cast("long")).where(F.col("pos") <= final).select("query_id", "id", "group", "score", "stage", "pos")
+    return rows.withColumn("pos", F.row_number().over(order).cast("long")).where(F.col("pos") <= final).select("query_id", "id", "group", "score", "stage", "pos", "hits")
+
+
+def group_factor(group: Column, targets: list, p: Fusion = FUSION) -> Column:
+    """The boost of the rows of target groups."""
+    return F.when(group.isin(targets), F.lit(p.group_boost)).otherwise(F.lit(1.0)) if targets else F.lit(1.0)
 
 
 def expand_neighbours(results: DataFrame, chunks: DataFrame, n_terms: int, p: Fusion = FUSION) -> DataFrame:

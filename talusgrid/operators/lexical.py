@@ -44,26 +44,54 @@ def bm25(tf: Column, df: Column, length: Column, n_docs: Column, avgdl: Column,
     return idf * tf * (p.k1 + 1) / (tf + p.k1 * (1 - p.b + p.b * length / avgdl))
 
 
+#: Stands for a document itself among its words; no word has it.
+WHOLE = "\x00"
+
+
+def _wanted(queries: DataFrame, synonyms: dict[str, list[str]] | None) -> DataFrame:
+    return queries.select("query_id", F.explode(expand_terms(search_tokens(F.col("query")), synonyms or {})).alias("term")).distinct()
+
+
 def search(docs: DataFrame, queries: DataFrame, k: int, id_col: str, text_col: str, synonyms: dict[str, list[str]] | None = None, params: Bm25 = Bm25()) -> DataFrame:
     """Top ``k`` documents for each row of ``queries`` (query_id, query): query_id, id, score, rank.
 
-    Only words of the queries leave the scan: documents are tokenised once, their
-    tokens meet the distinct query words in a join that Spark broadcasts while
-    these are small, and counts are combined before any shuffle.
+    Documents are tokenised once.  Only words of the queries leave the scan, in a
+    join that Spark broadcasts while these are few, with one row a document that
+    carries its length; counts are combined before any shuffle, and document
+    frequencies and corpus statistics come from the same exchange.
     """
-    terms = queries.select("query_id", F.explode(expand_terms(search_tokens(F.col("query")), synonyms or {})).alias("term")).distinct()
-    wanted = terms.select("term").distinct()
+    terms = _wanted(queries, synonyms)
+    wanted = terms.select("term").unionByName(docs.sparkSession.range(1).select(F.lit(WHOLE).alias("term"))).distinct()
     tokens = docs.select(F.col(id_col).alias("id"), search_tokens(F.col(text_col)).alias("tokens"))
-    stats = tokens.agg(F.count("*").alias("n_docs"), F.avg(F.size("tokens")).alias("avgdl"))
-    rows = tokens.select("id", F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
+    rows = tokens.select("id", F.size("tokens").alias("len"), F.explode(F.concat("tokens", F.array(F.lit(WHOLE)))).alias("term"))
     postings = rows.join(wanted, "term", "left_semi").groupBy("term", "id", "len").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    scored = postings.join(df, "term").crossJoin(F.broadcast(stats))  # one row
-    scored = scored.select("term", "id", bm25(F.col("tf"), F.col("df"), F.col("len"), F.col("n_docs"), F.col("avgdl"), params).alias("w"))
-    total = scored.join(terms, "term").groupBy("query_id", "id").agg(F.round(F.sum("w"), 6).alias("score"))
+    df = postings.groupBy("term").agg(F.count("*").alias("df"), F.avg("len").alias("avg"))
+    # conditions inside the aggregate, not before it, so that the exchange of the postings is the same
+    whole = F.col("term") == WHOLE
+    stats = df.agg(F.max(F.when(whole, F.col("df"))).alias("n_docs"), F.max(F.when(whole, F.col("avg"))).alias("avgdl"))
+    return _scored(postings, df.select("term", "df"), stats, terms, k, params)
+
+
+def _scored(postings: DataFrame, df: DataFrame, stats: DataFrame, terms: DataFrame, k: int, params: Bm25) -> DataFrame:
+    rows = postings.join(df.join(terms, "term"), "term").crossJoin(F.broadcast(stats))  # one row
+    weight = bm25(F.col("tf"), F.col("df"), F.col("len"), F.col("n_docs"), F.col("avgdl"), params)
+    total = rows.select("query_id", "id", weight.alias("w")).groupBy("query_id", "id").agg(F.round(F.sum("w"), 6).alias("score"))
     return top_per(total, k)
 
 
+def search_index(index: Index, queries: DataFrame, k: int, synonyms: dict[str, list[str]] | None = None, params: Bm25 = Bm25()) -> DataFrame:
+    """:func:`search` over an index that was built before.
+
+    The queries' words, a bounded list, reach the scan of the postings as a
+    filter, so Parquet passes over the row groups of other words.
+    """
+    terms = _wanted(queries, synonyms)
+    words = sorted(r["term"] for r in terms.select("term").distinct().collect())
+    hit = F.col("term").isin(words)
+    postings = index.postings.where(hit).join(index.docs, "id")
+    return _scored(postings, index.terms.where(hit), index.stats, terms, k, params)
+
+
 def top_per(scored: DataFrame, k: int, by: str = "query_id", order: tuple[Column, ...] | None = None) -> DataFrame:
     """The best ``k`` rows of each group with their ``rank`` from 1; Spark prunes before the shuffle."""
     window = Window.partitionBy(by).orderBy(*(order or (F.desc("score"), F.asc("id"))))

@@ -33,42 +33,52 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "ve
     out = None
     for part in range(parts):
         mine = wanted if parts == 1 else wanted.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
-        held = sorted(((r["query_id"], r["v"]) for r in mine.collect()), key=lambda r: r[0])
-        shared = spark.sparkContext.broadcast(held)
+        by_size: dict[int, list] = {}
+        for r in mine.collect():
+            by_size.setdefault(len(r["v"]), []).append((r["query_id"], r["v"]))
+        shared = spark.sparkContext.broadcast([sorted(x, key=lambda r: r[0]) for x in by_size.values()])
 
         def run(batches, shared=shared):
-            held = shared.value
-            if not held:
-                return
-            q = np.array([v for _, v in held], np.float64)
-            norm = np.linalg.norm(q, axis=1)
-            names = np.array([i for i, _ in held])
             for batch in batches:
-                column = batch.column(1)
-                sizes = np.asarray(pa.compute.list_value_length(column))
-                fits = np.flatnonzero(sizes == q.shape[1])
-                if not len(fits):
-                    continue
-                part = batch.take(pa.array(fits))
-                v = part.column(1).flatten().to_numpy().astype(np.float64).reshape(-1, q.shape[1])
-                ids = part.column(0).to_numpy()
-                size = np.linalg.norm(v, axis=1)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    score = np.round((q @ v.T) / (norm[:, None] * size[None, :]), 6)
-                score[~np.isfinite(score)] = -np.inf
-                if len(ids) > k:
-                    # ties at the k-th place all go on, the window decides by id
-                    least = np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k]
-                    row, at = np.nonzero((score >= least[:, None]) & (score > -np.inf))
-                else:
-                    row, at = np.nonzero(score > -np.inf)
-                yield pa.RecordBatch.from_arrays([pa.array(names[row]), pa.array(ids[at]), pa.array(score[row, at] + 0.0)], names=["query_id", "id", "score"])
+                for held in shared.value:
+                    yield from _best(batch, held, k)
 
         found = rows.mapInArrow(run, "query_id long, id long, score double")
         out = found if out is None else out.unionByName(found)
     return top_per(out, k)
 
 
+def _best(batch: pa.RecordBatch, held: list, k: int):
+    """The ``k`` best rows of a batch for each of the queries ``held``, which have vectors of one length."""
+    q = np.array([v for _, v in held], np.float64)
+    norm = np.linalg.norm(q, axis=1)
+    names = np.array([i for i, _ in held])
+    column = batch.column(1)
+    sizes = np.asarray(pa.compute.list_value_length(column))
+    fits = np.flatnonzero(sizes == q.shape[1])
+    if not len(fits):
+        return
+    part = batch.take(pa.array(fits))
+    v = part.column(1).flatten().to_numpy().astype(np.float64).reshape(-1, q.shape[1])
+    ids = part.column(0).to_numpy()
+    size = np.linalg.norm(v, axis=1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        score = np.round((q @ v.T) / (norm[:, None] * size[None, :]), 6)
+    score[~np.isfinite(score)] = -np.inf
+    if len(ids) > k:
+        # ties at the k-th place all go on, the window decides by id
+        least = np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k]
+        row, at = np.nonzero((score >= least[:, None]) & (score > -np.inf))
+    else:
+        row, at = np.nonzero(score > -np.inf)
+    yield pa.RecordBatch.from_arrays([pa.array(names[row]), pa.array(ids[at]), pa.array(score[row, at] + 0.0)], names=["query_id", "id", "score"])
+
+
+def nearest_only(vectors: DataFrame, queries: DataFrame, k: int, final: int, **options) -> DataFrame:
+    """Where there is no lexical index: the nearest ``max(k, final)`` rows, of which ``final`` are kept."""
+    return neighbours(vectors, queries, max(k, final), **options).where(F.col("rank") <= final)
+
+
 def min_max(scored: DataFrame, by: str = "query_id", score: str = "score") -> DataFrame:
     """Scores moved to 0..1 within each group; a group of equal scores becomes 0."""
     w = Window.partitionBy(by)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..config import FUSION, depth
 from ..functions.text import query_terms, search_tokens
 from ..operators import fusion, lexical, vector
+from ..scratch import scratch_path, settle
 from .base import Suite, Tables, tokens_sql
 
 suite = Suite()
@@ -16,35 +17,33 @@ query = suite.query
 QUESTION = "the nation that was of heed and ing"
 SYNONYMS = {"nation": ["tion", "ation"], "heed": ["hede"], "ing": ["inging"]}
 BOILERPLATE = (r"(?i)all rights reserved", r"(?i)licen[sc]ed? under", r"(?i)\bversion \d", r"(?i)released under the")
-#: Ids under this bound exist in documents and embeddings alike; the pairing of equal ids is synthetic.
-LISTS = 200
 
 
 def _values(terms: list[str]) -> str:
     return ", ".join(f"('{t}')" for t in terms)
 
 
-def bm25_sql(terms: str, k: int, name: str = "documents", key: str = "doc_id") -> str:
-    """``terms`` is SQL of rows (query_id, term)."""
+def bm25_sql(terms: str, k: int, p: str = "l") -> str:
+    """``terms`` is SQL of rows (query_id, term); the result's name is ``p`` and an x."""
     return f"""
-d AS (SELECT {key} AS id, {tokens_sql("text")} AS t FROM {name}),
-st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM d),
-q AS (SELECT DISTINCT query_id, term FROM ({terms})),
-tf AS (SELECT term, id, dl, count(*) AS tf FROM (SELECT id, len(t) AS dl, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
-df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-sc AS (SELECT query_id, id, round(sum(ln((n - df + 0.5e0) / (df + 0.5e0) + 1) * tf * 2.5e0 / (tf + 1.5e0 * (0.25e0 + 0.75e0 * dl / avgdl))), 6) AS score
-       FROM tf JOIN df USING (term) JOIN q USING (term), st GROUP BY query_id, id),
-lx AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc QUALIFY rank <= {k})"""
-
-
-def knn_sql(queries: str, k: int, where: str = "true") -> str:
-    """``queries`` is SQL of rows (query_id, v)."""
+{p}d AS (SELECT doc_id AS id, {tokens_sql("text")} AS t FROM documents),
+{p}st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM {p}d),
+{p}q AS (SELECT DISTINCT query_id, term FROM ({terms})),
+{p}tf AS (SELECT term, id, dl, count(*) AS tf FROM (SELECT id, len(t) AS dl, unnest(t) AS term FROM {p}d) WHERE term IN (SELECT term FROM {p}q) GROUP BY ALL),
+{p}df AS (SELECT term, count(*) AS df FROM {p}tf GROUP BY term),
+{p}sc AS (SELECT query_id, id, round(sum(ln((n - df + 0.5e0) / (df + 0.5e0) + 1) * tf * 2.5e0 / (tf + 1.5e0 * (0.25e0 + 0.75e0 * dl / avgdl))), 6) AS score
+       FROM {p}tf JOIN {p}df USING (term) JOIN {p}q USING (term), {p}st GROUP BY query_id, id),
+{p}x AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM {p}sc QUALIFY rank <= {k})"""
+
+
+def knn_sql(queries: str, k: int, where: str = "true", p: str = "v", part: str = "embedding") -> str:
+    """``queries`` is SQL of rows (query_id, v); the result's name is ``p`` and an x."""
     dot = lambda a, b: f"list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1] * z[2]))"
     return f"""
-e AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE {where}),
-vq AS ({queries}),
-vs AS (SELECT query_id, e.id, e.label, round({dot("vq.v", "e.v")} / (sqrt({dot("vq.v", "vq.v")}) * sqrt({dot("e.v", "e.v")})), 6) + 0 AS score FROM e, vq),
-vx AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM vs QUALIFY rank <= {k})"""
+{p}e AS (SELECT vec_id AS id, label, {part}::DOUBLE[] AS v FROM embeddings WHERE {where}),
+{p}q AS ({queries}),
+{p}s AS (SELECT query_id, e.id, e.label, round({dot("q.v", "e.v")} / (sqrt({dot("q.v", "q.v")}) * sqrt({dot("e.v", "e.v")})), 6) + 0 AS score FROM {p}e e, {p}q q),
+{p}x AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM {p}s QUALIFY rank <= {k})"""
 
 
 ONE_QUERY = f"SELECT 0 AS query_id, unnest({tokens_sql(chr(39) + QUESTION + chr(39))}) AS term"
@@ -57,6 +56,15 @@ def bm25_topk(t: Tables) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "score", "rank")
 
 
+@query(f"WITH {bm25_sql(ONE_QUERY, 10)} SELECT id AS doc_id, score, rank FROM lx")
+def bm25_index_topk(t: Tables) -> DataFrame:
+    """The question over an index that is written once and read back by its words."""
+    path = scratch_path(t.spark, "lexical-index")
+    lexical.build_index(t.documents, "doc_id", "text").write(path)
+    questions = t.rows("query_id int, query string", [(0, QUESTION)])
+    return lexical.search_index(lexical.Index.read(t.spark, path), questions, 10).select(F.col("id").alias("doc_id"), "score", "rank")
+
+
 @query(f"WITH {bm25_sql('SELECT item_id AS query_id, unnest(' + tokens_sql('text') + ') AS term FROM benchmark', 5)} SELECT query_id AS item_id, id AS doc_id, score, rank FROM lx")
 def bm25_topk_batch(t: Tables) -> DataFrame:
     queries = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
@@ -126,16 +134,51 @@ def minmax_scores(t: Tables) -> DataFrame:
     return found.select(F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH {knn_sql(ONE_VECTOR, 60)},
-f AS (SELECT label AS id, max(score) AS score FROM vx WHERE rank <= 30 GROUP BY label),
-tp AS (SELECT (id % 12)::INT AS id, max(score) * 0.85e0 AS topic FROM vx GROUP BY 1)
-SELECT coalesce(f.id, tp.id)::INT AS id, round(greatest(f.score, topic), 6) AS score,
-       CASE WHEN topic IS NULL THEN 'fulltext' WHEN f.score IS NULL THEN 'topic' ELSE 'both' END AS matched_via FROM f FULL JOIN tp ON f.id = tp.id""")
+def topics(t: Tables) -> DataFrame:
+    """Topic vectors: shorter ones, several of which belong to a parent row: topic_id, parent_id, vector."""
+    parent = F.col("vec_id") - F.col("vec_id") % 4
+    return t.embeddings.select(F.col("vec_id").alias("topic_id"), parent.alias("parent_id"), F.slice("embedding", 1, 32).alias("vector"))
+
+
+def _near_topics(t: Tables, k: int, query_id: int = 0) -> DataFrame:
+    """The parents of the nearest topics with each topic's score: query_id, id, score."""
+    table = topics(t)
+    one = table.where(F.col("topic_id") == query_id).select(F.lit(0).alias("query_id"), "vector")
+    found = vector.min_max(vector.neighbours(table, one, k, "topic_id", "vector"))
+    return found.join(table.select(F.col("topic_id").alias("id"), "parent_id"), "id").select("query_id", F.col("parent_id").alias("id"), "score")
+
+
+ONE_TOPIC = "SELECT 0 AS query_id, embedding[1:32]::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0"
+_MINMAX = "(score - min(score) OVER ()) / coalesce(nullif(max(score) OVER () - min(score) OVER (), 0), 1)"
+_MERGED_SQL = f"""{knn_sql(ONE_VECTOR, 60)}, {knn_sql(ONE_TOPIC, 60, p='w', part='embedding[1:32]')},
+vn AS (SELECT id, {_MINMAX} AS score FROM vx), wn AS (SELECT id, {_MINMAX} AS score FROM wx),
+tp AS (SELECT id - id % 4 AS id, max(score) * 0.85e0 AS topic FROM wn GROUP BY 1),
+mg AS (SELECT coalesce(vn.id, tp.id) AS id, round(greatest(score, topic), 6) AS score,
+       CASE WHEN topic IS NULL THEN 'fulltext' WHEN score IS NULL THEN 'topic' ELSE 'both' END AS matched_via FROM vn FULL JOIN tp ON vn.id = tp.id)"""
+
+
+def _merged(t: Tables, near: DataFrame, k: int, query_id: int = 0) -> DataFrame:
+    merged = vector.merge_topics(vector.min_max(near).select("id", "score"), _near_topics(t, k, query_id), FUSION.topic_discount)
+    return merged.withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {knn_sql(ONE_TOPIC, 10, part='embedding[1:32]')} SELECT id AS topic_id, id - id % 4 AS parent_id, score, rank FROM vx")
+def topic_knn(t: Tables) -> DataFrame:
+    table = topics(t)
+    one = table.where("topic_id = 0").select(F.lit(0).alias("query_id"), "vector")
+    return vector.neighbours(table, one, 10, "topic_id", "vector").join(table.select(F.col("topic_id").alias("id"), "parent_id"), "id").select(F.col("id").alias("topic_id"), "parent_id", "score", "rank")
+
+
+@query(f"WITH {_MERGED_SQL} SELECT id, score, matched_via FROM mg")
 def topic_parent_merge(t: Tables) -> DataFrame:
-    near = _nearest(t, t.embeddings, 60).join(t.embeddings.select(F.col("vec_id").alias("id"), "label"), "id")
-    full = near.where("rank <= 30").groupBy(F.col("label").alias("id")).agg(F.max("score").alias("score"))
-    topics = near.select((F.col("id") % 12).cast("int").alias("id"), "score")
-    return vector.merge_topics(full, topics, FUSION.topic_discount).withColumn("score", F.round("score", 6))
+    return _merged(t, _nearest(t, t.embeddings, 60), 60)
+
+
+@query(f"WITH {knn_sql(ONE_VECTOR, 15)} SELECT id AS vec_id, score, rank FROM vx WHERE rank <= 12")
+def embedding_only(t: Tables) -> DataFrame:
+    k = depth("interpretive", 0.9)
+    one = t.embeddings.where("vec_id = 0").select(F.lit(0).alias("query_id"), F.col("embedding").alias("vector"))
+    return vector.nearest_only(t.embeddings, one, k.vector, k.final).select(F.col("id").alias("vec_id"), "score", "rank")
 
 
 FUSED_SQL = """
@@ -146,12 +189,12 @@ fu AS (SELECT coalesce(v.query_id, l.query_id) AS query_id, coalesce(v.id, l.id)
 
 
 def _lists(t: Tables, k: int = 40) -> tuple[DataFrame, DataFrame]:
-    """The vector and lexical lists of the question, over ids that both tables have."""
-    lex = lexical.search_one(t.documents.where(F.col("doc_id") < LISTS), QUESTION, k, "doc_id", "text").withColumn("query_id", F.lit(0))
-    return _nearest(t, t.embeddings.where(F.col("vec_id") < LISTS), k), lex
+    """The vector and lexical lists of the question; rows of documents and embeddings with one id are one."""
+    lex = lexical.search_one(t.documents, QUESTION, k, "doc_id", "text").withColumn("query_id", F.lit(0))
+    return _nearest(t, t.embeddings, k), lex
 
 
-_FUSED = f"{bm25_sql(ONE_QUERY, 40, '(SELECT * FROM documents WHERE doc_id < ' + str(LISTS) + ')')}, {knn_sql(ONE_VECTOR, 40, 'vec_id < ' + str(LISTS))}, {FUSED_SQL}"
+_FUSED = f"{bm25_sql(ONE_QUERY, 40)}, {knn_sql(ONE_VECTOR, 40)}, {FUSED_SQL}"
 
 
 @query(f"WITH {_FUSED} SELECT id, score, source FROM fu")
@@ -163,7 +206,7 @@ def rrf_fusion(t: Tables) -> DataFrame:
 sp AS (SELECT id, max(1 / (60 + rank)) * 0.7e0 AS more FROM (SELECT id, rank FROM lx WHERE rank <= 20 UNION ALL SELECT id + 1, rank FROM vx WHERE rank <= 20) GROUP BY id)
 SELECT coalesce(fu.id, sp.id) AS id, round(coalesce(score, 0) + coalesce(more, 0), 6) AS score, coalesce(source, 'bm25') AS source FROM fu FULL JOIN sp ON fu.id = sp.id""")
 def rrf_supplemental(t: Tables) -> DataFrame:
-    near, lex = _lists(t)
+    near, lex = (settle(x) for x in _lists(t))
     part = (1 / (F.lit(FUSION.rank_constant) + F.col("rank"))).alias("score")
     extra = lex.where("rank <= 20").select("query_id", "id", part).unionByName(near.where("rank <= 20").select("query_id", (F.col("id") + 1).alias("id"), part))
     return fusion.add_supplemental(fusion.fuse_ranks(near, lex), extra).select("id", "score", "source")
@@ -182,7 +225,7 @@ def keyword_boost(t: Tables) -> DataFrame:
 
 @query("SELECT doc_id, CASE WHEN source IN ('src1', 'src2') THEN 1.5e0 ELSE 1e0 END AS factor FROM documents")
 def episode_boost(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.when(F.col("source").isin("src1", "src2"), FUSION.group_boost).otherwise(1.0).alias("factor"))
+    return t.documents.select("doc_id", fusion.group_factor(F.col("source"), ["src1", "src2"]).alias("factor"))
 
 
 @query("SELECT conv_id, turn, CASE WHEN contains(lower(role), 'assist') THEN 1.3e0 ELSE 1e0 END AS factor FROM conversations")
@@ -198,16 +241,16 @@ def boilerplate_penalty(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", fusion.boilerplate_factor(F.col("text"), BOILERPLATE).alias("factor"))
 
 
-@query(f"""WITH {_FUSED},
-{knn_sql(ONE_VECTOR, 12, 'label IN (1, 3)').replace('e AS', 'pe AS', 1).replace('vq AS', 'pq AS').replace('vs AS', 'ps AS').replace('vx AS', 'px AS').replace('FROM e, vq', 'FROM pe e, pq vq').replace('FROM vs', 'FROM ps')},
-nw AS (SELECT id FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, id) AS g FROM px WHERE id NOT IN (SELECT id FROM fu) AND score >= 0.15) WHERE g <= 3),
+@query(f"""WITH {bm25_sql(ONE_QUERY, 10)}, {knn_sql(ONE_VECTOR, 10)}, {FUSED_SQL}, {knn_sql(ONE_VECTOR, 12, 'label IN (1, 3)', 'p')},
+gd AS (SELECT count(*) FILTER (n >= 3) = 2 AS done FROM (SELECT count(*) AS n FROM fu JOIN embeddings ON vec_id = id WHERE label IN (1, 3) GROUP BY label)),
+nw AS (SELECT id FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, id) AS g FROM px WHERE id NOT IN (SELECT id FROM fu) AND score >= 0.15) WHERE g <= 3 AND NOT (SELECT done FROM gd)),
 md AS (SELECT list_sort(list(score))[len(list(score)) // 2 + 1] AS m FROM fu)
 SELECT id, score, source FROM fu UNION ALL SELECT id, m, 'injected' FROM nw, md""")
 def inject_targeted(t: Tables) -> DataFrame:
-    main = fusion.fuse_ranks(*_lists(t))
-    target = t.embeddings.where(F.col("label").isin(1, 3))
-    pool = _nearest(t, target, FUSION.inject_pool * 2).drop("rank").join(target.select(F.col("vec_id").alias("id"), F.col("label").alias("group")), "id")
-    return fusion.inject(main, pool, 2).select("id", "score", "source")
+    main = settle(fusion.fuse_ranks(*_lists(t, 10)))
+    groups = t.embeddings.select(F.col("vec_id").alias("id"), F.col("label").alias("group"))
+    pool = _nearest(t, t.embeddings.where(F.col("label").isin(1, 3)), FUSION.inject_pool * 2).drop("rank").join(groups, "id")
+    return fusion.inject(main, pool, [1, 3], groups).select("id", "score", "source")
 
 
 _RANKED_SQL = f"""{bm25_sql(ONE_QUERY, 60)},
@@ -235,7 +278,7 @@ o AS (SELECT *, row_number() OVER (ORDER BY stage, rank) AS pos FROM s WHERE sta
 SELECT id, grp AS source, score, stage, pos FROM o WHERE pos <= 12""")
 def diversify_two_pass(t: Tables) -> DataFrame:
     ranked = _ranked(t)
-    out = fusion.diversify(ranked, fusion.caps(ranked, ["src1"], len(TERMS)), 12)
+    out = fusion.diversify(fusion.with_caps(ranked, ["src1"], len(TERMS)), 12)
     return out.select("id", F.col("group").alias("source"), "score", "stage", "pos")
 
 
@@ -279,30 +322,71 @@ def rerank_apply(t: Tables) -> DataFrame:
     return fusion.apply_order(_nearest(t, t.embeddings, 12), order).drop("query_id")
 
 
-def hybrid(t: Tables, question: str, query_id: int = 0, kind: str = "interpretive", confidence: float = 0.7, targets: tuple[str, ...] = ("src1",)) -> DataFrame:
-    """The composed pipeline over documents that have a vector of the same id: id, source, score, pos.
+TARGETS, SPEAKERS, SUPPLEMENTAL = ("src1",), ("fr",), ("the shares of heed",)
+
+
+def hybrid(t: Tables, question: str, query_id: int = 0, kind: str = "interpretive", confidence: float = 0.7, targets=TARGETS, speakers=SPEAKERS, supplemental=SUPPLEMENTAL) -> DataFrame:
+    """The composed pipeline over documents and vectors of the same ids: id, source, score, pos, added.
 
-    The two top-k operators read the tables; everything after them works on a few
-    hundred rows a query.
+    Vectors with their topics, and words, give two lists that are fused; lists of
+    supplemental questions and near rows of the target groups are added; boosts
+    and penalties, removal of near copies, diversification, and the documents
+    beside strong results follow.  The top-k operators read the tables once each;
+    their lists, and the few hundred rows with texts, are settled, so that no
+    later step plans them again.
     """
     k = depth(kind, confidence)
-    vectors, docs = t.embeddings, t.documents
-    chunks = docs.select(F.col("doc_id").alias("id"), F.col("source").alias("group"), "text")
-    one = vectors.where(F.col("vec_id") == query_id).select(F.lit(0).alias("query_id"), F.col("embedding").alias("vector"))
-    near = vector.neighbours(vectors, one, k.vector * FUSION.widening)
-    lex = lexical.search_one(docs, question, k.lexical * FUSION.widening, "doc_id", "text").withColumn("query_id", F.lit(0))
-    fused = fusion.fuse_ranks(near, lex).select("query_id", "id", "score", "source")
-    group = vectors.select(F.col("vec_id").alias("id")).join(chunks.where(F.col("group").isin(*targets)).select("id", "group"), "id")
-    pool = near.select("query_id", "id", "score").join(group, "id")
-    rows = fusion.inject(fused, pool, len(targets)).join(chunks, "id")
+    wide_vector, wide_lexical = k.vector * FUSION.widening, k.lexical * FUSION.widening
+    chunks = t.documents.select(F.col("doc_id").alias("id"), F.col("source").alias("group"), F.col("lang").alias("speakers"), "text")
+    one = settle(t.embeddings.where(F.col("vec_id") == query_id).select(F.lit(0).alias("query_id"), F.col("embedding").alias("vector")))
+    merged = _merged(t, vector.neighbours(t.embeddings, one, wide_vector), wide_vector, query_id).withColumn("query_id", F.lit(0))
+    near = settle(lexical.top_per(merged, wide_vector * 2))
+    questions = t.rows("query_id int, query string", list(enumerate((question, *supplemental))))
+    words = settle(lexical.search(t.documents, questions, wide_lexical, "doc_id", "text"))
+    fused = fusion.fuse_ranks(near, words.where("query_id = 0"))
+    extra = words.where("query_id > 0").select(F.lit(0).alias("query_id"), "id", (1 / (F.lit(FUSION.rank_constant) + F.col("rank"))).alias("score"))
+    main = settle(fusion.add_supplemental(fused, extra))
+    own = chunks.where(F.col("group").isin(*targets)).select("id", "group")
+    of_targets = t.embeddings.join(own.withColumnRenamed("id", "vec_id"), "vec_id", "left_semi")
+    pool = settle(vector.neighbours(of_targets, one, FUSION.inject_pool * len(targets)).select("query_id", "id", "score"))
+    rows = fusion.inject(main, pool.join(own, "id"), list(targets), own)
     terms = query_terms(F.lit(question))
-    factor = fusion.keyword_factor(F.col("text"), terms) * F.when(F.col("group").isin(*targets), FUSION.group_boost).otherwise(1.0) * fusion.boilerplate_factor(F.col("text"), BOILERPLATE)
+    hits = fusion.keyword_hits(F.col("text"), terms)
+    factor = fusion.keyword_factor(F.col("text"), terms) * fusion.member_factor(F.col("speakers"), list(speakers), FUSION.speaker_boost) * fusion.group_factor(F.col("group"), list(targets)) * fusion.boilerplate_factor(F.col("text"), BOILERPLATE)
     tokens = F.filter(F.split(F.lower("text"), r"\s+"), lambda x: F.length(x) > 2)
-    boosted = rows.select("query_id", "id", "group", F.round(F.col("score") * factor, 9).alias("score"), fusion.keyword_hits(F.col("text"), terms).alias("hits"), tokens.alias("tokens"))
+    boosted = settle(chunks.join(F.broadcast(rows), "id").select("query_id", "id", "group", F.round(F.col("score") * factor, 9).alias("score"), hits.alias("hits"), tokens.alias("tokens")))  # a few lists long
     distinct = fusion.drop_near_copies(boosted).join(boosted.select("id", "group", "hits"), "id")
-    return fusion.diversify(distinct, fusion.caps(distinct, list(targets), 4), k.final).select("id", F.col("group").alias("source"), F.round("score", 6).alias("score"), "pos")
-
-
-@query()
+    best = settle(fusion.diversify(fusion.with_caps(distinct, list(targets), len(TERMS)), k.final))
+    results = best.select("query_id", F.lit("").alias("prefix"), F.col("id").alias("number"), "score", "pos", "hits")
+    beside = chunks.select(F.lit("").alias("prefix"), F.col("id").alias("number"))
+    out = fusion.expand_neighbours(results, beside, len(TERMS)).select(F.col("number").alias("id"), F.round("score", 6).alias("score"), "added")
+    return out.join(best.select("id", "pos", F.col("group").alias("source")), "id", "left").select("id", "source", "score", "pos", "added")
+
+
+_BOTH = f"{ONE_QUERY} UNION ALL SELECT 1, unnest({tokens_sql(chr(39) + SUPPLEMENTAL[0] + chr(39))})"
+
+
+@query(f"""WITH {bm25_sql(_BOTH, 40)}, {_MERGED_SQL},
+vr AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM mg),
+fu AS (SELECT coalesce(v.id, l.id) AS id, round(coalesce(1 / (60 + v.rank), 0e0) + coalesce(1 / (60 + l.rank), 0e0), 6) AS score FROM vr v FULL JOIN (SELECT * FROM lx WHERE query_id = 0) l ON v.id = l.id),
+sp AS (SELECT id, max(1 / (60 + rank)) * 0.7e0 AS more FROM lx WHERE query_id > 0 GROUP BY id),
+ma AS (SELECT coalesce(fu.id, sp.id) AS id, round(coalesce(score, 0) + coalesce(more, 0), 6) AS score FROM fu FULL JOIN sp ON fu.id = sp.id),
+{knn_sql(ONE_VECTOR, 6, "vec_id IN (SELECT doc_id FROM documents WHERE source = 'src1')", 'p')},
+nw AS (SELECT id FROM px WHERE id NOT IN (SELECT id FROM ma) AND score >= 0.15 AND (SELECT count(*) FROM ma JOIN documents ON doc_id = ma.id WHERE source = 'src1') < 3 ORDER BY score DESC, id LIMIT 3),
+al AS (SELECT id, score FROM ma UNION ALL SELECT id, (SELECT list_sort(list(score))[len(list(score)) // 2 + 1] FROM ma) FROM nw),
+bo AS (SELECT id, source AS grp, text, {_HITS_SQL} AS hits, round(score * (1 + {_HITS_SQL} * 0.15e0) * CASE lang WHEN 'fr' THEN 1.3e0 ELSE 1 END * CASE source WHEN 'src1' THEN 1.5e0 ELSE 1 END
+       * CASE WHEN {_BOILER_SQL} >= 2 THEN 0.3e0 WHEN {_BOILER_SQL} = 1 THEN 0.6e0 ELSE 1e0 END, 9) AS score FROM al JOIN documents ON doc_id = id),
+dl AS (SELECT list(struct_pack(id := id, score := score, t := {_TOKSET}) ORDER BY score DESC, id) AS a FROM bo),
+dk AS (SELECT list_reduce(list_transform(a, lambda x: [x]), lambda acc, x: CASE WHEN len(list_filter(acc, lambda y:
+  len(list_intersect(y.t, x[1].t)) >= 0.6e0 * len(list_distinct(list_concat(y.t, x[1].t))) AND len(list_concat(y.t, x[1].t)) > 0)) > 0 THEN acc ELSE list_concat(acc, x) END) AS kept FROM dl),
+rk AS (SELECT u.x.id AS id, u.x.score AS score, u.rank, grp, hits FROM (SELECT unnest(kept) AS x, generate_subscripts(kept, 1) AS rank FROM dk) u JOIN bo ON bo.id = u.x.id),
+pm AS (SELECT grp, sum((hits >= 2)::INT) AS multi FROM rk GROUP BY grp),
+cp AS (SELECT grp, greatest(CASE WHEN grp IN ('src1') THEN 6 ELSE 2 END, CASE WHEN multi >= 3 AND multi / nullif(sum(multi) OVER (), 0) >= 0.3 THEN 4 ELSE 2 END) AS cap FROM pm),
+ns AS (SELECT rk.*, cap, hits > 0 AS keyed, row_number() OVER (PARTITION BY grp, hits > 0 ORDER BY rank) AS k, sum((hits > 0)::INT) OVER (PARTITION BY grp) AS kw FROM rk JOIN cp USING (grp)),
+sg AS (SELECT *, CASE WHEN keyed AND k <= cap THEN 1 WHEN NOT keyed AND k <= cap - least(kw, cap) THEN 2 END AS stage FROM ns),
+dv AS (SELECT *, row_number() OVER (ORDER BY stage, rank) AS pos FROM sg WHERE stage IS NOT NULL QUALIFY pos <= 15),
+nb AS (SELECT pos, score, unnest([id - 1, id + 1]) AS id, unnest([0, 1]) AS side FROM dv WHERE hits >= 2),
+ne AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos, side) AS f FROM nb WHERE id IN (SELECT doc_id FROM documents) AND id NOT IN (SELECT id FROM dv))
+SELECT id, grp AS source, round(score, 6) AS score, pos, false AS added FROM dv UNION ALL SELECT id, NULL, round(score * 0.5e0, 6), NULL, true FROM ne WHERE f = 1""")
 def hybrid_pipeline(t: Tables) -> DataFrame:
     return hybrid(t, QUESTION)

@@ -126,7 +126,7 @@ def test_near_copies(spark):
 def diversified(spark, groups, hits, cap, final):
     rows = spark.createDataFrame([(0, i, g, 1.0, i, h) for i, (g, h) in enumerate(zip(groups, hits))], "query_id int, id int, group string, score double, rank int, hits int")
     caps = spark.createDataFrame([(0, g, cap) for g in set(groups)], "query_id int, group string, cap int")
-    return [r["id"] for r in fusion.diversify(rows, caps, final).orderBy("pos").collect()]
+    return [r["id"] for r in fusion.diversify(rows, final, caps).orderBy("pos").collect()]
 
 
 def test_diversify_matches_a_sequential_rule(spark):
