@@ -10,8 +10,7 @@ STOPWORDS = ("the", "and", "of", "to", "in", "is", "it", "that", "for", "was", "
 
 def search_tokens(text: Column) -> Column:
     """Lower-cased runs of ASCII word characters, apostrophes and hyphens, longer than one character."""
-    spaced = F.regexp_replace(F.lower(text), r"[^\w\s'-]", " ")
-    return F.filter(F.split(spaced, r"\s+"), lambda x: F.length(x) > 1)
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\w'-]{2,}"), F.lit(0))
 
 
 def query_terms(text: Column, stopwords=STOPWORDS, least: int = 3) -> Column:

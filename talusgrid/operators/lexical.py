@@ -48,6 +48,10 @@ def bm25(tf: Column, df: Column, length: Column, n_docs: Column, avgdl: Column,
 WHOLE = "\x00"
 
 
+#: Up to so many query words are looked up in a broadcast table.
+FEW_WORDS = 100_000
+
+
 def _wanted(queries: DataFrame, synonyms: dict[str, list[str]] | None) -> DataFrame:
     return queries.select("query_id", F.explode(expand_terms(search_tokens(F.col("query")), synonyms or {})).alias("term")).distinct()
 
@@ -55,17 +59,22 @@ def _wanted(queries: DataFrame, synonyms: dict[str, list[str]] | None) -> DataFr
 def search(docs: DataFrame, queries: DataFrame, k: int, id_col: str, text_col: str, synonyms: dict[str, list[str]] | None = None, params: Bm25 = Bm25()) -> DataFrame:
     """Top ``k`` documents for each row of ``queries`` (query_id, query): query_id, id, score, rank.
 
-    Documents are tokenised once.  Only words of the queries leave the scan, in a
-    join that Spark broadcasts while these are few, with one row a document that
-    carries its length; counts are combined before any shuffle, and document
+    Documents are tokenised once.  Only words of the queries leave the scan (by a
+    broadcast while these are at most ``FEW_WORDS``, else by a shuffle), with one
+    row a document that carries its length; counts are combined before any shuffle, and document
     frequencies and corpus statistics come from the same exchange.
     """
     terms = _wanted(queries, synonyms)
-    wanted = terms.select("term").unionByName(docs.sparkSession.range(1).select(F.lit(WHOLE).alias("term"))).distinct()
+    spark = docs.sparkSession
+    wanted = terms.select("term").unionByName(spark.range(1).select(F.lit(WHOLE).alias("term"))).distinct()
+    words = wanted.limit(FEW_WORDS + 1).collect()
+    if len(words) <= FEW_WORDS:
+        wanted = F.broadcast(spark.createDataFrame(words, "term string"))
     tokens = docs.select(F.col(id_col).alias("id"), search_tokens(F.col(text_col)).alias("tokens"))
     rows = tokens.select("id", F.size("tokens").alias("len"), F.explode(F.concat("tokens", F.array(F.lit(WHOLE)))).alias("term"))
     postings = rows.join(wanted, "term", "left_semi").groupBy("term", "id", "len").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"), F.avg("len").alias("avg"))
+    # every use of the postings needs all their columns, so that the same exchange serves them
+    df = postings.groupBy("term").agg(F.count(F.when(F.col("tf") > 0, F.lit(1))).alias("df"), F.avg("len").alias("avg"))
     # conditions inside the aggregate, not before it, so that the exchange of the postings is the same
     whole = F.col("term") == WHOLE
     stats = df.agg(F.max(F.when(whole, F.col("df"))).alias("n_docs"), F.max(F.when(whole, F.col("avg"))).alias("avgdl"))
