@@ -30,14 +30,96 @@ def names_alike(a: Column, b: Column) -> Column:
     return (a == b) | inside | ((most > 0) & (shared / most >= 0.6))
 
 
+def _rarest(keyed: DataFrame, item: str, frequency: DataFrame, keep: Column) -> DataFrame:
+    """Of each item's keys the ``keep`` rarest; ties go to the smaller key."""
+    w = Window.partitionBy(item).orderBy("_f", "key")
+    ranked = keyed.join(frequency, "key").withColumn("_r", F.row_number().over(w)).withColumn("_k", F.count("*").over(Window.partitionBy(item)))
+    return ranked.where(F.col("_r") <= keep).select(item, "key")
+
+
+def sharing_words(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
+    """Distinct pairs that share a word of more than two characters."""
+    word = lambda c: F.explode(F.array_distinct(long_words(F.col(c)))).alias("key")
+    return left.select(a, word(a)).join(right.select(b, word(b)), "key").select(a, b).distinct()
+
+
 def fuzzy_names(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
-    """Pairs of distinct non-empty names ``a`` of left and ``b`` of right that are alike."""
+    """Pairs of distinct non-empty names ``a`` of left and ``b`` of right that are alike.
+
+    Candidates come from rare keys only.  If ``a`` shares three fifths of the
+    longer list of words with ``b``, it shares one of its rarest words but for
+    that many less one (prefix filtering); if one contains the other, the
+    shorter's rarest trigram is in the longer, which is no longer than ten
+    sevenths of it.
+    """
     x, y = left.select(a).where(F.col(a) != "").distinct(), right.select(b).where(F.col(b) != "").distinct()
-    keys = lambda c: F.explode(F.array_distinct(F.concat(F.transform(long_words(F.col(c)), lambda w: F.concat(F.lit("w"), w)), F.transform(trigrams(F.col(c)), lambda g: F.concat(F.lit("g"), g)), F.array(F.concat(F.lit("e"), F.col(c)))))).alias("key")
-    pairs = x.select(a, keys(a)).join(y.select(b, keys(b)), "key").select(a, b).distinct()
+    every = x.select(F.col(a).alias("_s")).unionByName(y.select(F.col(b).alias("_s")))
+    words = lambda c: F.explode(F.array_distinct(long_words(F.col(c)))).alias("key")
+    grams = lambda c: F.explode(trigrams(F.col(c))).alias("key")
+    word_f = every.select(words("_s")).groupBy("key").agg(F.count("*").alias("_f"))
+    gram_f = every.select(grams("_s")).groupBy("key").agg(F.count("*").alias("_f"))
+    prefix = lambda rows, c: _rarest(rows.select(c, words(c)), c, word_f, F.col("_k") - F.ceil(F.col("_k") * 0.6 - 1e-9) + 1)
+    by_word = _repeats(x, a).join(y.select(b, words(b)), "key").select(a, b).unionByName(prefix(x, a).join(prefix(y, b), "key").select(a, b))
+    rare = lambda rows, c: _rarest(rows.select(c, grams(c)), c, gram_f, F.lit(1))
+    size = lambda c: F.length(c)
+    close = F.least(size(a), size(b)) >= F.greatest(size(a), size(b)) * 0.7
+    by_gram = rare(x, a).join(y.select(b, grams(b)), "key").where(close).select(a, b).unionByName(x.select(a, grams(a)).join(rare(y, b), "key").where(close).select(a, b))
+    short = x.where(F.length(a) < 3).join(y, F.contains(b, F.col(a)) & (F.length(b) <= 4)).select(a, b).unionByName(y.where(F.length(b) < 3).join(x, F.contains(a, F.col(b)) & (F.length(a) <= 4)).select(a, b))
+    equal = x.join(y, F.col(a) == F.col(b)).select(a, b)
+    pairs = by_word.unionByName(by_gram).unionByName(short).unionByName(equal).distinct()
     return pairs.where(names_alike(F.col(a), F.col(b)))
 
 
+def _repeats(rows: DataFrame, c: str) -> DataFrame:
+    """Names that repeat a word, with all their words: the repeats count as shared, so their rarest words are not enough."""
+    listed = rows.where(F.size(long_words(F.col(c))) > F.size(F.array_distinct(long_words(F.col(c)))))
+    return listed.select(c, F.explode(F.array_distinct(long_words(F.col(c)))).alias("key"))
+
+
+def prefixes(left: DataFrame, right: DataFrame, a: str, b: str, head: int = 3) -> DataFrame:
+    """Distinct pairs of names of which one begins with the other.
+
+    Each name meets those with its first ``head`` characters; names shorter than
+    that meet all that begin with them through each of their beginnings.
+    """
+    x, y = left.select(a).where(F.col(a) != "").distinct(), right.select(b).where(F.col(b) != "").distinct()
+    keys = lambda c: F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(head), F.length(c))), lambda n: F.substr(F.col(c), F.lit(1), n))).alias("key")
+    own = lambda c: F.substring(c, 1, head).alias("key")
+    pairs = x.select(a, own(a)).join(y.select(b, keys(b)), "key").select(a, b).unionByName(x.select(a, keys(a)).join(y.select(b, own(b)), "key").select(a, b))
+    return pairs.distinct().where(F.startswith(F.col(a), F.col(b)) | F.startswith(F.col(b), F.col(a)))
+
+
+def first_named(rows: DataFrame, name: str, key: str, wanted: list[str]) -> DataFrame:
+    """For each of the names the smallest key of the rows so named, else of those whose name contains it; one scan for all."""
+    tier = lambda q: F.when(F.col(name) == q, 0).when(F.contains(name, F.lit(q)), 1)
+    hit = F.inline(F.array(*[F.struct(F.lit(q).alias("q"), tier(q).alias("tier")) for q in wanted]))
+    found = rows.select(key, hit).where("tier IS NOT NULL").groupBy("q").agg(F.min(F.struct("tier", key)).alias("best"))
+    return found.select("q", F.col(f"best.{key}").alias(key))
+
+
+def reconcile(left: DataFrame, right: DataFrame, a: str, b: str, least: float = 0.5) -> DataFrame:
+    """Names of both sides in three passes: equal but for case and blanks, then alike, then what is left of either.
+
+    Alike are pairs that share at least ``least`` of the longer one's words and
+    are each other's best; ties go to the smaller name.  Columns: ``a``, ``b``, ``state``.
+    """
+    x, y = left.select(a).distinct(), right.select(b).distinct()
+    plain = lambda c: F.lower(F.trim(c))
+    equal = x.join(y, plain(a) == plain(b)).select(a, b, F.lit("equal").alias("state"))
+    rest_x, rest_y = x.join(equal, a, "left_anti"), y.join(equal, b, "left_anti")
+    low_x, low_y = rest_x.select(a, F.lower(a).alias("_x")), rest_y.select(b, F.lower(b).alias("_y"))
+    near = sharing_words(low_x.select("_x").distinct(), low_y.select("_y").distinct(), "_x", "_y")
+    wx, wy = long_words(F.col("_x")), long_words(F.col("_y"))
+    share = F.size(F.filter(wx, lambda w: F.array_contains(wy, w))) / F.greatest(F.size(wx), F.size(wy))
+    near = near.withColumn("_share", share).where(F.col("_share") >= least).join(low_x, "_x").join(low_y, "_y")
+    best = lambda c, other: F.row_number().over(Window.partitionBy(c).orderBy(F.desc("_share"), other)) == 1
+    alike = near.withColumn("_a", best(a, b)).withColumn("_b", best(b, a)).where("_a AND _b").select(a, b, F.lit("alike").alias("state"))
+    paired = equal.unionByName(alike)
+    alone_x = rest_x.join(alike, a, "left_anti").select(a, F.lit(None).cast("string").alias(b), F.lit("left only").alias("state"))
+    alone_y = rest_y.join(alike, b, "left_anti").select(F.lit(None).cast("string").alias(a), b, F.lit("right only").alias("state"))
+    return paired.unionByName(alone_x).unionByName(alone_y)
+
+
 def title_score(a: Column, b: Column) -> Column:
     """100 for equal names, 80 for containment, else 50 plus 30 times the shared share of words; null below 60 % shared."""
     wa, wb = F.array_distinct(long_words(a)), F.array_distinct(long_words(b))

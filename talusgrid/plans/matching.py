@@ -46,24 +46,23 @@ def containment_longest(t: Tables) -> DataFrame:
 _WORDS = "list_filter(string_split({}, ' '), lambda w: length(w) > 2)"
 
 
-@query(f"""WITH a AS (SELECT DISTINCT p_name AS x FROM part), b AS (SELECT DISTINCT replace(p_name, 'ring', 'rings') AS y FROM part WHERE p_partkey % 2 = 0)
+@query(f"""WITH a AS (SELECT DISTINCT p_name AS x FROM part), b AS (SELECT DISTINCT replace(p_name, 'ring', 'rings') AS y FROM part)
 SELECT x, y FROM a, b WHERE x = y OR ((contains(x, y) OR contains(y, x)) AND least(length(x), length(y)) >= greatest(length(x), length(y)) * 0.7e0)
 OR (greatest(len({_WORDS.format('x')}), len({_WORDS.format('y')})) > 0 AND len(list_filter({_WORDS.format('x')}, lambda w: list_contains({_WORDS.format('y')}, w))) / greatest(len({_WORDS.format('x')}), len({_WORDS.format('y')})) >= 0.6e0)""")
 def fuzzy_name_join(t: Tables) -> DataFrame:
-    right = t.part.where("p_partkey % 2 = 0").select(F.regexp_replace("p_name", "ring", "rings").alias("y"))
+    right = t.part.select(F.regexp_replace("p_name", "ring", "rings").alias("y"))
     return matching.fuzzy_names(t.part.select(F.col("p_name").alias("x")), right, "x", "y")
 
 
-@query(f"""WITH a AS (SELECT DISTINCT p_name AS x FROM part), b AS (SELECT DISTINCT p_type || ' ' || p_name AS y FROM part WHERE p_size <= 5),
+@query(f"""WITH a AS (SELECT DISTINCT p_name AS x FROM part), b AS (SELECT DISTINCT p_type || ' ' || p_name AS y FROM part),
 w AS (SELECT x, y, list_distinct({_WORDS.format('x')}) AS wx, list_distinct({_WORDS.format('y')}) AS wy FROM a, b),
 s AS (SELECT x, y, CASE WHEN x = y THEN 100e0 WHEN contains(x, y) OR contains(y, x) THEN 80e0 WHEN len(list_intersect(wx, wy)) > 0 THEN 50 + 30e0 * len(list_intersect(wx, wy)) / greatest(len(wx), len(wy)) END AS score FROM w),
 r AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY score DESC, y) AS k FROM s WHERE score IS NOT NULL)
 SELECT x, y, round(score, 6) AS score FROM r WHERE k = 1""")
 def scored_best_match(t: Tables) -> DataFrame:
     left = t.part.select(F.col("p_name").alias("x")).distinct()
-    right = t.part.where("p_size <= 5").select(F.concat("p_type", F.lit(" "), "p_name").alias("y")).distinct()
-    word = lambda c: F.explode(F.array_distinct(matching.long_words(F.col(c)))).alias("w")
-    pairs = left.select("x", word("x")).join(right.select("y", word("y")), "w").select("x", "y").distinct()
+    right = t.part.select(F.concat("p_type", F.lit(" "), "p_name").alias("y")).distinct()
+    pairs = matching.sharing_words(left, right, "x", "y")
     scored = pairs.withColumn("score", F.round(matching.title_score(F.col("x"), F.col("y")), 6))
     return matching.best_match(scored, "x", "score", "y")
 
@@ -76,6 +75,24 @@ def coverage_outer(t: Tables) -> DataFrame:
     return rows.groupBy("source").agg(n.alias("n_docs"), k.alias("n_labelled"), F.count_if(F.col("toxic") == 1).alias("n_toxic"), F.round(F.lit(100.0) * k / n, 0).cast("int").alias("pct"))
 
 
+_RECONCILED_SQL = """l AS (SELECT DISTINCT p_name AS a FROM part), r AS (SELECT DISTINCT upper(p_name) || CASE WHEN length(p_name) % 2 = 0 THEN '' ELSE ' deluxe edition' END AS b FROM part UNION SELECT 'zzz none'),
+e AS (SELECT a, b FROM l JOIN r ON lower(trim(a)) = lower(trim(b)))"""
+
+
+@query(f"""WITH {_RECONCILED_SQL},
+c AS (SELECT a, b, len(list_filter({_WORDS.format('lower(a)')}, lambda w: list_contains({_WORDS.format('lower(b)')}, w))) / greatest(len({_WORDS.format('lower(a)')}), len({_WORDS.format('lower(b)')})) AS share
+      FROM (SELECT a FROM l WHERE a NOT IN (SELECT a FROM e)), (SELECT b FROM r WHERE b NOT IN (SELECT b FROM e))
+      WHERE len(list_filter({_WORDS.format('lower(a)')}, lambda w: list_contains({_WORDS.format('lower(b)')}, w))) / greatest(len({_WORDS.format('lower(a)')}), len({_WORDS.format('lower(b)')})) >= 0.5),
+f AS (SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY share DESC, b) AS ka, row_number() OVER (PARTITION BY b ORDER BY share DESC, a) AS kb FROM c) WHERE ka = 1 AND kb = 1)
+SELECT a, b, 'equal' AS state FROM e UNION ALL SELECT a, b, 'alike' FROM f UNION ALL SELECT a, NULL, 'left only' FROM l WHERE a NOT IN (SELECT a FROM e) AND a NOT IN (SELECT a FROM f)
+UNION ALL SELECT NULL, b, 'right only' FROM r WHERE b NOT IN (SELECT b FROM e) AND b NOT IN (SELECT b FROM f)""")
+def coverage_reconciliation(t: Tables) -> DataFrame:
+    left = t.part.select(F.col("p_name").alias("a"))
+    suffix = F.when(F.length("p_name") % 2 == 0, F.lit("")).otherwise(" deluxe edition")
+    right = t.part.select(F.concat(F.upper("p_name"), suffix).alias("b")).unionByName(t.rows("b string", [("zzz none",)]))
+    return matching.reconcile(left, right, "a", "b")
+
+
 @query("SELECT doc_id, source FROM documents ANTI JOIN labels USING (doc_id)")
 def missing_anti(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", "source").join(t.labels, "doc_id", "left_anti")
