@@ -106,3 +106,13 @@ def upsert(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> Data
     differs = reduce(lambda a, b: a | b, [~value[c].eqNullSafe(F.col(c)) for c in columns])
     change = F.when(F.col("_in_old").isNull(), "added").when(F.col("_in_new").isNull(), "kept").when(differs, "updated").otherwise("no_change")
     return both.select(key, *[v.alias(c) for c, v in value.items()], change.alias("change"))
+
+
+def with_jobs(crew: Column, *jobs: str) -> Column:
+    """Names of the people in ``crew`` (structs of order, job and name) who have one of the jobs, in order."""
+    return F.transform(F.filter(crew, lambda x: x["job"].isin(*jobs)), lambda x: x["name"])
+
+
+def billed(crew: Column, most: int = 8) -> Column:
+    """Names of the first ``most`` people by order."""
+    return F.transform(F.slice(F.array_sort(crew), 1, most), lambda x: x["name"])

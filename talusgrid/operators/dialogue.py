@@ -181,3 +181,16 @@ def synopsis(turns: DataFrame, key: str, index: str, speaker: str, text: str, ho
     kept = rows.withColumn("_ended", ended).where("_ended = 0")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(index).alias("i"), F.col(text).alias("t")))), lambda x: x["t"]), " ")
     return kept.groupBy(key).agg(F.substring_index(joined, "?", 1).alias("synopsis"))
+
+
+def visible(turns: DataFrame, speaker: str, text: str, start: Column, who: str, first: float, last: float, short: int = 2) -> DataFrame:
+    """One speaker's turns that start within [first, last] and are longer than an interjection of ``short`` words."""
+    words = F.size(F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != ""))
+    return turns.where((F.col(speaker) == who) & (words > short) & start.between(first, last))
+
+
+def relabel_label(turns: DataFrame, keys: list[str], speaker: str, old: str, new: str, excluded: DataFrame, shown: Column) -> DataFrame:
+    """Every turn labelled ``old`` gets the label ``new``, but for excluded turns and those not shown; ``was`` keeps the old one for undoing."""
+    marked = turns.join(excluded.select(*keys, F.lit(True).alias("_out")), keys, "left")
+    hit = (F.col(speaker) == old) & F.col("_out").isNull() & shown
+    return marked.withColumn("was", F.when(hit, F.col(speaker))).withColumn(speaker, F.when(hit, F.lit(new.strip())).otherwise(F.col(speaker))).drop("_out")

@@ -38,3 +38,16 @@ def new_entries(seen: DataFrame, found: DataFrame, key: str, order: Column, rece
     top = seen.agg(F.max(order).alias("_top"))
     fresh = found.join(seen.select(key), key, "left_anti").crossJoin(F.broadcast(top))  # one row
     return fresh.where((order > F.coalesce("_top", F.lit(float("-inf")))) | recent).drop("_top")
+
+
+def failure_gate(rows: DataFrame, failed: Column, by: list[str], most: float = 0.05) -> DataFrame:
+    """The rows of those groups of which at most a share of ``most`` failed; all others emit nothing."""
+    share = rows.groupBy(*by).agg(F.avg(failed.cast("int")).alias("_share"))
+    return rows.join(share.where(F.col("_share") <= most).select(*by), by, "left_semi")
+
+
+def manifest_changes(known: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """``state`` of each source by its fingerprint: new, gone, same (to be skipped) or changed."""
+    both = found.withColumnRenamed("fingerprint", "_now").join(known.withColumnRenamed("fingerprint", "_then"), key, "full_outer")
+    now, then = F.col("_now"), F.col("_then")
+    return both.select(key, F.when(then.isNull(), "new").when(now.isNull(), "gone").when(now == then, "same").otherwise("changed").alias("state"))

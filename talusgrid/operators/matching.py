@@ -203,3 +203,22 @@ def nearest_before(feedback: DataFrame, log: DataFrame, by: str, at: str, key: s
     chosen = pairs.withColumn("tier", tier).withColumn("_r", F.row_number().over(pick)).where("_r = 1")
     once = Window.partitionBy("l_key").orderBy("gap", "f_key")
     return chosen.withColumn("_o", F.row_number().over(once)).where("_o = 1").select("f_key", "l_key", by, "tier", F.col("gap").alias("gap_us"))
+
+
+def people_in(queries: DataFrame, people: DataFrame, query_key: str, query: str, name: str, least: int = 4) -> DataFrame:
+    """The person each query names: by the full name, else by a last name of at least ``least`` letters as a whole word.
+
+    The longest match wins, then the smaller name.  A full name has its last
+    word's beginning in the query, so candidates meet on parts of words.
+    """
+    q = queries.select(query_key, F.lower(F.col(query)).alias("_q"))
+    asked = q.select("*", F.explode(F.array_union(trigrams(F.col("_q")), F.array("_q"))).alias("_g"))
+    named = people.select(name).where(F.col(name) != "").distinct().withColumn("_low", F.lower(name)).withColumn("_last", F.element_at(F.split("_low", " "), -1))
+    # each name is looked up by the beginning of its last word, which both kinds of match contain
+    keyed = named.withColumn("_g", F.when(F.length("_last") >= 3, F.substring("_last", 1, 3)))
+    short = q.join(named.where(F.length("_last") < 3), F.contains("_q", F.col("_low"))).select(query_key, "_q", name, "_low", "_last")
+    pairs = asked.join(keyed, "_g").select(query_key, "_q", name, "_low", "_last").unionByName(short).distinct()
+    last = (F.length("_last") >= least) & F.array_contains(F.split("_q", r"[^a-z]+"), F.col("_last"))
+    size = F.when(F.contains("_q", F.col("_low")), F.length("_low")).when(last, F.length("_last"))
+    found = pairs.withColumn("size", size)
+    return best_match(found.select(query_key, name, "size"), query_key, "size", name)

@@ -84,3 +84,22 @@ def rollout(key: Column, percent: int) -> Column:
 def token_budget(kind: Column, results: Column) -> Column:
     base = F.when(kind == "factual", 400).when(kind == "interpretive", 1200).otherwise(800)
     return F.least(F.lit(4096), base + results * 60).cast("long")
+
+
+def year_range_as_written(text: Column) -> tuple[Column, Column]:
+    """(first, last) of ``1990 to 1995`` or ``1990-1995`` in the order written, or a single year that no s follows; 1900 to 2029."""
+    year = r"(19\d\d|20[0-2]\d)"
+    low = F.lower(plain_query(text))
+    a, b = (F.nullif(F.regexp_extract(low, rf"\b{year}\s*(?:-|to)\s*{year}\b", i), F.lit("")).cast("int") for i in (1, 2))
+    one = F.nullif(F.regexp_extract(low, rf"\b{year}\b(?!s)", 1), F.lit("")).cast("int")
+    return F.coalesce(a, one), F.coalesce(b, one)
+
+
+def item_number(text: Column) -> Column:
+    """The number of ``episode 12``, ``episode #12`` or ``ep. 12``."""
+    return F.nullif(F.regexp_extract(F.lower(plain_query(text)), r"\b(?:episode|ep\.?)\s*(?:number\s*)?#?\s*(\d+)", 1), F.lit("")).cast("int")
+
+
+def picker(text: Column) -> Column:
+    """Whose pick is asked for: ``who did anna pick``, ``anna's pick``."""
+    return captured(F.lower(plain_query(text)), (r"\bdid (\w+) (?:pick|cast|choose)\b", r"\b(\w+)'s (?:pick|choice)\b"))

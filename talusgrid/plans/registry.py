@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("retrieval", "catalog", "matching", "dialogue", "analytics", "rules", "ingestion", "serving")
+MODULES = ("retrieval", "catalog", "matching", "dialogue", "analytics", "rules", "ingestion", "serving", "fields")
 
 
 def _suites():
