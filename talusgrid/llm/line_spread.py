@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import SPACES, clear_scratch, materialize, scratch_mark
+from .common import SPACES, clear_scratch, discard, materialize, scratch_mark
 
 #: Copies of a whole text lie on fewer sites than this, lines of a template on more.
 MIN_SITES = 8
@@ -58,7 +58,10 @@ def removals(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id"
     """For rows that lose lines: their key and ``_drop``, the places of the lines to remove."""
     lines = _lines(docs, id_col, text_col, site_col)
     spread = lines.groupBy("_h1", "_h2").agg(F.min("_site").alias("lo"), F.max("_site").alias("hi")).where("lo <> hi").select("_h1", "_h2")
+    # written first: a join of two tables, unlike one with an aggregate, is split where one line has very many rows
+    spread = materialize(spread, "spread-lines")
     shared = materialize(lines.join(spread, ["_h1", "_h2"], "left_semi"), "shared-lines")
+    discard(spread)
     mark = scratch_mark()
     wide = materialize(boilerplate(shared, min_sites), "boilerplate")
     clear_scratch(mark, keep=(wide,))
