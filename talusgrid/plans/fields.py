@@ -27,10 +27,10 @@ def visible_turns(t: Tables) -> DataFrame:
 
 
 @query("""WITH g AS (SELECT event_type, date_trunc('day', ts) AS day, avg((value > 40)::INT) AS share FROM events GROUP BY ALL)
-SELECT event_id FROM events e JOIN g ON g.event_type = e.event_type AND g.day = date_trunc('day', e.ts) WHERE share <= 0.05""")
+SELECT event_id FROM events e JOIN g ON g.event_type = e.event_type AND g.day = date_trunc('day', e.ts) WHERE share <= 0.45e0""")
 def failure_gate(t: Tables) -> DataFrame:
     rows = t.events.withColumn("day", F.date_trunc("day", "ts"))
-    return ingest.failure_gate(rows, F.col("value") > 40, ["event_type", "day"], 0.05).select("event_id")
+    return ingest.failure_gate(rows, F.col("value") > 40, ["event_type", "day"], 0.45).select("event_id")
 
 
 @query("""SELECT lang, array_to_string(list_sort(list(DISTINCT source)), ', ') AS sources, arg_max(source, struct_pack(n := n_chars, k := -doc_id)) AS main_source FROM documents GROUP BY lang""")

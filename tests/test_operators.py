@@ -291,3 +291,28 @@ print(len(e.queries()), sum(n.startswith('op') and n[2].isdigit() or n == 'pipel
 """
     got = [subprocess.run([sys.executable, "-c", code.format(blocked=b)], capture_output=True, text=True, check=True, cwd=tmp_path).stdout.split() for b in (["talusgrid.llm", "corpus_pipeline"], ["zstandard"])]
     assert got[0] == got[1] and got[0][1:] == ["0", "True"] and int(got[0][0]) > 100
+
+
+def test_injection_adds_rows_and_keeps_its_guards(spark):
+    main = spark.createDataFrame([(0, i, s, "bm25") for i, s in enumerate((0.9, 0.5, 0.4, 0.1))], "query_id int, id long, score double, source string")
+    groups = spark.createDataFrame([(0, "a"), (1, "a"), (2, "a"), (3, "b"), (10, "a"), (11, "b"), (12, "b"), (13, "b"), (14, "b"), (15, "b")], "id long, group string")
+    pool = spark.createDataFrame([(0, i, 0.9 - i / 100, g) for i, g in ((3, "b"), (11, "b"), (12, "b"), (13, "b"), (14, "b"))] + [(0, 15, 0.1, "b")], "query_id int, id long, score double, group string")
+    found = lambda targets: {r["id"]: r["score"] for r in fusion.inject(main, pool, targets, groups).where("source = 'injected'").collect()}
+    # at most three rows a group, none that is there already or too far, with the upper median
+    assert found(["b"]) == {11: 0.5, 12: 0.5, 13: 0.5} and found(["a", "b"]) == found(["b"])
+    # no targets, too many, or each served already
+    assert found([]) == found(["a", "b", "c", "d"]) == found(["a"]) == {}
+
+
+def test_neighbours_of_queries_of_two_lengths(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0, 0.0])], "vec_id long, embedding array<float>")
+    asked = spark.createDataFrame([(7, [1.0, 0.1]), (8, [1.0, 0.0, 0.1])], "query_id long, vector array<float>")
+    assert sorted((r["query_id"], r["id"]) for r in vector.neighbours(rows, asked, 1).collect()) == [(7, 1), (8, 3)]
+
+
+def test_names_that_share_only_common_words(spark):
+    names = ["red big box", "red big hat", "red big", "tin", "tin can", "aa", "aab", "the the big"]
+    left, right = spark.createDataFrame([(x,) for x in names], "x string"), spark.createDataFrame([(x,) for x in names], "y string")
+    got = {tuple(r) for r in matching.fuzzy_names(left, right, "x", "y").collect()}
+    both = left.crossJoin(right).where(matching.names_alike(F.col("x"), F.col("y")))
+    assert got == {tuple(r) for r in both.collect()}
