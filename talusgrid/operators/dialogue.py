@@ -6,6 +6,10 @@ partitioned by the dialogue; only the packing fold needs Python, per dialogue.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby, islice
+from operator import itemgetter
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -94,48 +98,66 @@ def relabel(turns: DataFrame, speaker: str, where: Column, name: str) -> DataFra
     return turns.withColumn(speaker, F.when(where, F.lit(name.strip())).otherwise(F.col(speaker)))
 
 
-def pack_turns(sizes: list[int], most: int = 2000, carry: int = 200) -> list[tuple[int, int]]:
-    """Ranges [first, last] of turns packed in order while they fit ``most``.
+def packed(turns: Iterable[tuple[int, int]], most: int = 2000, carry: int = 200) -> Iterator[tuple[int, int, int]]:
+    """(first, last, total size) of chunks of (index, size), packed in order while they fit ``most``.
 
     When the next turn does not fit, the chunk ends, and the next chunk begins
     with as many of its last turns as reach ``carry``.  A turn that is too large
     alone is a chunk with what is carried.
     """
-    chunks, first, total = [], 0, 0
-    for i, size in enumerate(sizes):
-        if i > first and total + size > most:
-            chunks.append((first, i - 1))
-            back, kept = i, 0
-            while back > first + 1 and kept < carry:
+    held, total = [], 0
+    for turn in turns:
+        if held and total + turn[1] > most:
+            yield held[0][0], held[-1][0], total
+            back, total = len(held), 0
+            while back > 1 and total < carry:
                 back -= 1
-                kept += sizes[back]
-            first, total = back, kept
-        total += size
-    if sizes:
-        chunks.append((first, len(sizes) - 1))
-    return chunks
+                total += held[back][1]
+            held = held[back:]
+        held.append(turn)
+        total += turn[1]
+    if held:
+        yield held[0][0], held[-1][0], total
+
+
+def pack_turns(sizes: list[int], most: int = 2000, carry: int = 200) -> list[tuple[int, int]]:
+    """Ranges [first, last] of turns packed in order."""
+    return [(first, last) for first, last, _ in packed(enumerate(sizes), most, carry)]
+
+
+def _fold(rows: DataFrame, key: str, index: str, fold: Callable[[Iterator[tuple]], Iterable[tuple]], columns: str) -> DataFrame:
+    """The key and ``columns`` that ``fold`` makes of each dialogue's other columns, in the order of ``index``.
+
+    Dialogues arrive sorted and are folded as they come, so none is held as a whole.
+    """
+    schema = f"`{key}` {rows.schema[key].dataType.simpleString()}, {columns}"
+    spread = rows.repartition(F.col(key)).sortWithinPartitions(key, index)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = []
+
+        def turns():
+            for batch in batches:
+                types[:] = [batch.schema.field(0).type]
+                yield from zip(*(c.to_pylist() for c in batch.columns))
+
+        def made():
+            for k, group in groupby(turns(), itemgetter(0)):
+                for row in fold(x[1:] for x in group):
+                    yield (k, *row)
+
+        out = made()
+        while found := list(islice(out, 10_000)):
+            first, *rest = zip(*found)
+            yield pa.RecordBatch.from_arrays([pa.array(first, types[0]), *map(pa.array, rest)], names=[key, *(c.split()[0] for c in columns.split(", "))])
+
+    return spread.mapInArrow(run, schema)
 
 
 def pack(turns: DataFrame, key: str, index: str, size: Column, most: int = 2000, carry: int = 200) -> DataFrame:
-    """Chunks of whole turns per dialogue: key, chunk, first, last, tokens."""
-    rows = turns.select(key, F.col(index).alias("_i"), size.alias("_size"))
-    kind = rows.schema[key].dataType.simpleString()
-
-    def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by("_i")
-        at, sizes = group.column("_i").to_pylist(), group.column("_size").to_pylist()
-        found = pack_turns(sizes, most, carry)
-        return pa.table(
-            {
-                key: group.column(key).slice(0, 1).take(pa.array([0] * len(found), pa.int64())),
-                "chunk": pa.array(range(len(found)), pa.int32()),
-                "first": pa.array([at[a] for a, _ in found], pa.int64()),
-                "last": pa.array([at[b] for _, b in found], pa.int64()),
-                "tokens": pa.array([sum(sizes[a : b + 1]) for a, b in found], pa.int64()),
-            }
-        )
-
-    return rows.groupBy(key).applyInArrow(run, f"`{key}` {kind}, chunk int, first long, last long, tokens long")
+    """Chunks of whole turns per dialogue: key, chunk, first, last, tokens.  A null size counts as none."""
+    rows = turns.select(key, F.col(index).cast("long").alias("_i"), F.coalesce(size, F.lit(0)).alias("_size"))
+    return _fold(rows, key, "_i", lambda x: ((n, *chunk) for n, chunk in enumerate(packed(x, most, carry))), "chunk long, first long, last long, tokens long").withColumn("chunk", F.col("chunk").cast("int"))
 
 
 def passages(turns: DataFrame, key: str, index: str, text: str, markers: str, nouns: tuple[str, ...], width: int = 15, least_nouns: int = 2) -> DataFrame:
@@ -148,26 +170,25 @@ def passages(turns: DataFrame, key: str, index: str, text: str, markers: str, no
     noun = F.lit(0)
     for x in nouns:
         noun = noun + F.contains(F.lower(text), F.lit(x)).cast("int")
-    rows = turns.select(key, F.col(index).alias("_i"), hit.alias("_m"), noun.alias("_n"))
-    kind = rows.schema[key].dataType.simpleString()
-
-    def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by("_i")
-        at, marks, counts = (group.column(c).to_pylist() for c in ("_i", "_m", "_n"))
-        found, start = [], 0
-        while start < len(at):
-            stop = min(start + width, len(at))
-            if any(marks[start:stop]) and sum(counts[start:stop]) >= least_nouns:
-                scoring = [i for i in range(start, stop) if marks[i] or counts[i]]
-                first, last = max(scoring[0] - 1, 0), min(scoring[-1] + 1, len(at) - 1)
+    rows = turns.select(key, F.col(index).cast("long").alias("_i"), F.coalesce(hit, F.lit(False)).alias("_m"), F.coalesce(noun, F.lit(0)).alias("_n"))
+
+    def found(group: Iterator[tuple[int, bool, int]]) -> Iterator[tuple[int, int]]:
+        before, held = [], []  # the turn before the window, the window and the turn after it
+        while True:
+            held += islice(group, width + 1 - len(held))
+            if not held:
+                return
+            window, step = held[:width], 1
+            if any(m for _, m, _ in window) and sum(n for *_, n in window) >= least_nouns:
+                scoring = [i for i, (_, m, n) in enumerate(window) if m or n]
+                reach = [*before, *held]
+                first, last = max(scoring[0] - 1 + len(before), 0), min(scoring[-1] + 1, len(held) - 1) + len(before)
                 if last > first:
-                    found.append((at[first], at[last]))
-                start = scoring[-1] + 2
-            else:
-                start += 1
-        return pa.table({key: group.column(key).slice(0, 1).take(pa.array([0] * len(found), pa.int64())), "first": pa.array([a for a, _ in found], pa.int64()), "last": pa.array([b for _, b in found], pa.int64())})
+                    yield reach[first][0], reach[last][0]
+                step = scoring[-1] + 2
+            before, held = held[step - 1 : step], held[step:]
 
-    return rows.groupBy(key).applyInArrow(run, f"`{key}` {kind}, first long, last long")
+    return _fold(rows, key, "_i", found, "first long, last long")
 
 
 def synopsis(turns: DataFrame, key: str, index: str, speaker: str, text: str, host: str, least: int = 150, follow: int = 5, stop: str = "or will") -> DataFrame:

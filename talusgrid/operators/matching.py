@@ -53,13 +53,9 @@ def fuzzy_names(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
     sevenths of it.
     """
     x, y = left.select(a).where(F.col(a) != "").distinct(), right.select(b).where(F.col(b) != "").distinct()
-    every = x.select(F.col(a).alias("_s")).unionByName(y.select(F.col(b).alias("_s")))
-    words = lambda c: F.explode(F.array_distinct(long_words(F.col(c)))).alias("key")
     grams = lambda c: F.explode(trigrams(F.col(c))).alias("key")
-    word_f = every.select(words("_s")).groupBy("key").agg(F.count("*").alias("_f"))
-    gram_f = every.select(grams("_s")).groupBy("key").agg(F.count("*").alias("_f"))
-    prefix = lambda rows, c: _rarest(rows.select(c, words(c)), c, word_f, F.col("_k") - F.ceil(F.col("_k") * 0.6 - 1e-9) + 1)
-    by_word = _repeats(x, a).join(y.select(b, words(b)), "key").select(a, b).unionByName(prefix(x, a).join(prefix(y, b), "key").select(a, b))
+    gram_f = x.select(grams(a)).unionByName(y.select(grams(b))).groupBy("key").agg(F.count("*").alias("_f"))
+    by_word = _sharing_most(x, y, a, b, 0.6)
     rare = lambda rows, c: _rarest(rows.select(c, grams(c)), c, gram_f, F.lit(1))
     size = lambda c: F.length(c)
     close = F.least(size(a), size(b)) >= F.greatest(size(a), size(b)) * 0.7
@@ -70,6 +66,14 @@ def fuzzy_names(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.where(names_alike(F.col(a), F.col(b)))
 
 
+def _sharing_most(x: DataFrame, y: DataFrame, a: str, b: str, least: float) -> DataFrame:
+    """Pairs of distinct names, some more than once, that may share ``least`` of the longer one's words: those that share one of their rarest."""
+    words = lambda c: F.explode(F.array_distinct(long_words(F.col(c)))).alias("key")
+    frequency = x.select(words(a)).unionByName(y.select(words(b))).groupBy("key").agg(F.count("*").alias("_f"))
+    prefix = lambda rows, c: _rarest(rows.select(c, words(c)), c, frequency, F.col("_k") - F.ceil(F.col("_k") * least - 1e-9) + 1)
+    return _repeats(x, a).join(y.select(b, words(b)), "key").select(a, b).unionByName(prefix(x, a).join(prefix(y, b), "key").select(a, b))
+
+
 def _repeats(rows: DataFrame, c: str) -> DataFrame:
     """Names that repeat a word, with all their words: the repeats count as shared, so their rarest words are not enough."""
     listed = rows.where(F.size(long_words(F.col(c))) > F.size(F.array_distinct(long_words(F.col(c)))))
@@ -108,7 +112,7 @@ def reconcile(left: DataFrame, right: DataFrame, a: str, b: str, least: float =
     equal = x.join(y, plain(a) == plain(b)).select(a, b, F.lit("equal").alias("state"))
     rest_x, rest_y = x.join(equal, a, "left_anti"), y.join(equal, b, "left_anti")
     low_x, low_y = rest_x.select(a, F.lower(a).alias("_x")), rest_y.select(b, F.lower(b).alias("_y"))
-    near = sharing_words(low_x.select("_x").distinct(), low_y.select("_y").distinct(), "_x", "_y")
+    near = _sharing_most(low_x.select("_x").distinct(), low_y.select("_y").distinct(), "_x", "_y", least).distinct()
     wx, wy = long_words(F.col("_x")), long_words(F.col("_y"))
     share = F.size(F.filter(wx, lambda w: F.array_contains(wy, w))) / F.greatest(F.size(wx), F.size(wy))
     near = near.withColumn("_share", share).where(F.col("_share") >= least).join(low_x, "_x").join(low_y, "_y")
@@ -145,13 +149,37 @@ def contained_titles(queries: DataFrame, titles: DataFrame, query_key: str, quer
     return hits.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(query_key, title)
 
 
+def edits(size: Column) -> Column:
+    """The edits that a query of ``size`` characters allows: one in eight, at least one."""
+    return F.greatest(F.lit(1), F.floor(size / 8).cast("int"))
+
+
+def _piece_size(size: Column) -> Column:
+    return F.floor(size / (edits(size) + 1)).cast("int")
+
+
+def _pieces(query: Column) -> Column:
+    """One piece more than there may be edits, so that one is whole in every match, no further off its place than the edits."""
+    size, most = _piece_size(F.length(query)), edits(F.length(query))
+    shifted = lambda i: F.transform(F.sequence(-most, most), lambda d: F.struct((i * size + d).alias("at"), F.substr(query, i * size + 1, size).alias("piece")))
+    return F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), most), shifted)))).alias("_p")
+
+
+def _piece_places(name: Column) -> Column:
+    """The pieces of a name, with their places, in the sizes that queries within the allowed edits of it have."""
+    n = F.length(name)
+    lengths = F.sequence(F.greatest(F.lit(1), F.floor(n * 8 / 9).cast("int") - 1), F.floor(n * 8 / 7).cast("int") + 1)
+    of_size = lambda size: F.transform(F.sequence(F.lit(0), n - size), lambda i: F.struct(i.alias("at"), F.substr(name, i + 1, size).alias("piece")))
+    return F.explode(F.flatten(F.transform(F.array_distinct(F.transform(lengths, _piece_size)), of_size))).alias("_p")
+
+
 def cascade(queries: DataFrame, rows: DataFrame, query: str, name: str, key: str) -> DataFrame:
     """Per query the rows of the first tier with a match: exact, normalised, part, then edit distance.
 
     Both sides must have the normalised forms in columns ``norm_q`` and ``norm``.
     A query whose normal form is empty matches nothing.  Names are compared once
-    each, whatever their number of rows; the distance tier needs equal lengths
-    but for the allowed edits.
+    each, whatever their number of rows; those for the distance tier share a piece
+    of the query.
     """
     names = rows.select(name, "norm").distinct()
     q = queries.where(F.col("norm_q") != "")
@@ -160,49 +188,65 @@ def cascade(queries: DataFrame, rows: DataFrame, query: str, name: str, key: str
     gram = F.explode(F.when(F.length("norm_q") >= 3, F.slice(trigrams(F.col("norm_q")), 1, 1)).otherwise(F.array("norm_q"))).alias("g")
     grams = names.select(name, "norm", F.explode(F.array_union(trigrams(F.col("norm")), F.array("norm"))).alias("g"))
     part = q.select(query, "norm_q", gram).join(grams, "g").where(F.contains("norm", F.col("norm_q"))).select(query, name, F.lit(3).alias("tier"))
-    allowed = F.greatest(F.lit(1), F.floor(F.length("norm_q") / 8).cast("int"))
-    reach = F.explode(F.sequence(F.length("norm_q") - allowed, F.length("norm_q") + allowed)).alias("len")
-    near = q.select(query, "norm_q", allowed.alias("allowed"), reach).join(names.withColumn("len", F.length("norm")), "len")
-    near = near.where(F.levenshtein("norm_q", "norm") <= F.col("allowed")).select(query, name, F.lit(4).alias("tier"))
-    found = exact.unionByName(normal).unionByName(part).unionByName(near).groupBy(query, name).agg(F.min("tier").alias("tier"))
+    short = q.where(F.length("norm_q") < 3).join(names, F.contains("norm", F.col("norm_q"))).select(query, name, F.lit(3).alias("tier"))
+    near = q.select(query, "norm_q", _pieces(F.col("norm_q"))).select(query, "norm_q", "_p.*").join(names.select(name, "norm", _piece_places(F.col("norm"))).select(name, "norm", "_p.*"), ["at", "piece"])
+    near = near.where(F.levenshtein("norm_q", "norm") <= edits(F.length("norm_q"))).select(query, name, F.lit(4).alias("tier"))
+    found = exact.unionByName(normal).unionByName(part).unionByName(short).unionByName(near).groupBy(query, name).agg(F.min("tier").alias("tier"))
     best = found.withColumn("_t", F.min("tier").over(Window.partitionBy(query))).where("tier = _t").drop("_t")
     return best.join(rows.select(name, key), name)
 
 
-def as_of(left: DataFrame, right: DataFrame, by: str, at: str, value: str, tie: str) -> DataFrame:
+def _carried(rows: DataFrame, by: str, at: str, unit: str) -> DataFrame:
+    """Rows with ``_seen``, the last ``_last`` that is not null in their group so far, by ``at``, ``_side`` and ``_tie``.
+
+    Each group is cut into slices of time, so that many tasks share a group with
+    very many rows.  A slice begins with a row (``_side`` -1) that holds what the
+    slices before it left.
+    """
+    cut = rows.withColumn("_slice", F.date_trunc(unit, at))
+    rank = F.when(F.col("_last").isNotNull(), F.struct(at, "_side", "_tie"))
+    left = cut.groupBy(by, "_slice").agg(F.max_by("_last", rank).alias("_left"))
+    before = Window.partitionBy(by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    first = left.select(by, "_slice", F.last("_left", ignorenulls=True).over(before).alias("_last"), F.lit(-1).alias("_side"))
+    w = Window.partitionBy(by, "_slice").orderBy(at, "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    return cut.unionByName(first, allowMissingColumns=True).withColumn("_seen", F.last("_last", ignorenulls=True).over(w)).drop("_slice")
+
+
+def as_of(left: DataFrame, right: DataFrame, by: str, at: str, value: str, tie: str, unit: str = "day") -> DataFrame:
     """Each left row with the latest right row of its group that is not later (``<value>_at`` and ``<value>``).
 
-    Both sides go into one sorted pass per group, so nothing is multiplied.  At
-    equal times the right row with the largest ``tie`` counts.
+    Both sides go into one sorted pass over slices of ``unit``, so nothing is
+    multiplied; ``at`` is a date or time.  At equal times the right row with the
+    largest ``tie`` counts.  Rows whose group is null form a group.
     """
     side = F.struct(F.col(at).alias("at"), F.col(tie).alias("tie"), F.col(value).alias("v"))
     r = right.select(by, at, F.lit(0).alias("_side"), F.col(tie).alias("_tie"), side.alias("_last"), F.lit(None).cast(left.schema[tie].dataType).alias("_key"))
     x = left.select(by, at, F.lit(1).alias("_side"), F.lit(None).cast(right.schema[tie].dataType).alias("_tie"), F.lit(None).cast(r.schema["_last"].dataType).alias("_last"), F.col(tie).alias("_key"))
-    w = Window.partitionBy(by).orderBy(at, "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
-    both = r.unionByName(x).withColumn("_seen", F.last("_last", ignorenulls=True).over(w)).where("_side = 1")
+    both = _carried(r.unionByName(x), by, at, unit).where("_side = 1")
     return both.select(F.col("_key").alias(tie), by, at, F.col("_seen.at").alias(f"{value}_at"), F.col("_seen.v").alias(value))
 
 
-def nearest_before(feedback: DataFrame, log: DataFrame, by: str, at: str, key: str, tiers: tuple[int, ...] = (300, 1800)) -> DataFrame:
+def nearest_before(feedback: DataFrame, log: DataFrame, by: str, at: str, key: str, tiers: tuple[int, ...] = (300, 1800), unit: str = "day") -> DataFrame:
     """Pair feedback with the nearest earlier log row of the same group within the first tier of seconds that has one.
 
-    A log row takes one feedback, the nearest (then the smallest key).  Times are
-    bucketed by the widest tier, so the join is on equal buckets.
+    A log row takes one feedback, the nearest (then the smallest key); of log rows
+    at the same time that with the smallest key is paired.  Both sides go into one
+    sorted pass over slices of ``unit``.  Null groups and times pair with nothing.
     """
-    wide = tiers[-1]
-    micros = F.unix_micros(F.col(at).cast("timestamp"))
-    bucket = F.floor(micros / (wide * 1_000_000)).cast("long")
-    f = feedback.select(by, micros.alias("f_at"), F.col(key).alias("f_key"), F.explode(F.array(bucket, bucket - 1)).alias("_b"))
-    g = log.select(by, micros.alias("l_at"), F.col(key).alias("l_key"), bucket.alias("_b"))
-    gap = F.col("f_at") - F.col("l_at")
-    pairs = f.join(g, [by, "_b"]).withColumn("gap", gap).where((F.col("gap") >= 0) & (F.col("gap") < wide * 1_000_000))
+    time = F.col(at).cast("timestamp").alias("_at")
+    there = F.col(by).isNotNull() & F.col(at).isNotNull()
+    f = feedback.where(there).select(by, time, F.lit(1).alias("_side"), F.col(key).alias("f_key"))
+    g = log.where(there).groupBy(F.col(by), time).agg(F.min(key).alias("l_key"))
+    g = g.select(by, "_at", F.lit(0).alias("_side"), F.struct("_at", "l_key").alias("_last"))
+    both = g.unionByName(f, allowMissingColumns=True).withColumn("_tie", F.lit(0))
+    gap = F.unix_micros("_at") - F.unix_micros("_seen._at")
+    pairs = _carried(both, by, "_at", unit).where("_side = 1").select(by, "f_key", "_seen.l_key", gap.alias("gap")).where(F.col("gap") < tiers[-1] * 1_000_000)
     tier = F.lit(None).cast("int")
     for i, s in reversed(list(enumerate(tiers))):
         tier = F.when(F.col("gap") < s * 1_000_000, i).otherwise(tier)
-    pick = Window.partitionBy("f_key").orderBy("tier", "gap", "l_key")
-    chosen = pairs.withColumn("tier", tier).withColumn("_r", F.row_number().over(pick)).where("_r = 1")
     once = Window.partitionBy("l_key").orderBy("gap", "f_key")
-    return chosen.withColumn("_o", F.row_number().over(once)).where("_o = 1").select("f_key", "l_key", by, "tier", F.col("gap").alias("gap_us"))
+    chosen = pairs.withColumn("tier", tier).withColumn("_o", F.row_number().over(once)).where("_o = 1")
+    return chosen.select("f_key", "l_key", by, "tier", F.col("gap").alias("gap_us"))
 
 
 def people_in(queries: DataFrame, people: DataFrame, query_key: str, query: str, name: str, least: int = 4) -> DataFrame:

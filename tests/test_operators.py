@@ -1,11 +1,13 @@
 """Operators on small hand-made tables, with values worked out by hand."""
 
+import datetime
 from pathlib import Path
+import random
 import time
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from talusgrid.config import FUSION, depth
 from talusgrid.functions import ids, text
@@ -310,6 +312,45 @@ def test_neighbours_of_queries_of_two_lengths(spark):
     assert sorted((r["query_id"], r["id"]) for r in vector.neighbours(rows, asked, 1).collect()) == [(7, 1), (8, 3)]
 
 
+def test_distance_tier_equals_comparing_all(spark):
+    draw = random.Random(5)
+    word = lambda n: "".join(draw.choice("ab") for _ in range(n))
+    names = sorted({word(draw.choice((1, 2, 3, 5, 9, 17, 26))) for _ in range(150)})
+    queries = {"a", "b", "c", "ca", "cab"}
+    for x in names[::2]:
+        x = list(x)
+        for _ in range(draw.randint(1, 3)):
+            x.insert(draw.randrange(len(x) + 1), draw.choice("abc"))
+        queries.add("".join(x[draw.randint(0, 1) :]) or "a")
+    rows = spark.createDataFrame([(i, x, x) for i, x in enumerate(names)], "k int, name string, norm string")
+    asked = spark.createDataFrame([(x, x) for x in queries], "q string, norm_q string")
+    got = {(r["q"], r["name"]): r["tier"] for r in matching.cascade(asked, rows, "q", "name", "k").collect()}
+    tier = F.when(F.col("q") == F.col("name"), 1).when(F.contains("name", F.col("q")), 3).when(F.levenshtein("q", "name") <= matching.edits(F.length("q")), 4)
+    every = asked.crossJoin(rows).withColumn("tier", tier).where("tier IS NOT NULL").withColumn("best", F.min("tier").over(Window.partitionBy("q"))).where("tier = best")
+    assert got == {(r["q"], r["name"]): r["tier"] for r in every.collect()} and 4 in got.values()
+
+
+def test_as_of_and_nearest_over_slices(spark):
+    draw = random.Random(7)
+    zero = datetime.datetime(2024, 1, 1)
+    make = lambda n, first: [(first + i, draw.choice(["hot", "hot", "x", None]), zero + datetime.timedelta(seconds=draw.randrange(0, 400_000, 50)) if draw.random() < 0.95 else None) for i in range(n)]
+    schema = "id int, by string, at timestamp_ntz"
+    left, right = make(300, 0), make(400, 1000)
+    a, b = spark.createDataFrame(left, schema), spark.createDataFrame(right, schema)
+    got = {r["id"]: r["v"] for r in matching.as_of(a, b.withColumn("v", F.col("id") * 2), "by", "at", "v", "id", "hour").collect()}
+    nones = datetime.datetime.min
+    before = lambda r: [(x[2] or nones, x[0]) for x in right if x[1] == r[1] and (x[2] or nones) <= (r[2] or nones)]
+    assert got == {r[0]: max(before(r))[1] * 2 if before(r) else None for r in left}
+    pairs = {}
+    for r in left:
+        seen = [((r[2] - x[2]).total_seconds(), x[0]) for x in right if r[1] and x[1] == r[1] and r[2] and x[2] and 0 <= (r[2] - x[2]).total_seconds() < 1800]
+        if seen:
+            gap, log = min(seen)
+            pairs.setdefault(log, []).append((gap, r[0]))
+    want = {(min(x)[1], log, int(min(x)[0] >= 300)) for log, x in pairs.items()}
+    assert {(r["f_key"], r["l_key"], r["tier"]) for r in matching.nearest_before(a, b, "by", "at", "id", unit="hour").collect()} == want
+
+
 def test_names_that_share_only_common_words(spark):
     names = ["red big box", "red big hat", "red big", "tin", "tin can", "aa", "aab", "the the big"]
     left, right = spark.createDataFrame([(x,) for x in names], "x string"), spark.createDataFrame([(x,) for x in names], "y string")
