@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, bradley_terry, contamination, html_main, lang_zstd, line_spread, ppm, quality_cascade, simhash_anchor, warc_index
+from . import bpe, bradley_terry, contamination, html_main, lang_zstd, line_spread, ppm, quality_cascade, simhash_anchor, turn_repair, warc_index
 from .common import crc_mod, held_out, table
 
 
@@ -72,6 +72,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_ranking": op1_quality_ranking,
@@ -84,6 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": op8_simhash,
         "op9_warc": op9_warc,
         "op10_byte_bpe": op10_byte_bpe,
+        "op11_turn_repair": op11_turn_repair,
     }
 
 
