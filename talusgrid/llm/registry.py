@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, bradley_terry, contamination, html_main, lang_zstd, line_spread, ppm, quality_cascade, simhash_anchor, turn_repair, warc_index
+from . import bpe, bradley_terry, contamination, html_main, lang_zstd, line_spread, ppm, quality_cascade, simhash_anchor, token_align, turn_repair, warc_index
 from .common import crc_mod, held_out, table
 
 
@@ -76,6 +76,12 @@ def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.repair(table(spark, sf_dir, "conversations"))
 
 
+def op12_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_align.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_ranking": op1_quality_ranking,
@@ -89,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_warc": op9_warc,
         "op10_byte_bpe": op10_byte_bpe,
         "op11_turn_repair": op11_turn_repair,
+        "op12_token_align": op12_token_align,
     }
 
 
