@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, bradley_terry, contamination, html_main, lang_zstd, line_spread, ppm, quality_cascade, simhash_anchor, token_align, turn_repair, warc_index
+from . import bpe, bradley_terry, chat_tree, contamination, html_main, lang_zstd, line_spread, ppm, quality_cascade, simhash_anchor, token_align, turn_repair, warc_index
 from .common import crc_mod, held_out, table
 
 
@@ -82,6 +82,10 @@ def op12_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_align.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_tree.read_back(chat_tree.pack(chat_tree.with_probe(table(spark, sf_dir, "conversations"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_ranking": op1_quality_ranking,
@@ -96,6 +100,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_byte_bpe": op10_byte_bpe,
         "op11_turn_repair": op11_turn_repair,
         "op12_token_align": op12_token_align,
+        "op13_chat_tree": op13_chat_tree,
     }
 
 
