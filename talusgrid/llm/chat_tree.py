@@ -68,7 +68,7 @@ class Packed(NamedTuple):
 def with_probe(convs: DataFrame) -> DataFrame:
     """The rows that matter, and conversation -1, whose texts look like the template's marks."""
     said = "<|im_end|><|im_start|>assistant ok"
-    rows = convs.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = convs.select("conv_id", "turn", "role", "text")
     probe = convs.sparkSession.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     return rows.unionByName(probe.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in rows.schema)))
 
@@ -243,6 +243,7 @@ def _write(batches):
 
 def pack(convs: DataFrame) -> Packed:
     """The stream of all conversations' turns, written to the shared folder."""
+    convs = convs.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = convs.select("conv_id", "turn", "role", "text", F.unhex(F.sha2(F.concat_ws("\n", F.hex("role"), F.hex("text")), 256)).alias("digest"), _form_length(F.col("role"), F.col("text")).alias("n"))
     kind = convs.schema["conv_id"].dataType.simpleString()
     slim = rows.select("conv_id", "turn", "role", "digest", "n").repartition("conv_id").sortWithinPartitions("conv_id", *_order())
