@@ -25,8 +25,10 @@ rows; other columns of the input are never read.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +42,8 @@ from .common import materialize, pieces
 LOOSE = re.compile(r"\s | $")
 #: Spaces between words, but for those that white space precedes and those that end the text.
 CUT = re.compile(r"(?<=\S) (?= *[^ ])")
+#: How the byte-level vocabulary cuts texts, a fixed value.
+A_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Ids of B are below this, so that a pair of ids is one long.
 SHIFT = 20
 
@@ -88,17 +92,29 @@ def words(text: str) -> list[str]:
 class Aligner:
     """Both tokenizers and the words met so far: counts, groups as text, linked id pairs."""
 
-    def __init__(self, a_path: str, b_path: str, most_bytes: int = 48 << 20):
+    def __init__(self, a_path: str, b_path: str, most_bytes: int = 64 << 20):
         import sentencepiece
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.a = Tokenizer.from_file(a_path)
-        self.a.encode_special_tokens = True
-        self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
+        with open(a_path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
         back = {c: i for i, c in enumerate(byte_alphabet())}
-        self.a_bytes = [bytes(back[c] for c in self.a.id_to_token(i)) if all(c in back for c in self.a.id_to_token(i)) else b"" for i in range(self.a.get_vocab_size())]
+        ranks = {bytes(back[c] for c in token): i for token, i in model["vocab"].items()}
+        merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+        if sorted(merged, key=model["vocab"].__getitem__) != merged:
+            raise ValueError("merges must be in the order of the ids that they make")
+        # a vocabulary whose merges are in the order of ids is one of ranks, which tiktoken encodes several times faster
+        self.a = tiktoken.Encoding("a", pat_str=A_PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
+        self.a_bytes = [b""] * (max(ranks.values()) + 1)
+        for raw, i in ranks.items():
+            self.a_bytes[i] = raw
         self.b_bytes = [self._b_token(i) for i in range(self.b.get_piece_size())]
         self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
+        # an id as text with what follows it: more ids of its side, the other side, the next group
+        most = max(len(self.a_bytes), len(self.b_bytes))
+        self.spelt = {mark: np.array([f"{i}{mark}" for i in range(most)], object) for mark in ",|;"}
+        self.digits = np.array([len(str(i)) + 1 for i in range(most)], np.int64)
         self.most_bytes = most_bytes
         self.forget()
 
@@ -108,44 +124,80 @@ class Aligner:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.counts: list[tuple[int, int, int]] = []
         self.groups: list[str | None] = []
-        self.codes: list[np.ndarray] = []
-        self.held = 0
+        self._counts: list[np.ndarray] = []
+        self._codes: list[np.ndarray] = []
+        self.held, self.all_spelt = 0, True
 
     @property
     def full(self) -> bool:
         return self.held > self.most_bytes
 
+    def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of all known words: (A tokens, B tokens, groups), where the word's pairs start, and the pairs."""
+        counts = np.concatenate([np.empty((0, 3), np.int64), *self._counts])
+        self._counts, codes = [counts], np.concatenate([np.empty(0, np.int64), *self._codes])
+        self._codes = [codes]
+        return counts, np.concatenate([[0], np.cumsum(counts[:, 2])]), codes
+
+    def encode_a(self, new: list[str]) -> list[np.ndarray]:
+        """Tokens of each word with its space; words that end in no white space are encoded as one text."""
+        safe = [k for k, w in enumerate(new) if w and not w[-1].isspace()]
+        out: list[np.ndarray] = [np.empty(0, np.int64)] * len(new)
+        if safe:
+            ids = np.array(self.a.encode_ordinary(" " + " ".join([new[k] for k in safe])), np.int64)
+            stops = np.cumsum([1 + len(new[k].encode()) for k in safe])
+            cuts = np.searchsorted(np.cumsum(self.a_size[ids]), stops) + 1
+            for k, x, y in zip(safe, np.concatenate([[0], cuts[:-1]]).tolist(), cuts.tolist()):
+                out[k] = ids[x:y]
+        for k in set(range(len(new))) - set(safe):
+            out[k] = np.array(self.a.encode_ordinary(" " + new[k]), np.int64)
+        return out
+
     def learn(self, new: list[str]) -> None:
         """Encode and align words in one merge of all their ends."""
-        a_ids = [e.ids for e in self.a.encode_batch_fast([" " + w for w in new], add_special_tokens=False)]
-        b_ids = self.b.encode(new, num_threads=1)
-        spelt = [b"".join(map(self.a_bytes.__getitem__, x)) == (raw := (" " + w).encode()) == b"".join(map(self.b_bytes.__getitem__, y)) for w, x, y in zip(new, a_ids, b_ids)]
-        a_all = np.array([i for x, ok in zip(a_ids, spelt) if ok for i in x], np.int64)
-        b_all = np.array([i for y, ok in zip(b_ids, spelt) if ok for i in y], np.int64)
+        a_ids, b_ids = self.encode_a(new), self.b.encode(new, num_threads=1)
+        a_all, b_all = np.concatenate(a_ids), np.fromiter(chain.from_iterable(b_ids), np.int64)
+        raw = (" " + " ".join(new)).encode()
+        if not (b"".join(map(self.a_bytes.__getitem__, a_all.tolist())) == raw == b"".join(map(self.b_bytes.__getitem__, b_all.tolist()))):
+            spelt = [b"".join(map(self.a_bytes.__getitem__, x.tolist())) == (" " + w).encode() == b"".join(map(self.b_bytes.__getitem__, y)) for w, x, y in zip(new, a_ids, b_ids)]
+            odd = [w for w, ok in zip(new, spelt) if not ok]
+            self.all_spelt = False
+            self._remember(odd, np.zeros((len(odd), 3), np.int64), [None] * len(odd), np.empty(0, np.int64))
+            kept = [k for k, ok in enumerate(spelt) if ok]
+            if not kept:
+                return
+            new, a_ids, b_ids = ([x[k] for k in kept] for x in (new, a_ids, b_ids))
+            a_all, b_all = np.concatenate(a_ids), np.fromiter(chain.from_iterable(b_ids), np.int64)
         in_a, in_b = overlaps(np.cumsum(self.a_size[a_all]), np.cumsum(self.b_size[b_all]))
-        links = (a_all[in_a] << SHIFT) | b_all[in_b]
-        in_a, in_b = in_a.tolist(), in_b.tolist()
-        at = i0 = j0 = 0
-        for w, x, y, ok in zip(new, a_ids, b_ids, spelt):
-            self.known[w] = len(self.counts)
-            self.held += 3 * len(w) + 10 * (len(x) + len(y)) + 350
-            if not ok:
-                self.counts.append((0, 0, 0))
-                self.groups.append(None)
-                self.codes.append(links[:0])
-                continue
-            stop, end, p, q, text = at, i0 + len(x), 0, 0, []
-            while stop < len(in_a) and in_a[stop] < end:
-                p1, q1 = in_a[stop] - i0 + 1, in_b[stop] - j0 + 1
-                text.append(",".join(map(str, x[p:p1])) + "|" + ",".join(map(str, y[q:q1])))
-                p, q = p1, q1
-                stop += 1
-            self.counts.append((len(x), len(y), stop - at))
-            self.groups.append(";".join(text))
-            self.codes.append(links[at:stop])
-            at, i0, j0 = stop, end, j0 + len(y)
+        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a_ids, b_ids))
+        # a word ends where both lists have an end, so its groups are those up to its last token's
+        n_groups = np.diff(np.concatenate([[0], np.searchsorted(in_a, np.cumsum(n_a) - 1) + 1]))
+        groups = self._spell(a_all, b_all, in_a, in_b, n_groups)
+        self._remember(new, np.stack([n_a, n_b, n_groups], 1), groups, (a_all[in_a] << SHIFT) | b_all[in_b])
+
+    def _spell(self, a_all, b_all, in_a, in_b, n_groups) -> list[str]:
+        """Each word's groups as text, cut from one text of all."""
+        ids = np.concatenate([a_all, b_all])
+        last = np.zeros(len(ids), bool)
+        last[in_a] = last[len(a_all) + in_b] = True
+        of_a = np.arange(len(ids)) < len(a_all)
+        # groups in order, in each A's tokens before B's
+        place = np.concatenate([2 * np.searchsorted(in_a, np.arange(len(a_all))), 2 * np.searchsorted(in_b, np.arange(len(b_all))) + 1])
+        order = np.argsort(place, kind="stable")
+        words = np.where(last, np.where(of_a, self.spelt["|"][ids], self.spelt[";"][ids]), self.spelt[","][ids])
+        text = "".join(words[order].tolist())
+        ends = np.cumsum(self.digits[ids[order]])
+        group_ends = ends[np.flatnonzero((last & ~of_a)[order])]
+        stops = group_ends[np.cumsum(n_groups) - 1].tolist()
+        return [text[x : y - 1] for x, y in zip([0, *stops[:-1]], stops)]
+
+    def _remember(self, words: list[str], counts: np.ndarray, groups: list, codes: np.ndarray) -> None:
+        self.known.update(zip(words, range(len(self.groups), len(self.groups) + len(words))))
+        self.groups += groups
+        self._counts.append(counts)
+        self._codes.append(codes)
+        self.held += 270 * len(words) + 2 * sum(map(len, words)) + sum(len(g) for g in groups if g) + 8 * len(codes)
 
     def places(self, cut: list[list[str]]) -> list[np.ndarray]:
         """The known words' numbers of each text."""
@@ -158,9 +210,6 @@ class Aligner:
 @cache
 def aligner(a_path: str, b_path: str) -> Aligner:
     """One instance per worker process."""
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return Aligner(a_path, b_path)
 
 
@@ -185,16 +234,18 @@ def _encode(a_path: str, b_path: str, batch_bytes: int):
             nonlocal number
             ids = pa.concat_arrays([x[0] for x in waiting])
             starts, flat = _ragged([w for x in waiting for w in x[1]], np.int32)
-            used = np.flatnonzero(np.bincount(flat, minlength=len(tool.counts)))
-            local = np.zeros(len(tool.counts), np.int32)
+            table, pair_starts, all_codes = tool.table()
+            used = np.flatnonzero(np.bincount(flat, minlength=len(table)))
+            local = np.zeros(len(table), np.int32)
             local[used] = np.arange(len(used))
             flat_local = local[flat]
-            per_word = np.array([tool.counts[k] for k in used.tolist()], np.int64).reshape(-1, 3)
-            sums = np.concatenate([np.zeros((1, 3), np.int64), np.cumsum(per_word[flat_local], axis=0)])
+            sums = np.concatenate([np.zeros((1, 3), np.int64), np.cumsum(table[flat], axis=0)])
             sums = sums[starts[1:]] - sums[starts[:-1]]
             texts = flat.tolist()
             digests = [hashlib.sha256(";".join(map(tool.groups.__getitem__, texts[a:b])).encode()).hexdigest() if b > a else "" for a, b in zip(starts, starts[1:])]
-            link_starts, codes = _ragged([tool.codes[k] for k in used.tolist()], np.int64)
+            sizes = table[used, 2]
+            link_starts = np.concatenate([[0], np.cumsum(sizes)])
+            codes = all_codes[np.repeat(pair_starts[used] - link_starts[:-1], sizes) + np.arange(link_starts[-1])]
             pairs, place = np.unique(codes, return_inverse=True)
             weight = np.repeat(np.bincount(flat_local, minlength=len(used)), np.diff(link_starts))
             counts = np.bincount(place, weights=weight, minlength=len(pairs)).astype(np.int64)
@@ -223,7 +274,7 @@ def _encode(a_path: str, b_path: str, batch_bytes: int):
                     tool.forget()
                 texts = part.column(1).to_pylist()
                 found = tool.places([words(t) if t else [] for t in texts])
-                whole = [x if all(tool.groups[k] is not None for k in set(x.tolist())) else x[:0] for x in found]
+                whole = [x if tool.all_spelt or all(tool.groups[k] is not None for k in set(x.tolist())) else x[:0] for x in found]
                 waiting.append((part.column(0), whole))
                 size += sum(len(t) for t in texts if t)
                 if size > batch_bytes:

@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 from talusgrid.llm import chat_tree, token_align, turn_repair
 from talusgrid.llm.common import table
@@ -170,12 +171,20 @@ def files():
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
+def byte_library():
+    """The file as its own library reads it."""
+    library = Tokenizer.from_file(files()[0])
+    library.encode_special_tokens = True
+    return library
+
+
 def aligned_whole(rows):
     """Whole texts by the libraries, sets of ends, counts in one dictionary."""
     tool = token_align.Aligner(*files())
+    library = byte_library()
     counts, per = collections.Counter(), []
     for key, text in rows:
-        a = tool.a.encode(" " + text, add_special_tokens=False).ids if text else []
+        a = library.encode(" " + text, add_special_tokens=False).ids if text else []
         b = tool.b.encode(text) if text else []
         raw = (" " + (text or "")).encode()
         if b"".join(tool.a_bytes[i] for i in a) != raw or b"".join(tool.b_bytes[i] for i in b) != raw:
@@ -209,15 +218,15 @@ def test_alignment_equals_whole_texts(spark, small):
 
 
 def test_words_are_safe_cuts():
-    """Words that were met before and forgotten give the same tokens as the whole text."""
-    tool = token_align.Aligner(*files(), most_bytes=1000)
+    """Words that are encoded together and cut apart give the tokens of the whole text."""
+    tool, library = token_align.Aligner(*files()), byte_library()
     rnd = random.Random(2)
-    parts = ["a", "the", " ", "  ", "\n", "\t", "'s", "é", "1", "23", "<|", "▁"[:0], "。", " ", "\x1d", "_", "!?"]
+    parts = ["a", "the", " ", "  ", "\n", "\t", "'s", "é", "1", "23", "<|", "。", "\u3000", "\x1d", "_", "!?", "<|endoftext|>"]
     for _ in range(400):
         text = "".join(rnd.choice(parts) for _ in range(rnd.randint(1, 14)))
         cut = token_align.words(text)
         assert " ".join(cut) == text
-        assert tool.a.encode(" " + text, add_special_tokens=False).ids == [i for w in cut for i in tool.a.encode(" " + w, add_special_tokens=False).ids]
+        assert library.encode(" " + text, add_special_tokens=False).ids == [int(i) for ids in tool.encode_a(cut) for i in ids]
         assert tool.b.encode(text) == [i for w in cut for i in tool.b.encode(w)], repr(text)
 
 
