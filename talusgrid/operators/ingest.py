@@ -10,8 +10,8 @@ def union_preferring(first: DataFrame, second: DataFrame, key: str) -> DataFrame
     return first.unionByName(second.join(first.select(key), key, "left_anti"), allowMissingColumns=True)
 
 
-def fingerprint(rows: DataFrame, parts: list[Column], by: list[str] | None = None) -> DataFrame:
-    """One digest a group that does not depend on the order of rows.
+def fingerprint(rows: DataFrame, parts: list[Column], by: list[str] | None = None, *more: Column) -> DataFrame:
+    """One digest a group that does not depend on the order of rows, and ``more`` aggregates beside it.
 
     Row digests are added up in four 60-bit columns and hashed once, so nothing is
     collected however large the table is.
@@ -19,7 +19,7 @@ def fingerprint(rows: DataFrame, parts: list[Column], by: list[str] | None = Non
     digest = F.sha2(F.concat_ws("\x1f", *parts), 256)
     sums = [F.sum(F.conv(F.substring(digest, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")) for i in range(4)]
     text = F.concat_ws("-", F.count("*").cast("string"), *[s.cast("string") for s in sums])
-    return rows.groupBy(*(by or [])).agg(F.sha2(text, 256).alias("fingerprint"))
+    return rows.groupBy(*(by or [])).agg(F.sha2(text, 256).alias("fingerprint"), *more)
 
 
 def replace_group(old: DataFrame, new: DataFrame, column: str) -> DataFrame:

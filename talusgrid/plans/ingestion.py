@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions import ids
 from ..functions.text import clip, excerpt
 from ..operators import ingest, providers, vector
+from ..scratch import scratch_path
 from ..sources import files
+from ..streaming import corpus
 from .base import Suite, Tables
 
 suite = Suite()
@@ -35,6 +37,25 @@ def incremental_overwrite(t: Tables) -> DataFrame:
     return ingest.replace_group(old, new, "source").select("doc_id", "source", "n_chars")
 
 
+DELIVERED = "doc_id long, source string, text string, delivered long"
+
+
+@query("""SELECT doc_id, source, CASE WHEN source = 'src3' THEN 'again ' || text ELSE text END AS text, md5(CASE WHEN source = 'src3' THEN 'again ' || text ELSE text END) AS output, CASE WHEN source = 'src3' THEN 1 ELSE 0 END::BIGINT AS batch FROM documents""")
+def incremental_stream(t: Tables) -> DataFrame:
+    """Three deliveries through the stream: all sources; one changed, one the same and one outdated; all the same again."""
+    work = scratch_path(t.spark, "deliveries")
+    docs = t.documents.select("doc_id", "source", "text")
+    late = docs.where("source = 'src3'").withColumn("text", F.concat(F.lit("again "), "text")).unionByName(docs.where("source = 'src4'")).withColumn("delivered", F.lit(2).cast("long"))
+    old = docs.where("source = 'src5'").withColumn("text", F.lit("outdated")).withColumn("delivered", F.lit(0).cast("long"))
+    same = docs.where("source <> 'src3'").withColumn("delivered", F.lit(3).cast("long"))
+    store = corpus.ChunkStore(t.spark, f"{work}/store", DELIVERED, lambda rows: rows.select("doc_id", "source", "text"), F.md5("text"))
+    for name, delivery in (("a", docs.withColumn("delivered", F.lit(1).cast("long"))), ("b", late.unionByName(old)), ("c", same)):
+        delivery.select("doc_id", "source", "text", "delivered").write.parquet(f"{work}/in/{name}")
+        store.follow(f"{work}/in/*", f"{work}/checkpoint").awaitTermination()
+    last = store._manifest().groupBy("source").agg(F.max("batch").alias("batch"))
+    return store.chunks().join(last, "source").select("doc_id", "source", "text", "output", "batch")
+
+
 @query("""SELECT doc_id, md5(text) AS output, true AS cached FROM documents WHERE sha256(text) IN (SELECT sha256(text) FROM documents WHERE lang = 'fr')
 UNION ALL SELECT doc_id, NULL, false FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE lang = 'fr')""")
 def memo_cache(t: Tables) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..config import FUSION, depth
 from ..functions.text import query_terms, search_tokens
-from ..operators import fusion, lexical, vector
+from ..operators import blockmax, fusion, lexical, segments, vector
 from ..scratch import scratch_path, settle
 from .base import Suite, Tables, tokens_sql
 
@@ -23,10 +23,10 @@ def _values(terms: list[str]) -> str:
     return ", ".join(f"('{t}')" for t in terms)
 
 
-def bm25_sql(terms: str, k: int, p: str = "l") -> str:
+def bm25_sql(terms: str, k: int, p: str = "l", docs: str = "documents") -> str:
     """``terms`` is SQL of rows (query_id, term); the result's name is ``p`` and an x."""
     return f"""
-{p}d AS (SELECT doc_id AS id, {tokens_sql("text")} AS t FROM documents),
+{p}d AS (SELECT doc_id AS id, {tokens_sql("text")} AS t FROM {docs}),
 {p}st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM {p}d),
 {p}q AS (SELECT DISTINCT query_id, term FROM ({terms})),
 {p}tf AS (SELECT term, id, dl, count(*) AS tf FROM (SELECT id, len(t) AS dl, unnest(t) AS term FROM {p}d) WHERE term IN (SELECT term FROM {p}q) GROUP BY ALL),
@@ -65,6 +65,47 @@ def bm25_index_topk(t: Tables) -> DataFrame:
     return lexical.search_index(lexical.Index.read(t.spark, path), questions, 10).select(F.col("id").alias("doc_id"), "score", "rank")
 
 
+#: The documents after two rounds of changes: some added late, some given another's words, some deleted, some of those back.
+_CHANGED_SQL = """now AS (SELECT doc_id, text FROM documents WHERE doc_id % 11 <> 0 AND doc_id % 7 <> 0 UNION ALL SELECT doc_id, source || ' the nation and heed of ' || text FROM documents WHERE doc_id % 7 = 0 AND doc_id % 11 <> 0
+UNION ALL SELECT doc_id, 'back with ing and heed' FROM documents WHERE doc_id % 22 = 0)"""
+
+
+def _changed_index(t: Tables) -> segments.SegmentedIndex:
+    docs = t.documents.select("doc_id", "text", "source")
+    index = segments.SegmentedIndex.create(docs.where("doc_id % 5 <> 0"), "doc_id", "text", scratch_path(t.spark, "segments"))
+    worded = docs.where("doc_id % 7 = 0").withColumn("text", F.concat("source", F.lit(" the nation and heed of "), "text"))
+    index.apply(docs.where("doc_id % 5 = 0 AND doc_id % 7 <> 0").unionByName(worded), docs.where("doc_id % 11 = 0 AND doc_id % 7 <> 0 AND doc_id % 5 <> 0"), "doc_id", "text")
+    index.apply(docs.where("doc_id % 22 = 0").withColumn("text", F.lit("back with ing and heed")), docs.where("doc_id % 11 = 0"), "doc_id", "text")
+    return index
+
+
+def _ask(t: Tables, index: lexical.Index, k: int) -> DataFrame:
+    found = lexical.search_index(index, t.rows("query_id int, query string", [(0, QUESTION)]), k)
+    return found.select(F.col("id").alias("doc_id"), "score", "rank")
+
+
+@query(f"WITH {_CHANGED_SQL}, {bm25_sql(ONE_QUERY, 40, docs='now')} SELECT id AS doc_id, score, rank FROM lx")
+def bm25_segments_topk(t: Tables) -> DataFrame:
+    """Over an index that was changed twice and never rebuilt."""
+    return _ask(t, _changed_index(t).index(), 40)
+
+
+@query(f"WITH {_CHANGED_SQL}, {bm25_sql(ONE_QUERY, 40, docs='now')} SELECT id AS doc_id, score, rank FROM lx")
+def bm25_compacted_topk(t: Tables) -> DataFrame:
+    """Over the same changes after compaction."""
+    index = _changed_index(t)
+    index.compact()
+    return _ask(t, index.index(), 40)
+
+
+@query(f"""WITH {_CHANGED_SQL}, d AS (SELECT doc_id, {tokens_sql("text")} AS t FROM now), p AS (SELECT DISTINCT doc_id, unnest(t) AS term FROM d)
+SELECT term, count(*) AS df, (SELECT count(*) FROM d) AS n_docs, round((SELECT avg(len(t)) FROM d), 6) AS avgdl FROM p GROUP BY term""")
+def segment_statistics(t: Tables) -> DataFrame:
+    """All document frequencies and corpus numbers as the segments' sums give them."""
+    index = _changed_index(t).index()
+    return index.terms.crossJoin(F.broadcast(index.stats)).select("term", "df", "n_docs", F.round("avgdl", 6).alias("avgdl"))  # one row
+
+
 @query(f"WITH {bm25_sql('SELECT item_id AS query_id, unnest(' + tokens_sql('text') + ') AS term FROM benchmark', 5)} SELECT query_id AS item_id, id AS doc_id, score, rank FROM lx")
 def bm25_topk_batch(t: Tables) -> DataFrame:
     queries = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
@@ -72,6 +113,29 @@ def bm25_topk_batch(t: Tables) -> DataFrame:
     return found.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "score", "rank")
 
 
+def _blocks(t: Tables, shard_docs: int) -> blockmax.BlockIndex:
+    path = scratch_path(t.spark, "blocks")
+    index = lexical.build_index(t.documents, "doc_id", "text")
+    blockmax.build(index, shard_docs).write(path)
+    return blockmax.BlockIndex.read(t.spark, path)
+
+
+@query(f"WITH {bm25_sql('SELECT item_id AS query_id, unnest(' + tokens_sql('text') + ') AS term FROM benchmark', 5)} SELECT query_id AS item_id, id AS doc_id, score, rank FROM lx")
+def bm25_blocks_topk(t: Tables) -> DataFrame:
+    """The items over postings in blocks; ranges whose bound is below the fifth score stay unread."""
+    queries = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    found, _ = blockmax.search(_blocks(t, 50_000), queries, 5)
+    return found.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "score", "rank")
+
+
+@query()
+def block_pruning(t: Tables) -> DataFrame:
+    """Of each item's blocks, how many a search for the best document had to read."""
+    queries = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    _, read = blockmax.search(_blocks(t, 50_000), queries, 1)
+    return read.select(F.col("query_id").alias("item_id"), "blocks", "needed", (F.col("blocks") - F.col("needed")).alias("skipped"))
+
+
 _EXPANDED = " UNION ALL ".join([ONE_QUERY] + [f"SELECT 0, '{s}'" for k, v in SYNONYMS.items() if k in QUESTION.split() for s in v])
 
 

@@ -1,10 +1,13 @@
-"""Cutting the lineage of small results that later steps use many times."""
+"""Scratch tables in the folder that all executors share; they are removed when nothing reads them any more, at the latest when the driver ends."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -24,13 +27,45 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 _LOCAL: list[str] = []
+_MADE: list[str] = []
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, name: str = "settled") -> DataFrame:
     """``df``, worked out once and kept in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove settled tables that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_scratch_path", None)
+        if path in _MADE:
+            remove(path)
+
+
+def remove(path: str) -> None:
+    jvm = SparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(jvm.org.apache.spark.deploy.SparkHadoopUtil.get().conf()).delete(target, True)
+    _MADE.remove(path)
+
+
+def _at_exit() -> None:
+    for path in list(_MADE):
+        try:
+            remove(path)
+        except (Py4JError, OSError, AttributeError):
+            return  # the JVM is gone; nothing can be removed from here
+
+
+atexit.register(_at_exit)
