@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import analytics
-from ..streaming import limits
+from ..streaming import cache, limits
 from .base import Suite, Tables
 
 suite = Suite()
@@ -86,11 +86,15 @@ def rate_limit_fold(t: Tables) -> DataFrame:
     return limits.rate_limit(t.events, "user_id", "ts", "event_id", ((600, 1), (86_400, 20)))
 
 
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, ts, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+m AS (SELECT user_id, k, ts, value FROM e WHERE k = 1 UNION ALL
+      SELECT e.user_id, e.k, e.ts, e.value FROM (SELECT m.user_id, min(e.k) AS k FROM m JOIN e ON e.user_id = m.user_id AND e.k > m.k AND e.ts >= m.ts + INTERVAL 6 HOUR GROUP BY m.user_id) n JOIN e USING (user_id, k))
+SELECT event_id, CASE WHEN e.k = s.k THEN 'miss' ELSE 'hit' END AS outcome, s.value AS value FROM e ASOF JOIN m s ON e.user_id = s.user_id AND e.k >= s.k""")
+def ttl_cache(t: Tables) -> DataFrame:
+    """An answer for each user that is good for six hours from the event that stored it."""
+    return cache.ttl_cache(t.events, "user_id", "ts", "event_id", "value", 6 * 3600).select(F.col("tie").alias("event_id"), "outcome", "value")
+
+
 @query("""WITH j AS (SELECT user_id, event_type AS status, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) SELECT user_id, status FROM j WHERE k = 1""")
 def job_status(t: Tables) -> DataFrame:
     return t.events.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("status"))
-
-
-@query("""SELECT source, count(*) AS n FROM (SELECT split_part(doc_id::VARCHAR || '_' || source, '_', 2) AS source FROM documents) GROUP BY source""")
-def segment_counts_by_prefix(t: Tables) -> DataFrame:
-    return t.documents.groupBy("source").agg(F.count("*").alias("n"))
