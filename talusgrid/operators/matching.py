@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import squeeze
+from ..functions.text import long_words, squeeze
+from .assignment import greedy
 
 
 def trigrams(text: Column) -> Column:
@@ -16,10 +17,6 @@ def trigrams(text: Column) -> Column:
     return F.array_distinct(F.transform(starts, lambda i: F.substr(text, i, F.lit(3))))
 
 
-def long_words(text: Column) -> Column:
-    return F.filter(F.split(text, " "), lambda w: F.length(w) > 2)
-
-
 def names_alike(a: Column, b: Column) -> Column:
     """Equal, or one contains the other and is not much shorter, or most of their longer words are shared."""
     shorter, longer = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
@@ -37,12 +34,6 @@ def _rarest(keyed: DataFrame, item: str, frequency: DataFrame, keep: Column) ->
     return ranked.where(F.col("_r") <= keep).select(item, "key")
 
 
-def sharing_words(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
-    """Distinct pairs that share a word of more than two characters."""
-    word = lambda c: F.explode(F.array_distinct(long_words(F.col(c)))).alias("key")
-    return left.select(a, word(a)).join(right.select(b, word(b)), "key").select(a, b).distinct()
-
-
 def fuzzy_names(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
     """Pairs of distinct non-empty names ``a`` of left and ``b`` of right that are alike.
 
@@ -104,8 +95,8 @@ def first_named(rows: DataFrame, name: str, key: str, wanted: list[str]) -> Data
 def reconcile(left: DataFrame, right: DataFrame, a: str, b: str, least: float = 0.5) -> DataFrame:
     """Names of both sides in three passes: equal but for case and blanks, then alike, then what is left of either.
 
-    Alike are pairs that share at least ``least`` of the longer one's words and
-    are each other's best; ties go to the smaller name.  Columns: ``a``, ``b``, ``state``.
+    Alike are pairs that share at least ``least`` of the longer one's words, assigned
+    one to one by falling share; ties go to the smaller names.  Columns: ``a``, ``b``, ``state``.
     """
     x, y = left.select(a).distinct(), right.select(b).distinct()
     plain = lambda c: F.lower(F.trim(c))
@@ -116,21 +107,13 @@ def reconcile(left: DataFrame, right: DataFrame, a: str, b: str, least: float =
     wx, wy = long_words(F.col("_x")), long_words(F.col("_y"))
     share = F.size(F.filter(wx, lambda w: F.array_contains(wy, w))) / F.greatest(F.size(wx), F.size(wy))
     near = near.withColumn("_share", share).where(F.col("_share") >= least).join(low_x, "_x").join(low_y, "_y")
-    best = lambda c, other: F.row_number().over(Window.partitionBy(c).orderBy(F.desc("_share"), other)) == 1
-    alike = near.withColumn("_a", best(a, b)).withColumn("_b", best(b, a)).where("_a AND _b").select(a, b, F.lit("alike").alias("state"))
+    alike = greedy(near, a, b, "_share").select(a, b, F.lit("alike").alias("state"))
     paired = equal.unionByName(alike)
     alone_x = rest_x.join(alike, a, "left_anti").select(a, F.lit(None).cast("string").alias(b), F.lit("left only").alias("state"))
     alone_y = rest_y.join(alike, b, "left_anti").select(F.lit(None).cast("string").alias(a), b, F.lit("right only").alias("state"))
     return paired.unionByName(alone_x).unionByName(alone_y)
 
 
-def title_score(a: Column, b: Column) -> Column:
-    """100 for equal names, 80 for containment, else 50 plus 30 times the shared share of words; null below 60 % shared."""
-    wa, wb = F.array_distinct(long_words(a)), F.array_distinct(long_words(b))
-    share = F.size(F.array_intersect(wa, wb)) / F.nullif(F.greatest(F.size(wa), F.size(wb)), F.lit(0))
-    return F.when(a == b, F.lit(100.0)).when(F.contains(a, b) | F.contains(b, a), F.lit(80.0)).when(share > 0, 50 + 30 * share)
-
-
 def best_match(pairs: DataFrame, left: str, score: str, right: str) -> DataFrame:
     """The best right row of each left row; ties go to the smaller right key."""
     w = Window.partitionBy(left).orderBy(F.desc(score), right)
@@ -217,13 +200,16 @@ def as_of(left: DataFrame, right: DataFrame, by: str, at: str, value: str, tie:
 
     Both sides go into one sorted pass over slices of ``unit``, so nothing is
     multiplied; ``at`` is a date or time.  At equal times the right row with the
-    largest ``tie`` counts.  Rows whose group is null form a group.
+    largest ``tie`` counts.  Rows whose group is null form a group; a row without a
+    time matches nothing on either side.
     """
+    right = right.where(F.col(at).isNotNull())
     side = F.struct(F.col(at).alias("at"), F.col(tie).alias("tie"), F.col(value).alias("v"))
     r = right.select(by, at, F.lit(0).alias("_side"), F.col(tie).alias("_tie"), side.alias("_last"), F.lit(None).cast(left.schema[tie].dataType).alias("_key"))
     x = left.select(by, at, F.lit(1).alias("_side"), F.lit(None).cast(right.schema[tie].dataType).alias("_tie"), F.lit(None).cast(r.schema["_last"].dataType).alias("_last"), F.col(tie).alias("_key"))
     both = _carried(r.unionByName(x), by, at, unit).where("_side = 1")
-    return both.select(F.col("_key").alias(tie), by, at, F.col("_seen.at").alias(f"{value}_at"), F.col("_seen.v").alias(value))
+    seen = F.when(F.col(at).isNotNull(), F.col("_seen"))
+    return both.select(F.col("_key").alias(tie), by, at, seen["at"].alias(f"{value}_at"), seen["v"].alias(value))
 
 
 def nearest_before(feedback: DataFrame, log: DataFrame, by: str, at: str, key: str, tiers: tuple[int, ...] = (300, 1800), unit: str = "day") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.text import alnum_title
-from ..operators import matching
+from ..operators import assignment, matching
 from .base import Suite, Tables
 
 suite = Suite()
@@ -62,9 +62,24 @@ SELECT x, y, round(score, 6) AS score FROM r WHERE k = 1""")
 def scored_best_match(t: Tables) -> DataFrame:
     left = t.part.select(F.col("p_name").alias("x")).distinct()
     right = t.part.select(F.concat("p_type", F.lit(" "), "p_name").alias("y")).distinct()
-    pairs = matching.sharing_words(left, right, "x", "y")
-    scored = pairs.withColumn("score", F.round(matching.title_score(F.col("x"), F.col("y")), 6))
-    return matching.best_match(scored, "x", "score", "y")
+    best = assignment.best_titles(left, right, "x", "y", 80, lambda share: 50 + 30 * share, equal=100)
+    return best.select("x", "y", F.round("score", 6).alias("score"))
+
+
+_FILMS_SQL = f"""q AS (SELECT DISTINCT {_norm_sql("p_brand || ' (1999) ' || p_name")} AS q FROM part WHERE p_partkey % 2 = 0 UNION SELECT * FROM (VALUES ('bolt the of ring'), ('unheard of'), ('x'))),
+c AS (SELECT DISTINCT {_norm_sql("p_name || ' ' || p_brand || ', ' || p_type")} AS c FROM part WHERE NOT contains(upper(p_name), 'GEAR'))"""
+
+
+@query(f"""WITH {_FILMS_SQL}, w AS (SELECT q, c, list_distinct(string_split(q, ' ')) AS wq, list_distinct(string_split(c, ' ')) AS wc FROM q, c),
+s AS (SELECT q, c, CASE WHEN q = c THEN 1e0 ELSE greatest(CASE WHEN contains(q, c) OR contains(c, q) THEN 0.8e0 ELSE 0 END, len(list_intersect(wq, wc)) / len(wq)) END AS score FROM w)
+SELECT q AS wanted, c AS title, round(score, 6) AS score FROM s WHERE score > 0.5 QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, c) = 1""")
+def title_match(t: Tables) -> DataFrame:
+    """Titles normalised, some of them skipped, matched by the share of the wanted one's words where that is over a half."""
+    wanted = t.part.where("p_partkey % 2 = 0").select(alnum_title(F.concat("p_brand", F.lit(" (1999) "), "p_name")).alias("wanted"))
+    wanted = wanted.unionByName(t.rows("wanted string", [("bolt the of ring",), ("unheard of",), ("x",)]))
+    titles = t.part.where(~F.contains(F.upper("p_name"), F.lit("GEAR"))).select(alnum_title(F.concat("p_name", F.lit(" "), "p_brand", F.lit(", "), "p_type")).alias("title"))
+    best = assignment.best_titles(wanted, titles, "wanted", "title", 0.8, lambda share: share, equal=1, above=0.5, longer=False, words=lambda c: F.split(c, " "))
+    return best.select("wanted", "title", F.round("score", 6).alias("score"))
 
 
 @query("""WITH d AS (SELECT source, doc_id FROM documents)
@@ -79,11 +94,14 @@ _RECONCILED_SQL = """l AS (SELECT DISTINCT p_name AS a FROM part), r AS (SELECT
 e AS (SELECT a, b FROM l JOIN r ON lower(trim(a)) = lower(trim(b)))"""
 
 
-@query(f"""WITH {_RECONCILED_SQL},
+@query(f"""WITH RECURSIVE {_RECONCILED_SQL},
 c AS (SELECT a, b, len(list_filter({_WORDS.format('lower(a)')}, lambda w: list_contains({_WORDS.format('lower(b)')}, w))) / greatest(len({_WORDS.format('lower(a)')}), len({_WORDS.format('lower(b)')})) AS share
       FROM (SELECT a FROM l WHERE a NOT IN (SELECT a FROM e)), (SELECT b FROM r WHERE b NOT IN (SELECT b FROM e))
       WHERE len(list_filter({_WORDS.format('lower(a)')}, lambda w: list_contains({_WORDS.format('lower(b)')}, w))) / greatest(len({_WORDS.format('lower(a)')}), len({_WORDS.format('lower(b)')})) >= 0.5),
-f AS (SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY share DESC, b) AS ka, row_number() OVER (PARTITION BY b ORDER BY share DESC, a) AS kb FROM c) WHERE ka = 1 AND kb = 1)
+o AS (SELECT a, b, row_number() OVER (ORDER BY share DESC, a, b) AS k FROM c),
+g AS (SELECT 0::BIGINT AS k, []::VARCHAR[] AS ua, []::VARCHAR[] AS ub UNION ALL
+      SELECT o.k, CASE WHEN list_contains(ua, a) OR list_contains(ub, b) THEN ua ELSE list_append(ua, a) END, CASE WHEN list_contains(ua, a) OR list_contains(ub, b) THEN ub ELSE list_append(ub, b) END FROM g JOIN o ON o.k = g.k + 1),
+f AS (SELECT unnest(ua) AS a, unnest(ub) AS b FROM (SELECT * FROM g ORDER BY k DESC LIMIT 1))
 SELECT a, b, 'equal' AS state FROM e UNION ALL SELECT a, b, 'alike' FROM f UNION ALL SELECT a, NULL, 'left only' FROM l WHERE a NOT IN (SELECT a FROM e) AND a NOT IN (SELECT a FROM f)
 UNION ALL SELECT NULL, b, 'right only' FROM r WHERE b NOT IN (SELECT b FROM e) AND b NOT IN (SELECT b FROM f)""")
 def coverage_reconciliation(t: Tables) -> DataFrame:
