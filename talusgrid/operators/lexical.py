@@ -50,6 +50,8 @@ WHOLE = "\x00"
 
 #: Up to so many query words are looked up in a broadcast table.
 FEW_WORDS = 100_000
+#: Up to so many are written into the filter of an index's scan.
+LISTED_WORDS = 2_000
 
 
 def _wanted(queries: DataFrame, synonyms: dict[str, list[str]] | None) -> DataFrame:
@@ -91,14 +93,17 @@ def _scored(postings: DataFrame, df: DataFrame, stats: DataFrame, terms: DataFra
 def search_index(index: Index, queries: DataFrame, k: int, synonyms: dict[str, list[str]] | None = None, params: Bm25 = Bm25()) -> DataFrame:
     """:func:`search` over an index that was built before.
 
-    The queries' words, a bounded list, reach the scan of the postings as a
-    filter, so Parquet passes over the row groups of other words.
+    Up to ``LISTED_WORDS`` words of the queries reach the scan of the postings as a
+    filter, so Parquet passes over the row groups of other words; more are joined.
     """
     terms = _wanted(queries, synonyms)
-    words = sorted(r["term"] for r in terms.select("term").distinct().collect())
-    hit = F.col("term").isin(words)
-    postings = index.postings.where(hit).join(index.docs, "id")
-    return _scored(postings, index.terms.where(hit), index.stats, terms, k, params)
+    words = [r["term"] for r in terms.select("term").distinct().limit(LISTED_WORDS + 1).collect()]
+    if len(words) <= LISTED_WORDS:
+        of_words = lambda rows: rows.where(F.col("term").isin(sorted(words)))
+    else:
+        of_words = lambda rows: rows.join(terms.select("term").distinct(), "term", "left_semi")
+    postings = of_words(index.postings).join(index.docs, "id")
+    return _scored(postings, of_words(index.terms), index.stats, terms, k, params)
 
 
 def top_per(scored: DataFrame, k: int, by: str = "query_id", order: tuple[Column, ...] | None = None) -> DataFrame:

@@ -266,13 +266,27 @@ def rrf_fusion(t: Tables) -> DataFrame:
     return fusion.fuse_ranks(*_lists(t)).select("id", "score", "source")
 
 
-@query(f"""WITH {_FUSED},
-sp AS (SELECT id, max(1 / (60 + rank)) * 0.7e0 AS more FROM (SELECT id, rank FROM lx WHERE rank <= 20 UNION ALL SELECT id + 1, rank FROM vx WHERE rank <= 20) GROUP BY id)
+#: Supplemental questions with the ids of their vectors; the SQL of the first one's words (with synonyms) and vector.
+SUPPLEMENTAL = (("the shares of heed by fr", 1),)
+_ALSO_SQL = f"SELECT 1 AS query_id, unnest({tokens_sql(chr(39) + SUPPLEMENTAL[0][0] + chr(39))}) AS term UNION ALL SELECT 1, 'hede'"
+_ALSO_VECTOR = "SELECT 1 AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 1"
+
+
+def _vectors_near(t: Tables, supplemental: tuple[tuple[str, int], ...], k: int) -> DataFrame:
+    """The vector lists of supplemental questions, numbered from 1."""
+    asked = t.rows("query_id int, vec_id long", [(n, i) for n, (_, i) in enumerate(supplemental, 1)])
+    vectors = t.embeddings.join(F.broadcast(asked), "vec_id").select("query_id", F.col("embedding").alias("vector"))  # a row a question
+    return vector.neighbours(t.embeddings, vectors, k)
+
+
+@query(f"""WITH {_FUSED}, {bm25_sql(_ALSO_SQL, 20, p='m')}, {knn_sql(_ALSO_VECTOR, 20, p='s')},
+sp AS (SELECT coalesce(v.id, l.id) AS id, 0.7e0 * round(coalesce(1 / (60 + v.rank), 0e0) + coalesce(1 / (60 + l.rank), 0e0), 6) AS more FROM sx v FULL JOIN mx l ON v.id = l.id)
 SELECT coalesce(fu.id, sp.id) AS id, round(coalesce(score, 0) + coalesce(more, 0), 6) AS score, coalesce(source, 'bm25') AS source FROM fu FULL JOIN sp ON fu.id = sp.id""")
 def rrf_supplemental(t: Tables) -> DataFrame:
-    near, lex = (settle(x) for x in _lists(t))
-    part = (1 / (F.lit(FUSION.rank_constant) + F.col("rank"))).alias("score")
-    extra = lex.where("rank <= 20").select("query_id", "id", part).unionByName(near.where("rank <= 20").select("query_id", (F.col("id") + 1).alias("id"), part))
+    """The fused list, and what a supplemental question's own fused list adds to it."""
+    near, lex = _lists(t)
+    words = lexical.search(t.documents, t.rows("query_id int, query string", [(1, SUPPLEMENTAL[0][0])]), 20, "doc_id", "text", synonyms=SYNONYMS)
+    extra = fusion.fuse_ranks(_vectors_near(t, SUPPLEMENTAL, 20), words).withColumn("query_id", F.lit(0))
     return fusion.add_supplemental(fusion.fuse_ranks(near, lex), extra).select("id", "score", "source")
 
 
@@ -386,14 +400,21 @@ def rerank_apply(t: Tables) -> DataFrame:
     return fusion.apply_order(_nearest(t, t.embeddings, 12), order).drop("query_id")
 
 
-TARGETS, SPEAKERS, SUPPLEMENTAL = ("src1",), ("fr",), ("the shares of heed",)
+TARGETS = ("src1",)
 
 
-def hybrid(t: Tables, question: str, query_id: int = 0, kind: str = "interpretive", confidence: float = 0.7, targets=TARGETS, speakers=SPEAKERS, supplemental=SUPPLEMENTAL) -> DataFrame:
+def named_speakers(t: Tables, questions: tuple[str, ...]) -> list[str]:
+    """Of all speakers those that a question names as a word; no more than the questions have words."""
+    asked = t.rows("word string", sorted({(w,) for q in questions for w in q.lower().split()}))
+    return sorted(r[0] for r in asked.join(t.documents.select(F.col("lang").alias("speaker")).distinct(), F.col("word") == F.lower("speaker")).select("speaker").collect())
+
+
+def hybrid(t: Tables, question: str, query_id: int = 0, kind: str = "interpretive", confidence: float = 0.7, targets=TARGETS, supplemental=SUPPLEMENTAL, synonyms=SYNONYMS) -> DataFrame:
     """The composed pipeline over documents and vectors of the same ids: id, source, score, pos, added.
 
-    Vectors with their topics, and words, give two lists that are fused; lists of
-    supplemental questions and near rows of the target groups are added; boosts
+    Vectors with their topics, and words with their synonyms, give two lists that are
+    fused; so do the vector and the words of each supplemental question, whose best
+    discounted score is added, as are near rows of the target groups.  Speakers are those that a question names.  Boosts
     and penalties, removal of near copies, diversification, and the documents
     beside strong results follow.  The top-k operators read the tables once each;
     their lists, and the few hundred rows with texts, are settled, so that no
@@ -405,18 +426,19 @@ def hybrid(t: Tables, question: str, query_id: int = 0, kind: str = "interpretiv
     one = settle(t.embeddings.where(F.col("vec_id") == query_id).select(F.lit(0).alias("query_id"), F.col("embedding").alias("vector")))
     merged = _merged(t, vector.neighbours(t.embeddings, one, wide_vector), wide_vector, query_id).withColumn("query_id", F.lit(0))
     near = settle(lexical.top_per(merged, wide_vector * 2))
-    questions = t.rows("query_id int, query string", list(enumerate((question, *supplemental))))
-    words = settle(lexical.search(t.documents, questions, wide_lexical, "doc_id", "text"))
+    texts = (question, *(q for q, _ in supplemental))
+    words = settle(lexical.search(t.documents, t.rows("query_id int, query string", list(enumerate(texts))), wide_lexical, "doc_id", "text", synonyms=synonyms))
     fused = fusion.fuse_ranks(near, words.where("query_id = 0"))
-    extra = words.where("query_id > 0").select(F.lit(0).alias("query_id"), "id", (1 / (F.lit(FUSION.rank_constant) + F.col("rank"))).alias("score"))
-    main = settle(fusion.add_supplemental(fused, extra))
+    also = _vectors_near(t, supplemental, wide_vector)
+    main = settle(fusion.add_supplemental(fused, fusion.fuse_ranks(also, words.where("query_id > 0")).withColumn("query_id", F.lit(0))))
+    speakers = named_speakers(t, texts)
     own = chunks.where(F.col("group").isin(*targets)).select("id", "group")
     of_targets = t.embeddings.join(own.withColumnRenamed("id", "vec_id"), "vec_id", "left_semi")
     pool = settle(vector.neighbours(of_targets, one, FUSION.inject_pool * len(targets)).select("query_id", "id", "score"))
     rows = fusion.inject(main, pool.join(own, "id"), list(targets), own)
     terms = query_terms(F.lit(question))
     hits = fusion.keyword_hits(F.col("text"), terms)
-    factor = fusion.keyword_factor(F.col("text"), terms) * fusion.member_factor(F.col("speakers"), list(speakers), FUSION.speaker_boost) * fusion.group_factor(F.col("group"), list(targets)) * fusion.boilerplate_factor(F.col("text"), BOILERPLATE)
+    factor = fusion.keyword_factor(F.col("text"), terms) * fusion.member_factor(F.col("speakers"), speakers, FUSION.speaker_boost) * fusion.group_factor(F.col("group"), list(targets)) * fusion.boilerplate_factor(F.col("text"), BOILERPLATE)
     tokens = F.filter(F.split(F.lower("text"), r"\s+"), lambda x: F.length(x) > 2)
     boosted = settle(chunks.join(F.broadcast(rows), "id").select("query_id", "id", "group", F.round(F.col("score") * factor, 9).alias("score"), hits.alias("hits"), tokens.alias("tokens")))  # a few lists long
     distinct = fusion.drop_near_copies(boosted).join(boosted.select("id", "group", "hits"), "id")
@@ -427,18 +449,15 @@ def hybrid(t: Tables, question: str, query_id: int = 0, kind: str = "interpretiv
     return out.join(best.select("id", "pos", F.col("group").alias("source")), "id", "left").select("id", "source", "score", "pos", "added")
 
 
-_BOTH = f"{ONE_QUERY} UNION ALL SELECT 1, unnest({tokens_sql(chr(39) + SUPPLEMENTAL[0] + chr(39))})"
-
-
-@query(f"""WITH {bm25_sql(_BOTH, 40)}, {_MERGED_SQL},
+@query(f"""WITH {bm25_sql(_EXPANDED + " UNION ALL " + _ALSO_SQL, 40)}, {_MERGED_SQL}, {knn_sql(_ALSO_VECTOR, 60, p='s')},
 vr AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM mg),
 fu AS (SELECT coalesce(v.id, l.id) AS id, round(coalesce(1 / (60 + v.rank), 0e0) + coalesce(1 / (60 + l.rank), 0e0), 6) AS score FROM vr v FULL JOIN (SELECT * FROM lx WHERE query_id = 0) l ON v.id = l.id),
-sp AS (SELECT id, max(1 / (60 + rank)) * 0.7e0 AS more FROM lx WHERE query_id > 0 GROUP BY id),
+sp AS (SELECT coalesce(v.id, l.id) AS id, 0.7e0 * round(coalesce(1 / (60 + v.rank), 0e0) + coalesce(1 / (60 + l.rank), 0e0), 6) AS more FROM sx v FULL JOIN (SELECT * FROM lx WHERE query_id = 1) l ON v.id = l.id),
 ma AS (SELECT coalesce(fu.id, sp.id) AS id, round(coalesce(score, 0) + coalesce(more, 0), 6) AS score FROM fu FULL JOIN sp ON fu.id = sp.id),
 {knn_sql(ONE_VECTOR, 6, "vec_id IN (SELECT doc_id FROM documents WHERE source = 'src1')", 'p')},
 nw AS (SELECT id FROM px WHERE id NOT IN (SELECT id FROM ma) AND score >= 0.15 AND (SELECT count(*) FROM ma JOIN documents ON doc_id = ma.id WHERE source = 'src1') < 3 ORDER BY score DESC, id LIMIT 3),
 al AS (SELECT id, score FROM ma UNION ALL SELECT id, (SELECT list_sort(list(score))[len(list(score)) // 2 + 1] FROM ma) FROM nw),
-bo AS (SELECT id, source AS grp, text, {_HITS_SQL} AS hits, round(score * (1 + {_HITS_SQL} * 0.15e0) * CASE lang WHEN 'fr' THEN 1.3e0 ELSE 1 END * CASE source WHEN 'src1' THEN 1.5e0 ELSE 1 END
+bo AS (SELECT id, source AS grp, text, {_HITS_SQL} AS hits, round(score * (1 + {_HITS_SQL} * 0.15e0) * CASE WHEN list_contains(string_split('{QUESTION} {SUPPLEMENTAL[0][0]}', ' '), lang) THEN 1.3e0 ELSE 1 END * CASE source WHEN 'src1' THEN 1.5e0 ELSE 1 END
        * CASE WHEN {_BOILER_SQL} >= 2 THEN 0.3e0 WHEN {_BOILER_SQL} = 1 THEN 0.6e0 ELSE 1e0 END, 9) AS score FROM al JOIN documents ON doc_id = id),
 dl AS (SELECT list(struct_pack(id := id, score := score, t := {_TOKSET}) ORDER BY score DESC, id) AS a FROM bo),
 dk AS (SELECT list_reduce(list_transform(a, lambda x: [x]), lambda acc, x: CASE WHEN len(list_filter(acc, lambda y:
