@@ -6,11 +6,13 @@ The ratio of text to tags is smoothed over neighbouring lines with a Gaussian;
 two-means clustering of the smoothed ratios gives the threshold between content
 and the rest.  The regions are the article and main elements of which the
 content lines hold the larger part of the text (of nested ones the innermost
-that holds all of it), or where there is none the innermost container that
-holds nearly all content; there, link lists before the first and after the last
+that holds all of it, unless the outer one has text of its own before it: then
+the nested one is a reader's remark), or where there is none the innermost container around
+all content; there, link lists before the first and after the last
 content line are left out.  All other lines of the regions are returned but
 those inside menus, headers, footers, sidebars, notices, adverts, forms and
-comments.  A form with more than half of a page's text is the page's frame.
+comments.  A form, or an element marked as layout, with more than half of a page's text is the page's frame.
+Of regions with equal content the one with more text counts, then the later.
 
 Defined results: null and empty pages give an empty text, as do pages without
 text; broken or cut-off markup is read as far as it goes: end tags that HTML
@@ -36,11 +38,12 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 UNSEEN = frozenset("head title script style noscript template iframe object svg math canvas audio video".split())
 #: What may stand in a head; anything else ends one without an end tag.
 HEAD = frozenset("html head title base basefont bgsound link meta style script noscript noframes template".split())
-ASIDE = frozenset("nav footer aside menu dialog button select textarea fieldset datalist label".split())
+ASIDE = frozenset("nav footer aside menu dialog button select textarea datalist".split())
 CONTAINER = frozenset("article main section div td body html center form".split())
 BLOCK = CONTAINER | ASIDE | frozenset(
     "address blockquote dd details dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 header hgroup hr li ol p pre summary table tbody thead tfoot tr th ul caption".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A start tag ends the open elements named first, unless one of those named second is open inside them.
 ENDS = {
     "li": (("li",), ("ul", "ol", "menu")),
@@ -70,6 +73,8 @@ NEUTRAL = frozenset(
     "item items js large layer left link links list main mobile module nav new outer page panel post posts primary right row secondary section site slot small sticky tab tabs thread title "
     "top unit user widget widgets wrap wrapper".split()
 )
+#: Marks that hold whatever share of the page they are on.
+STRICT = MARKS - {"sidebar", "navbar", "masthead"} | frozenset("ad ads promo promotion comment reply replies respond related recommended hidden".split())
 #: Marks that whole pages carry on their outer elements too: there they do not reach an article inside.
 LAYOUT = frozenset("sidebar menu nav navbar navigation banner header footer masthead toolbar social share sharing modal overlay popup".split())
 _PARTS = re.compile(r"[^a-z0-9]+")
@@ -100,6 +105,9 @@ class Line:
     #: In something that is not the article; whether the innermost form counts is told later.
     aside: bool
     form: int
+    #: The elements around it whose marks may be those of the page's frame.
+    frames: tuple[int, ...]
+    heading: bool
     linked: int
 
 
@@ -108,7 +116,7 @@ class Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool, int, bool]] = []  # tag, container or -1, unseen, change of aside, firm
+        self.stack: list[tuple[str, int, bool, int, bool, tuple]] = []  # tag, container or -1, unseen, change of aside, firm, frames before
         self.open: dict[str, list[int]] = {}  # places in the stack by tag
         self.blocks: list[int] = []
         self.kinds: list[str] = []
@@ -120,6 +128,9 @@ class Lines(HTMLParser):
         self.parts: list[str] = []
         self.tags = self.linked = 0
         self.unseen = self.aside = self.firm = 0
+        self.frames: tuple[int, ...] = ()
+        self.n_frames = 0
+        self.heading = False
 
     def last(self, *tags: str) -> int:
         """The place of the innermost open element of these, -1 if there is none."""
@@ -129,12 +140,12 @@ class Lines(HTMLParser):
         text = _SPACE.sub(" ", "".join(self.parts)).strip()
         self.parts.clear()
         if text:
-            self.lines.append(Line(text, self.tags, self.inside[-1] if self.inside else -1, self.aside > 0, self.forms[-1] if self.forms else -1, self.linked))
+            self.lines.append(Line(text, self.tags, self.inside[-1] if self.inside else -1, self.aside > 0, self.forms[-1] if self.forms else -1, self.frames, self.heading, self.linked))
             self.tags = self.linked = 0
 
     def pop_to(self, size: int) -> None:
         while len(self.stack) > size:
-            tag, container, unseen, aside, firm = self.stack.pop()
+            tag, container, unseen, aside, firm, self.frames = self.stack.pop()
             self.open[tag].pop()
             if tag in BLOCK:
                 self.blocks.pop()
@@ -151,6 +162,7 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in BLOCK:
             self.flush()
+            self.heading = tag in HEADINGS
         elif tag == "br":
             self.parts.append(" ")
         if tag not in HEAD and self.open.get("head"):
@@ -178,17 +190,24 @@ class Lines(HTMLParser):
             if tag == "form":
                 self.forms.append(container)
         firm = tag in ASIDE or (tag == "header" and not articles)
+        before = self.frames
         if tag in ("article", "main") and not (found := marks(attrs)):
             # an outer element's layout marks end here
             aside = 0 if articles or self.firm else -self.aside
+            if not (articles or self.firm):
+                self.frames = ()
         else:
             found = marks(attrs) if tag not in ("html", "body") else set()
-            firm = firm or not found <= LAYOUT
-            aside = int(firm or bool(found))
+            framed = bool(found) and not firm and not found & STRICT
+            firm = firm or (not framed and not found <= LAYOUT)
+            aside = int(firm or (bool(found) and not framed))
+            if framed:
+                self.frames = (*before, self.n_frames)
+                self.n_frames += 1
         self.open.setdefault(tag, []).append(len(self.stack))
         if tag in BLOCK:
             self.blocks.append(len(self.stack))
-        self.stack.append((tag, container, tag in UNSEEN, aside, firm))
+        self.stack.append((tag, container, tag in UNSEEN, aside, firm, before))
         self.unseen += tag in UNSEEN
         self.aside += aside
         self.firm += firm
@@ -229,8 +248,12 @@ def smooth(values: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     return np.convolve(padded, kernel / kernel.sum(), mode="valid")
 
 
+#: Two clusters' centres differ by this factor at least, else all lines are of one kind.
+APART = 3.0
+
+
 def threshold(values: np.ndarray, rounds: int = 30) -> float:
-    """The middle between the centres of two clusters; ratios are compared as logarithms."""
+    """The middle between the centres of two clusters, the least value if they are no further than ``APART``; ratios are compared as logarithms."""
     low, high = values.min(), values.max()
     for _ in range(rounds):
         cut = (low + high) / 2
@@ -241,7 +264,7 @@ def threshold(values: np.ndarray, rounds: int = 30) -> float:
         if (a, b) == (low, high):
             break
         low, high = a, b
-    return float((low + high) / 2)
+    return float((low + high) / 2) if high - low >= np.log(APART) else float(values.min())
 
 
 def is_content(lines: list[Line]) -> np.ndarray:
@@ -259,6 +282,30 @@ def _subtree_sums(values: np.ndarray, parents: list[int]) -> np.ndarray:
     return out
 
 
+#: Text of its own, in characters and as a share of the nested article's, that makes what is nested after it a reader's remark.
+REMARK_CHARS, REMARK_SHARE = 60, 0.25
+
+
+def _own_before(lines: list[Line], parents: list[int], kinds: list[str], use: np.ndarray) -> np.ndarray:
+    """For each nested article the text of the article around it, outside nested ones, that stands before it; headings and links do not count."""
+    n = len(kinds)
+    home = np.full(n, -1)  # the innermost article of each container
+    for c in range(n):
+        home[c] = c if kinds[c] in ("article", "main") else home[parents[c]] if parents[c] >= 0 else -1
+    said, out, met = np.zeros(n + 1), np.zeros(n), np.zeros(n + 1, bool)
+    for x, used in zip(lines, use):
+        h = home[x.container] if x.container >= 0 else -1
+        k = h
+        while k >= 0 and not met[k]:
+            met[k] = True
+            around = home[parents[k]] if parents[k] >= 0 else -1
+            out[k] = said[around] if around >= 0 else 0
+            k = around
+        if used and h >= 0 and not x.heading and x.linked * 2 <= len(x.text):
+            said[h] += len(x.text)
+    return out
+
+
 def main_lines(html: str | None) -> list[str]:
     """The lines of the main text in page order."""
     if not html:
@@ -273,21 +320,34 @@ def main_lines(html: str | None) -> list[str]:
     size = np.array([len(x.text) for x in lines])
     aside = np.array([x.aside for x in lines])
     form = np.array([x.form for x in lines])
-    # a form with most of the page's text is its frame
+    # a form or a marked element with most of the page's text is its frame
+    total = size[~aside].sum()
     in_form = np.bincount(form[~aside & (form >= 0)], weights=size[~aside & (form >= 0)], minlength=n)
-    aside |= (form >= 0) & ((in_form * 2 <= size[~aside].sum())[form] if n else False)
+    in_frame = np.zeros(page.n_frames)
+    for x, k, out in zip(lines, size, aside):
+        for f in () if out else x.frames:
+            in_frame[f] += k
+    marked = np.array([any(in_frame[f] * 2 <= total for f in x.frames) for x in lines])
+    aside = aside | marked | ((form >= 0) & ((in_form * 2 <= total)[form] if n else False))
     use = ~aside & (at >= 0)
     weight = _subtree_sums(np.bincount(at[use & content], weights=size[use & content], minlength=n), parents)
     whole = _subtree_sums(np.bincount(at[use], weights=size[use], minlength=n), parents)
     outer, best = np.full(n, -1), {}  # the outermost article around each container
+    own = _own_before(lines, parents, kinds, use)
+    remarks: set[int] = set()
     for c in range(n):
-        outer[c] = outer[parents[c]] if parents[c] >= 0 else -1
+        around = parents[c]
+        outer[c] = outer[around] if around >= 0 else -1
         if outer[c] < 0 and kinds[c] in ("article", "main"):
             outer[c] = c
-        if kinds[c] in ("article", "main") and whole[c] > 0:
-            # of nested ones the innermost with all of the content
+        if around >= 0 and around in remarks:
+            remarks.add(c)
+        elif kinds[c] in ("article", "main") and whole[c] > 0:
+            # of nested ones the innermost with all of the content, but for those that follow the outer one's own text
             o = int(outer[c])
-            if o not in best or (weight[c], c) > (weight[best[o]], best[o]):
+            if o != c and own[c] >= max(REMARK_CHARS, REMARK_SHARE * whole[c]):
+                remarks.add(c)
+            elif o not in best or (weight[c], c) > (weight[best[o]], best[o]):
                 best[o] = c
     regions: set[int] = set()
     if best:
@@ -295,7 +355,7 @@ def main_lines(html: str | None) -> list[str]:
         regions = {most} | {c for c in best.values() if weight[c] * 2 > whole[c]}
     else:
         total = size[use & content].sum()
-        full = [c for c in range(n) if total and weight[c] >= 0.9 * total]
+        full = [c for c in range(n) if total and weight[c] >= total]  # around all content lines
         if full:
             regions = {max(full)}
             here = np.flatnonzero(content & ~aside)
@@ -306,7 +366,7 @@ def main_lines(html: str | None) -> list[str]:
         return [x.text for x, a in zip(lines, aside) if not a]
     inside = np.zeros(n, bool)
     for c in range(n):
-        inside[c] = c in regions or (parents[c] >= 0 and inside[parents[c]])
+        inside[c] = c not in remarks and (c in regions or (parents[c] >= 0 and inside[parents[c]]))
     return [x.text for x, a, c in zip(lines, aside, at) if not a and c >= 0 and inside[c]]
 
 
