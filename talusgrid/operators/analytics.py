@@ -25,12 +25,6 @@ def distribution(rows: DataFrame, by: list[str], label: Column, rating: Column)
     return out.withColumn("pct", F.round(share * 1000) / 10)
 
 
-def latency_summary(rows: DataFrame, by: str, value: str) -> DataFrame:
-    """Median, nearest-rank 95th percentile and mean."""
-    p95 = F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {value})")
-    return rows.groupBy(by).agg(F.round(F.median(value), 6).alias("median"), p95.alias("p95"), F.round(F.avg(F.col(value).cast("decimal(18,4)")).cast("double"), 6).alias("mean"), F.count(value).alias("n"))
-
-
 def compare_runs(a: DataFrame, b: DataFrame, key: str, passed: str) -> DataFrame:
     """improved, regressed or unchanged for every case that both runs have."""
     both = a.select(key, F.col(passed).alias("_a")).join(b.select(key, F.col(passed).alias("_b")), key)

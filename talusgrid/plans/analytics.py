@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import analytics
+from ..operators import analytics, quantiles
 from ..streaming import cache, limits
 from .base import Suite, Tables
 
@@ -30,7 +30,14 @@ def use_case_drilldown(t: Tables) -> DataFrame:
 
 @query("SELECT event_type, round(median(value), 6) AS median, quantile_disc(value, 0.95) AS p95, round(avg(value::DECIMAL(18, 4)), 6) AS mean, count(value) AS n FROM events GROUP BY event_type")
 def latency_summary(t: Tables) -> DataFrame:
-    return analytics.latency_summary(t.events, "event_type", "value")
+    return quantiles.latency(t.events, "event_type", "value")
+
+
+@query("""SELECT l_returnflag, quantile_disc(l_extendedprice, 0.01) AS p01, quantile_disc(l_extendedprice, 0.25) AS p25, quantile_disc(l_extendedprice, 0.999) AS p999, count(*) AS n FROM lineitem GROUP BY l_returnflag""")
+def price_quantiles(t: Tables) -> DataFrame:
+    """Ranks of three groups that hold a third of the rows each, found by brackets of at most 500 rows."""
+    wanted = {"p01": quantiles.disc(0.01), "p25": quantiles.disc(0.25), "p999": quantiles.disc(0.999)}
+    return quantiles.order_statistics(t.lineitem, "l_returnflag", "l_extendedprice", wanted, most=500).select("l_returnflag", *wanted, "n")
 
 
 @query("""WITH p AS (SELECT doc_id, doc_id % 97 / 100e0 AS conf, quality FROM labels), b(bucket) AS (VALUES (0e0), (0.2e0), (0.4e0), (0.6e0), (0.8e0)),
