@@ -8,7 +8,7 @@ from ..functions import ids
 from ..functions.text import clip, excerpt
 from ..operators import ingest, providers, vector
 from ..scratch import scratch_path
-from ..sources import files
+from ..sources import files, monthly, paged
 from ..streaming import corpus
 from .base import Suite, Tables
 
@@ -131,3 +131,35 @@ def external_sources(t: Tables) -> DataFrame:
     first = t.documents.select("source", "doc_id", "n_chars").withColumn("k", F.row_number().over(per)).where("k = 1")
     top = first.orderBy(F.desc("n_chars"), "doc_id").limit(8)
     return top.select("source", "doc_id", "n_chars", F.row_number().over(Window.orderBy(F.desc("n_chars"), "doc_id")).cast("long").alias("pos"))
+
+
+LOG = "o_orderkey long, at timestamp, tag string"
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' AND year(o_orderdate) = 1995 THEN 'urgent' ELSE o_orderstatus END AS tag, strftime(o_orderdate, '%Y-%m') AS month,
+strftime(o_orderdate, '%Y-%m') IN (SELECT strftime(o_orderdate, '%Y-%m') FROM orders WHERE o_orderpriority = '1-URGENT' AND year(o_orderdate) = 1995) AS written FROM orders""")
+def retag_months(t: Tables) -> DataFrame:
+    """Logs by month of which one year's urgent rows are tagged anew, twice: the second time no month is written."""
+    path = scratch_path(t.spark, "log")
+    at = F.col("o_orderdate").cast("timestamp")
+    files.write_monthly(t.orders.select("o_orderkey", at.alias("at"), F.col("o_orderstatus").alias("tag")), path, "at")
+    urgent = t.orders.where((F.col("o_orderpriority") == "1-URGENT") & (F.year("o_orderdate") == 1995))
+    changes = urgent.select("o_orderkey", F.date_format(at, "yyyy-MM").alias("month"), F.lit("urgent").alias("tag"))
+    written = monthly.update_months(t.spark, path, LOG, changes, "o_orderkey", ["tag"])
+    again = monthly.update_months(t.spark, path, LOG, changes, "o_orderkey", ["tag"])
+    rows = files.read_monthly(t.spark, path, LOG)
+    return rows.select("o_orderkey", "tag", "month", (F.col("month").isin(written) & ~F.col("month").isin(again)).alias("written"))
+
+
+CASE = "item_id long, text string"
+
+
+@query("""SELECT 'set' || (item_id % 3) AS prefix, item_id, text, 1 AS rows FROM benchmark""")
+def paged_cases(t: Tables) -> DataFrame:
+    """Evaluation cases written as small files by prefix, read back in pages by the data source."""
+    folder = scratch_path(t.spark, "cases")
+    for k in range(3):
+        t.benchmark.where(f"item_id % 3 = {k}").select("item_id", "text").coalesce(4).write.option("maxRecordsPerFile", 1).json(f"{folder}/set{k}")
+    paged.register(t.spark)
+    rows = t.spark.read.format("paged_json").option("path", folder).option("prefixes", "set0,set1,set2").option("page", 5).load()
+    return rows.where("error IS NULL").select("prefix", F.from_json("record", CASE).alias("c")).select("prefix", "c.*").groupBy("prefix", "item_id", "text").agg(F.count("*").cast("int").alias("rows"))

@@ -59,14 +59,19 @@ def title_year(title: Column) -> Column:
     return F.nullif(F.regexp_extract(title, r"\((\d{4})\)\s*$", 1), F.lit("")).cast("int")
 
 
+#: Times in logs keep their microseconds.
+TIMES = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+
+
 def write_monthly(rows: DataFrame, path: str, at: str) -> None:
     """Append JSON under ``month=YYYY-MM`` folders."""
-    rows.withColumn("month", F.date_format(at, "yyyy-MM")).write.mode("append").partitionBy("month").json(path)
+    months = rows.withColumn("month", F.date_format(at, "yyyy-MM")).hint("rebalance", "month")
+    months.write.mode("append").option("timestampFormat", TIMES).partitionBy("month").json(path)
 
 
 def read_monthly(spark: SparkSession, path: str, schema: str, first: str | None = None, last: str | None = None) -> DataFrame:
     """Rows of the months in range; only their folders are read."""
-    rows = spark.read.schema(schema + ", month string").json(path)
+    rows = spark.read.schema(schema + ", month string").option("timestampFormat", TIMES).json(path)
     if first:
         rows = rows.where(F.col("month") >= first)
     return rows.where(F.col("month") <= last) if last else rows
