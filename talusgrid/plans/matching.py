@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.text import alnum_title
-from ..operators import assignment, matching
+from ..operators import assignment, automaton, matching
 from .base import Suite, Tables
 
 suite = Suite()
@@ -154,3 +154,15 @@ def last_wins_lookup(t: Tables) -> DataFrame:
 @query("SELECT c_custkey FROM customer SEMI JOIN orders ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING'")
 def semi_join_members(t: Tables) -> DataFrame:
     return t.customer.where("c_mktsegment = 'BUILDING'").join(t.orders, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("c_custkey")
+
+
+_HEADS_SQL = "list_aggregate(string_split(lower(text), ' ')[1:3], 'string_agg', ' ')"
+
+
+@query(f"""WITH n AS (SELECT DISTINCT {_HEADS_SQL} AS name FROM benchmark), d AS (SELECT doc_id, lower(text) AS t FROM documents)
+SELECT doc_id, name, len(string_split(t, name)) - 1 AS places, strpos(t, name) - 1 AS first FROM d, n WHERE contains(t, name)""")
+def names_in_documents(t: Tables) -> DataFrame:
+    """Where the items' first three words stand in whole documents."""
+    heads = t.benchmark.select(F.array_join(F.slice(F.split(F.lower("text"), " "), 1, 3), " ").alias("name"))
+    found = automaton.places(t.documents, heads, "doc_id", "text", "name", whole_words=False)
+    return found.groupBy("doc_id", "name").agg(F.count("*").alias("places"), F.min("start").alias("first"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..config import FUSION, depth
 from ..functions.text import query_terms, search_tokens
-from ..operators import blockmax, fusion, lexical, segments, vector
+from ..operators import automaton, blockmax, fusion, lexical, segments, vector
 from ..scratch import scratch_path, settle
 from .base import Suite, Tables, tokens_sql
 
@@ -404,9 +404,10 @@ TARGETS = ("src1",)
 
 
 def named_speakers(t: Tables, questions: tuple[str, ...]) -> list[str]:
-    """Of all speakers those that a question names as a word; no more than the questions have words."""
-    asked = t.rows("word string", sorted({(w,) for q in questions for w in q.lower().split()}))
-    return sorted(r[0] for r in asked.join(t.documents.select(F.col("lang").alias("speaker")).distinct(), F.col("word") == F.lower("speaker")).select("speaker").collect())
+    """Of all speakers those that a question names as whole words; no more than the questions have words."""
+    asked = t.rows("q int, text string", list(enumerate(questions)))
+    found = automaton.places(asked, t.documents.select(F.col("lang").alias("speaker")), "q", "text", "speaker")
+    return sorted(r["name"] for r in found.select("name").distinct().collect())
 
 
 def hybrid(t: Tables, question: str, query_id: int = 0, kind: str = "interpretive", confidence: float = 0.7, targets=TARGETS, supplemental=SUPPLEMENTAL, synonyms=SYNONYMS) -> DataFrame:
