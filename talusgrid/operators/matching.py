@@ -71,17 +71,29 @@ def _repeats(rows: DataFrame, c: str) -> DataFrame:
     return listed.select(c, F.explode(F.array_distinct(long_words(F.col(c)))).alias("key"))
 
 
-def prefixes(left: DataFrame, right: DataFrame, a: str, b: str, head: int = 3) -> DataFrame:
+def prefixes(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
     """Distinct pairs of names of which one begins with the other.
 
-    Each name meets those with its first ``head`` characters; names shorter than
-    that meet all that begin with them through each of their beginnings.
+    Each name meets the other side by equality with its beginnings, of up to the
+    longest name there, so pairs are only made where they are results.
     """
     x, y = left.select(a).where(F.col(a) != "").distinct(), right.select(b).where(F.col(b) != "").distinct()
-    keys = lambda c: F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(head), F.length(c))), lambda n: F.substr(F.col(c), F.lit(1), n))).alias("key")
-    own = lambda c: F.substring(c, 1, head).alias("key")
-    pairs = x.select(a, own(a)).join(y.select(b, keys(b)), "key").select(a, b).unionByName(x.select(a, keys(a)).join(y.select(b, own(b)), "key").select(a, b))
-    return pairs.distinct().where(F.startswith(F.col(a), F.col(b)) | F.startswith(F.col(b), F.col(a)))
+    longest = lambda rows, c: rows.agg(F.coalesce(F.max(F.length(c)), F.lit(1))).first()[0]
+    begun = lambda rows, c, most: rows.select(c, F.explode(F.sequence(F.lit(1), F.least(F.length(c), F.lit(most)))).alias("_n")).select(c, F.substr(F.col(c), F.lit(1), F.col("_n")).alias("key"))
+    longer_y = x.withColumn("key", F.col(a)).join(begun(y, b, longest(x, a)), "key").select(a, b)
+    longer_x = begun(x, a, longest(y, b)).join(y.withColumn("key", F.col(b)), "key").select(a, b)
+    return longer_y.unionByName(longer_x).distinct()
+
+
+def inside(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
+    """Distinct pairs of names, of three characters at least, of which one contains the other: they meet by the shorter one's rarest trigram."""
+    x, y = left.select(a).where(F.length(a) >= 3).distinct(), right.select(b).where(F.length(b) >= 3).distinct()
+    grams = lambda c: F.explode(trigrams(F.col(c))).alias("key")
+    frequency = x.select(grams(a)).unionByName(y.select(grams(b))).groupBy("key").agg(F.count("*").alias("_f"))
+    rare = lambda rows, c: _rarest(rows.select(c, grams(c)), c, frequency, F.lit(1))
+    inner = rare(x, a).join(y.select(b, grams(b)), "key").where(F.contains(b, F.col(a))).select(a, b)
+    outer = x.select(a, grams(a)).join(rare(y, b), "key").where(F.contains(a, F.col(b))).select(a, b)
+    return inner.unionByName(outer).distinct()
 
 
 def first_named(rows: DataFrame, name: str, key: str, wanted: list[str]) -> DataFrame:

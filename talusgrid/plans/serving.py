@@ -95,13 +95,7 @@ SELECT cited, title FROM c, n WHERE length(title) >= 3 AND (contains(cited, titl
 def citation_match(t: Tables) -> DataFrame:
     cited = t.part.select(F.lower(F.concat("p_type", F.lit(" "), "p_name")).alias("cited")).distinct()
     titles = t.part.select(F.col("p_name").alias("title")).distinct().where(F.length("title") >= 3)
-    # whichever contains the other has all of its trigrams: the first of each is enough
-    gram = lambda c: F.explode(matching.trigrams(F.col(c))).alias("g")
-    head = lambda c: F.substring(c, 1, 3).alias("g")
-    a = cited.select("cited", gram("cited")).join(titles.select("title", head("title")), "g")
-    b = cited.select("cited", head("cited")).join(titles.select("title", gram("title")), "g")
-    pairs = a.select("cited", "title").union(b.select("cited", "title")).distinct()
-    return pairs.where(F.contains("cited", F.col("title")) | F.contains("title", F.col("cited")))
+    return matching.inside(cited, titles, "cited", "title")
 
 
 @query("""WITH s AS (SELECT a.p_partkey AS a, b.p_partkey AS b, (b.p_type = 'SMALL')::INT * 3 + CASE WHEN starts_with(b.p_name, split_part(a.p_name, ' ', 1)) THEN 4 ELSE 0 END + CASE WHEN a.p_size = b.p_size THEN 3 WHEN abs(a.p_size - b.p_size) <= 1 THEN 1 ELSE 0 END AS score

@@ -94,3 +94,14 @@ def test_as_of_without_times(spark):
     left, right = make([("a", 100.0, 1, None), ("a", None, 2, None), ("b", 100.0, 3, None), (None, 100.0, 4, None)]), make([("a", None, 5, 5.0), ("b", None, 6, 6.0), ("b", 90.0, 7, 7.0), (None, 80.0, 8, 8.0)])
     got = {r.k: (r.v_at is not None, r.v) for r in matching.as_of(left, right, "g", "at", "v", "k").collect()}
     assert got == {1: (False, None), 2: (False, None), 3: (True, 7.0), 4: (True, 8.0)}
+
+
+def test_names_inside_and_in_front(spark):
+    """Every pair of one name inside, or in front of, another; frequent beginnings do not matter."""
+    left = ["the ring", "the", "thering of", "ab", "", "xyz", "the ring of the bolt", "é ring"]
+    right = ["the ring of", "ring", "the bolt", "zz", "the ring", "xyzw", "a", "é", None]
+    x, y = spark.createDataFrame([(n,) for n in [*left, "the"]], "x string"), spark.createDataFrame([(n,) for n in right], "y string")
+    named = [(m, n) for m in set(left) if m for n in right if n]
+    pairs = lambda df: sorted((r.x, r.y) for r in df.collect())
+    assert pairs(matching.prefixes(x, y, "x", "y")) == sorted((m, n) for m, n in named if m.startswith(n) or n.startswith(m))
+    assert pairs(matching.inside(x, y, "x", "y")) == sorted((m, n) for m, n in named if min(len(m), len(n)) >= 3 and (m in n or n in m))
