@@ -338,8 +338,7 @@ def test_as_of_and_nearest_over_slices(spark):
     left, right = make(300, 0), make(400, 1000)
     a, b = spark.createDataFrame(left, schema), spark.createDataFrame(right, schema)
     got = {r["id"]: r["v"] for r in matching.as_of(a, b.withColumn("v", F.col("id") * 2), "by", "at", "v", "id", "hour").collect()}
-    nones = datetime.datetime.min
-    before = lambda r: [(x[2] or nones, x[0]) for x in right if x[1] == r[1] and (x[2] or nones) <= (r[2] or nones)]
+    before = lambda r: [(x[2], x[0]) for x in right if x[1] == r[1] and x[2] and r[2] and x[2] <= r[2]]
     assert got == {r[0]: max(before(r))[1] * 2 if before(r) else None for r in left}
     pairs = {}
     for r in left:
