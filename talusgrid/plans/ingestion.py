@@ -8,7 +8,7 @@ from ..functions import ids
 from ..functions.text import clip, excerpt
 from ..operators import ingest, providers, vector
 from ..scratch import scratch_path
-from ..sources import files, monthly, paged
+from ..sources import files, monthly, paged, transcripts
 from ..streaming import corpus
 from .base import Suite, Tables
 
@@ -163,3 +163,21 @@ def paged_cases(t: Tables) -> DataFrame:
     paged.register(t.spark)
     rows = t.spark.read.format("paged_json").option("path", folder).option("prefixes", "set0,set1,set2").option("page", 5).load()
     return rows.where("error IS NULL").select("prefix", F.from_json("record", CASE).alias("c")).select("prefix", "c.*").groupBy("prefix", "item_id", "text").agg(F.count("*").cast("int").alias("rows"))
+
+
+_RENAMED_SQL = """CASE WHEN conv_id % 7 = 0 THEN conv_id + 1000000 ELSE conv_id END"""
+
+
+@query(f"""SELECT {_RENAMED_SQL} AS conv_id, turn, role, CASE WHEN conv_id % 5 = 0 AND conv_id % 10 <> 0 THEN 'edited ' || text ELSE text END AS text FROM conversations""")
+def transcript_store(t: Tables) -> DataFrame:
+    """Transcripts saved, some edited, some of these restored, some renamed; names that exist or that two want are refused."""
+    rows = t.conversations.select("conv_id", "turn", "role", "text")
+    store = transcripts.TranscriptStore(t.spark, scratch_path(t.spark, "transcripts"), "conv_id long, turn long, role string, text string", "conv_id")
+    store.save(rows)
+    store.save(rows.where("conv_id % 5 = 0").withColumn("text", F.concat(F.lit("edited "), "text")))
+    store.restore(rows.where("conv_id % 10 = 0"))
+    old = rows.select(F.col("conv_id").alias("old")).distinct()
+    taken = old.where("old % 7 IN (1, 2)").withColumn("new", F.col("old") + 1 - F.col("old") % 7 * 2)
+    same = old.where("old % 7 IN (3, 4)").withColumn("new", F.lit(5_000_000).cast("long"))
+    store.rename(old.where("old % 7 = 0").withColumn("new", F.col("old") + 1_000_000).unionByName(taken.join(old.withColumnRenamed("old", "new"), "new", "left_semi").select("old", "new")).unionByName(same))
+    return store.load()

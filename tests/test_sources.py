@@ -97,3 +97,25 @@ def test_stream_goes_on_from_its_offset(spark, folder):
     assert len(first) == 7
     put(folder / "a/p/5.json", '{"k": 6}')
     assert take() == sorted([*first, ("p", "5.json")])
+
+
+ENTRY = "entry string, n int, text string"
+
+
+def test_transcripts_edited_restored_renamed(spark, tmp_path):
+    from talusgrid.sources.transcripts import TranscriptStore
+
+    store = TranscriptStore(spark, str(tmp_path / "t"), ENTRY, buckets=3)
+    frame = lambda rows: spark.createDataFrame(rows, ENTRY)
+    held = lambda: sorted(tuple(r) for r in store.load().select("entry", "n", "text").collect())
+    first = [("a", 0, "x"), ("a", 1, None), ("b", 0, "y"), ("c", 0, "z"), ("c", 0, "z"), ("d", 0, "w")]
+    store.save(frame(first))
+    store.save(frame([("a", 0, "edited"), ("b", 0, "edited")]))
+    assert held() == [("a", 0, "edited"), ("b", 0, "edited"), ("c", 0, "z"), ("c", 0, "z"), ("d", 0, "w")]
+    store.restore(frame([("a", 0, ""), ("nobody", 0, "")]))
+    assert [r for r in held() if r[0] == "a"] == sorted([("a", 0, "x"), ("a", 1, None)])
+    pairs = [("a", "new"), ("b", "c"), ("c", "e"), ("d", "e"), ("q", "r"), ("a", "new")]
+    told = {(r.old, r.new): r.outcome for r in store.rename(spark.createDataFrame(pairs, "old string, new string")).collect()}
+    assert told == {("a", "new"): "renamed", ("b", "c"): "exists", ("c", "e"): "conflict", ("d", "e"): "conflict", ("q", "r"): "missing"}
+    assert held() == sorted([("b", 0, "edited"), ("c", 0, "z"), ("c", 0, "z"), ("d", 0, "w"), ("new", 0, "x"), ("new", 1, None)])
+    assert sorted(r.entry for r in store.raw().collect()) == ["a", "a", "b", "c", "c", "d"]
