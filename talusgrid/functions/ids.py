@@ -76,3 +76,37 @@ def placeholder_speaker(name: Column, exempt: tuple[str, ...] = ()) -> Column:
     """Names such as ``A`` or ``Speaker B`` that stand for nobody known."""
     out = F.rlike(F.trim(name), F.lit(r"(?i)^(speaker\s*)?[a-z]$"))
     return out & ~F.upper(F.trim(name)).isin(*exempt) if exempt else out
+
+
+def _pad(x: Column) -> Column:
+    return F.lpad(x.cast("string"), 2, "0")
+
+
+def clock(ms: Column) -> Column:
+    """Milliseconds as ``m:ss``; minutes go on beyond an hour."""
+    total = F.floor(ms / 1000).cast("long")
+    return F.concat(F.floor(total / 60).cast("string"), F.lit(":"), _pad(total % 60))
+
+
+def clock_hours(ms: Column) -> Column:
+    """Milliseconds as ``h:mm:ss``, with the hours even if there are none."""
+    total = F.floor(ms / 1000).cast("long")
+    return F.concat(F.floor(total / 3600).cast("string"), F.lit(":"), _pad(F.floor(total % 3600 / 60).cast("long")), F.lit(":"), _pad(total % 60))
+
+
+def whole_minutes(hms: Column) -> Column:
+    """``h:mm:ss`` or ``mm:ss`` in minutes, halves rounded up; null for anything else."""
+    parts = F.transform(F.split(hms, ":"), lambda x: x.try_cast("double"))
+    n = lambda i: F.get(parts, F.lit(i))
+    three, two = F.size(parts) == 3, F.size(parts) == 2
+    return F.floor(F.when(three, n(0) * 60 + n(1) + n(2) / 60).when(two, n(0) + n(1) / 60) + 0.5).cast("long")
+
+
+def unmapped_speaker(name: Column) -> Column:
+    """:func:`placeholder_speaker` but for I and M, which are names here."""
+    return placeholder_speaker(name, ("I", "M", "SPEAKER I", "SPEAKER M", "SPEAKERI", "SPEAKERM"))
+
+
+def numbered_speaker(name: Column) -> Column:
+    """Exactly ``Speaker`` and a capital."""
+    return F.rlike(name, F.lit(r"^Speaker [A-Z]$"))

@@ -148,3 +148,17 @@ def excerpt(text: Column, terms: Column, most: int = 600) -> Column:
 
 def long_words(text: Column) -> Column:
     return F.filter(F.split(text, " "), lambda w: F.length(w) > 2)
+
+
+def sounder_like(text: Column, place: Column, cues: str) -> Column:
+    """One of the first two turns that has a cue or at most three words."""
+    return (place <= 1) & (F.rlike(F.lower(text), F.lit(cues)) | (word_count(text) <= 3))
+
+
+def sample_like(text: Column, cues: str) -> Column:
+    """Text with something in brackets or a cue."""
+    return F.rlike(text, F.lit(r"\[.*\]")) | F.rlike(F.lower(text), F.lit(cues))
+
+
+def interjection(text: Column, seconds: Column) -> Column:
+    return (word_count(text) <= 2) | (seconds <= 1.2)

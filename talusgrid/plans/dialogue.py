@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import ids
-from ..functions.text import token_estimate, word_count
+from ..functions.text import interjection, sample_like, sounder_like, token_estimate, word_count
 from ..operators import dialogue
 from .base import Suite, Tables
 
@@ -118,3 +118,37 @@ def catalog_counts(t: Tables) -> DataFrame:
 @query("""SELECT conv_id, turn, regexp_matches(text, '(?i)^\\s*(yeah|ok|right)\\b') AS interjection, length(text) // 4 + (length(text) % 4 > 0)::INT AS tokens FROM conversations""")
 def turn_flags(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", F.rlike("text", F.lit(r"(?i)^\s*(yeah|ok|right)\b")).alias("interjection"), token_estimate(F.col("text")).alias("tokens"))
+
+
+@query("""WITH e AS (SELECT event_id, abs(value * 100000)::BIGINT AS ms FROM events), s AS (SELECT *, ms // 1000 AS t FROM e)
+SELECT event_id, (t // 60) || ':' || lpad((t % 60)::VARCHAR, 2, '0') AS clock, (t // 3600) || ':' || lpad((t % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad((t % 60)::VARCHAR, 2, '0') AS hours, (t + 30) // 60 AS minutes FROM s""")
+def clock_formats(t: Tables) -> DataFrame:
+    """Durations in both forms, and the minutes read back from the longer one."""
+    ms = F.bround(F.abs(F.col("value") * 100_000), 0).cast("long")
+    rows = t.events.select("event_id", ids.clock(ms).alias("clock"), ids.clock_hours(ms).alias("hours"))
+    return rows.withColumn("minutes", ids.whole_minutes(F.col("hours")))
+
+
+_NAME_SQL = "CASE turn % 6 WHEN 0 THEN 'Speaker ' || upper(text[1]) WHEN 1 THEN text[1] WHEN 2 THEN ' speaker' || text[1] || ' ' WHEN 3 THEN 'I' WHEN 4 THEN 'Speaker M' ELSE role END"
+
+
+@query(f"""WITH s AS (SELECT {_NAME_SQL} AS name FROM conversations)
+SELECT name, count(*) AS n, regexp_matches(trim(name), '^(speaker\\s*)?[a-z]$', 'i') AS any_letter, regexp_matches(trim(name), '^(speaker\\s*)?[a-hj-ln-z]$', 'i') AS unmapped, regexp_matches(name, '^Speaker [A-Z]$') AS numbered FROM s GROUP BY name""")
+def placeholder_speakers(t: Tables) -> DataFrame:
+    """Names of turns, odd ones among them, under the three tests for nobody known."""
+    first = F.substring("text", 1, 1)
+    kind = F.col("turn") % 6
+    name = F.when(kind == 0, F.concat(F.lit("Speaker "), F.upper(first))).when(kind == 1, first).when(kind == 2, F.concat(F.lit(" speaker"), first, F.lit(" "))).when(kind == 3, "I").when(kind == 4, "Speaker M").otherwise(F.col("role"))
+    rows = t.conversations.select(name.alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+    return rows.select("name", "n", ids.placeholder_speaker(F.col("name")).alias("any_letter"), ids.unmapped_speaker(F.col("name")).alias("unmapped"), ids.numbered_speaker(F.col("name")).alias("numbered"))
+
+
+SOUNDERS, SAMPLES = "theth|onthe", "ingin|clip"
+
+
+@query(f"""WITH w AS (SELECT *, CASE WHEN trim(regexp_replace(text, '\\s+', ' ', 'g')) = '' THEN 0 ELSE len(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) END AS n FROM conversations)
+SELECT conv_id, turn, turn <= 1 AND (regexp_matches(lower(text), '{SOUNDERS}') OR n <= 3) AS sounder, regexp_matches(text, '\\[.*\\]') OR regexp_matches(lower(text), '{SAMPLES}') AS sample, n <= 2 OR length(text) / 15e0 <= 1.2e0 AS interjection FROM w""")
+def review_flags(t: Tables) -> DataFrame:
+    """Turns that may be sounders, samples or interjections; a turn lasts as long as its letters take to say."""
+    text, seconds = F.col("text"), F.length("text") / 15.0
+    return t.conversations.select("conv_id", "turn", sounder_like(text, F.col("turn"), SOUNDERS).alias("sounder"), sample_like(text, SAMPLES).alias("sample"), interjection(text, seconds).alias("interjection"))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import text
-from ..operators import analytics, matching, rules
+from ..operators import analytics, lexical, matching, providers, rules
+from ..scratch import settle
 from ..streaming import limits
-from .base import Suite, Tables
+from .base import Suite, Tables, tokens_sql
+from .retrieval import bm25_sql
 
 suite = Suite()
 query = suite.query
@@ -242,3 +244,14 @@ def hard_negatives(t: Tables) -> DataFrame:
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def windowed_event_counts(t: Tables) -> DataFrame:
     return limits.windowed_counts(t.events, "ts", "1 hour").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@query(f"""WITH {bm25_sql('SELECT item_id AS query_id, unnest(' + tokens_sql('text') + ') AS term FROM benchmark', 15)}, a AS (SELECT query_id, rank, rank || '. ' || source || '/' || id AS line FROM lx JOIN documents ON doc_id = id)
+SELECT query_id AS item_id, string_agg(line, chr(10) ORDER BY rank) FILTER (rank <= 4) AS quick, string_agg(line, chr(10) ORDER BY rank) AS deep FROM a GROUP BY query_id""")
+def answers_by_depth(t: Tables) -> DataFrame:
+    """What stands in for written answers: the first 4 sources of a quick one, the first 15 of a deep one."""
+    queries = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    found = lexical.search(t.documents, queries, 15, "doc_id", "text").join(t.documents.select(F.col("doc_id").alias("id"), "source"), "id")
+    titled = settle(found.select("query_id", "rank", F.concat_ws("/", "source", "id").alias("title")))
+    answer = lambda most, name: providers.templated_answer(titled, most).withColumnRenamed("answer", name)
+    return answer(4, "quick").join(answer(15, "deep"), "query_id").withColumnRenamed("query_id", "item_id")
