@@ -183,15 +183,16 @@ def estimate(docs: DataFrame, rules=RULES, counts: Counts = given, sample_rows:
     idle: dict[int, float] = {}
     found = []
     for rule in rules:
-        copies, condition = 1, F.coalesce(rule.rejects(counts), F.lit(False))
+        copies, condition, before = 1, F.coalesce(rule.rejects(counts), F.lit(False)), None
         while True:
             if copies not in idle:
                 idle[copies] = timed(F.lit(False), copies)[0]
             seconds, hits = timed(condition, copies)
             own = seconds - idle[copies]
-            if own >= TELLING_SECONDS or copies >= MOST_COPIES:
+            # a pause of the machine does not grow with the copies
+            if copies >= MOST_COPIES or (before is not None and own >= max(TELLING_SECONDS, 2 * before)):
                 break
-            copies *= 8
+            copies, before = copies * 8, own
         found.append(Estimate(rule.name, max(own, 1e-6) / copies, hits / len(rows)))
     sample.unpersist()
     return found
