@@ -88,7 +88,17 @@ def write_lexicon(terms: DataFrame, path: str) -> None:
 
 
 def rounded_vectors(rows: DataFrame, vector: str, places: int = 6) -> DataFrame:
-    return rows.withColumn(vector, F.transform(vector, lambda x: F.round(x, places)))
+    """Doubles rounded by their binary value, halves away from zero; a small negative number becomes -0.0.
+
+    Spark's ``round`` goes by the shortest decimal form instead, which has halves where the value has none.
+    """
+    def rounded(x: Column) -> Column:
+        moved = x * 10.0**places
+        whole = F.rint(moved)  # takes halves to the even neighbour
+        out = F.when(F.abs(moved - whole) == 0.5, moved + F.signum(moved) * 0.5).otherwise(whole) / F.lit(10.0**places)
+        return F.when(F.isnan(out) | (F.abs(out) == float("inf")), x).otherwise(out)
+
+    return rows.withColumn(vector, F.transform(vector, rounded))
 
 
 def events_of_stream(lines: DataFrame, key: str, order: str, text: str) -> DataFrame:
