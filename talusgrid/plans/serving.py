@@ -104,12 +104,9 @@ def citation_match(t: Tables) -> DataFrame:
   FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey % 100 = 0 AND b.p_partkey <> a.p_partkey),
 r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS k FROM s) SELECT a, b, score::INT AS score FROM r WHERE k = 1""")
 def additive_match(t: Tables) -> DataFrame:
-    part = t.part
-    a = part.where("p_partkey % 100 = 0").select("p_brand", F.col("p_partkey").alias("a"), F.split("p_name", " ")[0].alias("lead"), F.col("p_size").alias("size"))
-    b = part.select("p_brand", F.col("p_partkey").alias("b"), "p_name", "p_type", "p_size")
-    gap = F.abs(F.col("size") - F.col("p_size"))
-    score = (F.col("p_type") == "SMALL").cast("int") * 3 + F.when(F.startswith("p_name", F.col("lead")), 4).otherwise(0) + F.when(gap == 0, 3).when(gap <= 1, 1).otherwise(0)
-    return matching.best_match(a.join(b, "p_brand").where("a <> b").select("a", "b", score.alias("score")), "a", "score", "b")
+    a = t.part.where("p_partkey % 100 = 0").select("p_brand", F.col("p_partkey").alias("a"), F.split("p_name", " ")[0].alias("lead"), "p_size")
+    b = t.part.select("p_brand", F.col("p_partkey").alias("b"), "p_name", "p_type", "p_size")
+    return matching.best_by_points(a, b, "p_brand", "a", "b", "lead", "p_name", "p_size", (F.col("p_type") == "SMALL").cast("int") * 3)
 
 
 @query("""WITH r AS (SELECT o_custkey, o_orderkey, o_orderdate::DATE AS day, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k FROM orders)

@@ -3,10 +3,28 @@
 import random
 
 import duckdb
+import pytest
+from pyspark.sql import functions as F
 
+from talusgrid.operators import matching
+from talusgrid.plans import registry
 from talusgrid.sources import files
 
 
+def made_by_joins(df):
+    """Rows that the joins of an executed plan put out."""
+    def walk(node):
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return walk(node.executedPlan())
+        if hasattr(node, "plan") and "QueryStage" in node.getClass().getSimpleName():
+            return walk(node.plan())
+        own = node.metrics().apply("numOutputRows").value() if "Join" in name else 0
+        return own + sum(walk(node.children().apply(i)) for i in range(node.children().size()))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
 def test_vectors_are_rounded_by_their_binary_value(spark):
     rng = random.Random(3)
     values = [k / 1e6 + 5e-7 for k in range(-400, 400)] + [rng.uniform(-1, 1) for _ in range(500)]
@@ -15,3 +33,34 @@ def test_vectors_are_rounded_by_their_binary_value(spark):
     want = [r[0] for r in duckdb.execute("SELECT round(unnest($1::DOUBLE[]), 6)", [values]).fetchall()]
     assert [repr(x) for x in got[0].v] == [repr(x) for x in want]
     assert got[1].v is None and got[2].v == []
+
+
+def test_additive_match_makes_no_pairs_within_a_brand(spark, tmp_path):
+    rows = [(100 * i, f"{'red blue hot'.split()[i % 3]} ring", "Brand#1", "SMALL" if i % 7 == 0 else "LARGE", i % 50) for i in range(1500)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    found = registry.queries()["additive_match"](spark, str(tmp_path))
+    got = {tuple(r) for r in found.collect()}
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    assert got == set(duck.execute(registry.oracle_sql()["additive_match"]).fetchall())
+    assert made_by_joins(found) < 200 * len(rows)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_best_by_points_is_the_best_pair(spark, seed):
+    rng = random.Random(seed)
+    pick = lambda *x: rng.choice(x)
+    rows = [(pick(i, i, i % 9), pick("A", "A", "B", None), pick("re", "red", "red x", "", " red", "r", "blue", None), pick(1, 2, 3, 7, None), pick(0, 3)) for i in range(80)]
+    table = spark.createDataFrame(rows, "k long, brand string, name string, size int, bonus int")
+    left = table.where("k % 5 = 0").select("brand", F.col("k").alias("a"), F.split("name", " ")[0].alias("lead"), "size")
+    right = table.withColumnRenamed("k", "b")
+    got = {r.a: (r.score, r.b) for r in matching.best_by_points(left, right, "brand", "a", "b", "lead", "name", "size", F.col("bonus")).collect()}
+    want = {}
+    for k, brand, name, size, _ in rows:
+        for b, other, called, n, bonus in rows:
+            if k % 5 == 0 and k != b and brand is not None and brand == other:
+                gap = abs(size - n) if size is not None and n is not None else 9
+                score = bonus + (4 if name is not None and called is not None and called.startswith(name.split(" ")[0]) else 0) + {0: 3, 1: 1}.get(gap, 0)
+                if k not in want or (-score, b) < (-want[k][0], want[k][1]):
+                    want[k] = (score, b)
+    assert got == want
