@@ -32,6 +32,8 @@ BLOCK = 128
 BLOCKS = "shard int, term string, first long, last long, n int, most double, ids binary, tf binary, len binary"
 #: Scores are rounded to six places, so a bound must be lower by more than that to be passed over.
 ROUNDING = 1e-6
+#: So many places of words in ranges are looked at together.
+AT_ONCE = 200_000
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -40,6 +42,11 @@ def pack(values: np.ndarray) -> bytes:
     return bytes([width]) + values.astype(f"<u{width}").tobytes()
 
 
+def pack_one(value: int) -> bytes:
+    width = next(w for w in (1, 2, 4, 8) if w == 8 or value < 1 << (8 * w))
+    return bytes([width]) + value.to_bytes(width, "little")
+
+
 def unpack(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
 
@@ -80,14 +87,15 @@ def build(index: Index, shard_docs: int = 50_000, params: Bm25 = Bm25()) -> Bloc
         def close(last: bool):
             """Whole blocks of the term so far; the rest waits for more rows of it."""
             nonlocal held
-            ids, tf, size = (np.concatenate([h[i] for h in held]) for i in range(3))
+            ids, tf, size, weight = held[0] if len(held) == 1 else (np.concatenate([h[i] for h in held]) for i in range(4))
             stop = len(ids) if last else len(ids) // BLOCK * BLOCK
             out = []
             for x in range(0, stop, BLOCK):
-                i, t, n = ids[x : min(x + BLOCK, stop)], tf[x : min(x + BLOCK, stop)], size[x : min(x + BLOCK, stop)]
-                weight = t * (k1 + 1) / (t + k1 * (1 - b + b * n / avgdl))
-                out.append((key[1], key[0], int(i[0]), int(i[-1]), len(i), float(weight.max()), pack(np.diff(i, prepend=i[0])), pack(t), pack(n)))
-            held = [(ids[stop:], tf[stop:], size[stop:])]
+                i, t, n, w = (c[x : min(x + BLOCK, stop)] for c in (ids, tf, size, weight))
+                # most words have one document, for which arrays take long
+                first, last_id, packed = int(i[0]), int(i[-1]), (b"\x01\x00", pack_one(int(t[0])), pack_one(int(n[0]))) if len(i) == 1 else (pack(np.diff(i, prepend=i[0])), pack(t), pack(n))
+                out.append((key[1], key[0], first, last_id, len(i), float(w.max() if len(i) > 1 else w[0]), *packed))
+            held = [(ids[stop:], tf[stop:], size[stop:], weight[stop:])]
             return out
 
         done: list[tuple] = []
@@ -98,12 +106,16 @@ def build(index: Index, shard_docs: int = 50_000, params: Bm25 = Bm25()) -> Bloc
             done.clear()
             return rows
 
+        now, columns = None, ()
         for batch, x, y, same in grouped(batches, 0, 1):
+            if batch is not now:
+                ids, tf, size = (np.asarray(batch.column(c)) for c in (2, 3, 4))
+                now, columns = batch, (ids, tf, size, tf * (k1 + 1) / (tf + k1 * (1 - b + b * size / avgdl)))
             if not same:
                 if held:
                     done += close(True)
                 held, key = [], (batch.column(0)[x].as_py(), batch.column(1)[x].as_py())
-            held.append(tuple(np.asarray(batch.column(c).slice(x, y - x)) for c in (2, 3, 4)))
+            held.append(tuple(c[x:y] for c in columns))
             if sum(len(h[0]) for h in held) > 64 * BLOCK:
                 done += close(False)
             if len(done) >= 4096:
@@ -146,44 +158,90 @@ def _best(asked: list[tuple[_Words, float]], k: int, avgdl: float, p: Bm25) -> t
         np.add.at(change, np.searchsorted(borders, np.array(w.last) + 1), np.negative(w.most))
         bound += idf * np.cumsum(change)[:-1]
     best: list[tuple[float, int]] = []
-    needed: set[tuple[int, int]] = set()
+    offset = np.cumsum([0, *(len(w.first) for w, _ in asked)])
+    needed = np.zeros(offset[-1], bool)
     stops = np.append(borders[1:], borders[-1])
-    for r in np.argsort(-bound, kind="stable"):
-        if bound[r] <= 1e-9 or (len(best) == k and bound[r] < best[0][0] - ROUNDING):
-            break
-        low, high = int(borders[r]), int(stops[r])
-        covering = []
-        for n, (w, idf) in enumerate(asked):
-            at = int(np.searchsorted(w.last, low))
-            if at < len(w.first) and w.first[at] < high:
-                covering.append((idf * w.most[at], n, at))
-        # words that cannot reach the k-th score together only add to documents that another word brings
-        floor = best[0][0] - ROUNDING if len(best) == k else -1.0
-        covering.sort()
-        together, few = 0.0, 0
-        while few < len(covering) and together + covering[few][0] < floor:
-            together += covering[few][0]
-            few += 1
-        ids, weights = [], []
-        for most, n, at in covering[few:] + covering[:few]:
-            if len(ids) == len(covering) - few and not any(len(x) for x in ids):
-                break
-            w, idf = asked[n]
-            needed.add((n, at))
-            i, x = w.weights(at, avgdl, p)
-            a, b = np.searchsorted(i, [low, high])
-            ids.append(i[a:b])
-            weights.append(idf * x[a:b])
-        if not any(len(x) for x in ids):
-            continue
-        docs, place = np.unique(np.concatenate(ids), return_inverse=True)
-        scores = np.round(np.bincount(place, weights=np.concatenate(weights), minlength=len(docs)), 6)
-        for score, i in zip(scores.tolist(), docs.tolist()):
-            if len(best) < k:
-                heapq.heappush(best, (score, -i))
-            elif (score, -i) > best[0]:
-                heapq.heapreplace(best, (score, -i))
-    return [(s, -i) for s, i in best], len(needed)
+    order = np.argsort(-bound, kind="stable")
+    floor = lambda: best[0][0] - ROUNDING if len(best) == k else -1.0
+    over = lambda r: bound[r] <= 1e-9 or (len(best) == k and bound[r] < floor())
+    # ranges are scored many at a time and then taken one by one, as if each had been read when its turn came
+    start, size, most = 0, 8, max(8, AT_ONCE // len(asked))
+    while start < len(order) and not over(order[start]):
+        ranges = np.array([r for r in order[start : start + size] if not over(r)])
+        start, size = start + size, min(size * 2, most)
+        run = _Ranges(asked, borders, stops, ranges, floor(), avgdl, p)
+        low = best[0][0] if len(best) == k else -np.inf
+        found = run.scored(low)
+        for j, r in enumerate(ranges):
+            if over(r):
+                return [(s, -i) for s, i in best], int(needed.sum())
+            # words that cannot reach the k-th score together only add to documents that another word brings
+            few = np.count_nonzero(run.together[:, j] < floor())
+            words = run.rank[few : run.covering[j], j]
+            some = run.counts[words, j].any()
+            words = run.rank[: run.covering[j], j] if some else words
+            needed[offset[words] + run.at[words, j]] = True
+            for score, i in found.get(j, ()) if some else ():
+                if len(best) < k:
+                    heapq.heappush(best, (score, -i))
+                elif (score, -i) > best[0]:
+                    heapq.heapreplace(best, (score, -i))
+    return [(s, -i) for s, i in best], int(needed.sum())
+
+
+class _Ranges:
+    """Some ranges of ids: each word's block ``at`` each range, the words' ``rank`` by falling need, and what these blocks hold.
+
+    Words are ranked by the most they can bring, smallest first; ``together`` is what
+    the words up to a rank can bring, ``covering`` how many words have a block there.
+    Blocks are read of words that can reach ``floor``, of the others where such a word
+    has a document.
+    """
+
+    def __init__(self, asked: list[tuple[_Words, float]], borders: np.ndarray, stops: np.ndarray, ranges: np.ndarray, floor: float, avgdl: float, p: Bm25):
+        self.asked, self.borders, self.avgdl, self.p = asked, borders, avgdl, p
+        low, high, n = borders[ranges], stops[ranges], len(ranges)
+        self.local = np.full(len(borders), -1)
+        self.local[ranges] = np.arange(n)
+        self.at = np.empty((len(asked), n), np.int64)
+        share = np.full((len(asked), n), np.inf)
+        for w, (word, idf) in enumerate(asked):
+            at = np.searchsorted(word.last, low)
+            self.at[w] = np.minimum(at, len(word.first) - 1)
+            there = (at < len(word.first)) & (np.array(word.first)[self.at[w]] < high)
+            share[w, there] = idf * np.array(word.most)[self.at[w, there]]
+        self.covering = np.isfinite(share).sum(axis=0)
+        self.rank = np.argsort(share, axis=0, kind="stable")
+        self.together = np.cumsum(np.take_along_axis(share, self.rank, axis=0), axis=0)
+        able = np.argsort(self.rank, axis=0) >= (self.together < floor).sum(axis=0)
+        self.counts = np.zeros(share.shape, np.int64)
+        self.ids, self.weights = [], []
+        self._read(np.isfinite(share) & able)
+        self._read(np.isfinite(share) & ~able & self.counts.any(axis=0))
+
+    def _read(self, wanted: np.ndarray) -> None:
+        for w in np.flatnonzero(wanted.any(axis=1)):
+            word, idf = self.asked[w]
+            blocks = [word.weights(int(x), self.avgdl, self.p) for x in np.unique(self.at[w, wanted[w]])]
+            ids, weights = (np.concatenate([x[i] for x in blocks]) for i in range(2))
+            j = self._range(ids)
+            keep = (j >= 0) & wanted[w, j]
+            self.counts[w] += np.bincount(j[keep], minlength=wanted.shape[1])
+            self.ids.append(ids[keep])
+            self.weights.append(idf * weights[keep])
+
+    def _range(self, ids: np.ndarray) -> np.ndarray:
+        return self.local[np.searchsorted(self.borders, ids, "right") - 1]
+
+    def scored(self, low: float) -> dict[int, list[tuple[float, int]]]:
+        """(score, id) of the documents with at least the score ``low``, by range."""
+        docs, place = np.unique(np.concatenate([*self.ids, np.zeros(0, np.int64)]), return_inverse=True)
+        scores = np.round(np.bincount(place, weights=np.concatenate([*self.weights, np.zeros(0)]), minlength=len(docs)), 6)
+        keep = scores >= low
+        out: dict[int, list[tuple[float, int]]] = {}
+        for j, score, i in zip(self._range(docs[keep]).tolist(), scores[keep].tolist(), docs[keep].tolist()):
+            out.setdefault(j, []).append((score, i))
+        return out
 
 
 def search(index: BlockIndex, queries: DataFrame, k: int, synonyms: dict[str, list[str]] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -206,8 +264,8 @@ def search(index: BlockIndex, queries: DataFrame, k: int, synonyms: dict[str, li
         for r in weighed:
             asked.setdefault(r.query_id, []).append((r.term, r.idf))
         words = spark.createDataFrame(sorted({(r.term,) for r in weighed}), "term string")
-        # at most FEW_WORDS short rows
-        blocks = index.blocks.join(F.broadcast(words), "term", "left_semi").repartition("shard").sortWithinPartitions("shard", "term", "first")
+        # at most FEW_WORDS short rows; shards are small but take long, so they are not put together
+        blocks = index.blocks.join(F.broadcast(words), "term", "left_semi").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard").sortWithinPartitions("shard", "term", "first")
         found = blocks.select("shard", "term", "first", "last", "most", "ids", "tf", "len").mapInArrow(_search_shards(asked, k, avgdl, p, to_arrow_type(queries.schema["query_id"].dataType)), f"query_id {kind}, id long, score double, blocks long, needed long")
         out = found if out is None else out.unionByName(found)
     out = settle(out, "found")

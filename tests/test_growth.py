@@ -3,10 +3,11 @@
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from talusgrid.operators import lexical, matching
+from talusgrid.operators import blockmax, lexical, matching
 from talusgrid.plans import registry
 from talusgrid.plans.base import tokens_sql
 from talusgrid.plans.retrieval import bm25_sql
@@ -106,3 +107,26 @@ def test_an_index_is_built_without_a_shuffle_of_postings(spark, tmp_path):
     rows = lambda df: sorted(map(tuple, df.select("query_id", "rank", "id", "score").collect()))
     assert rows(found) == rows(lexical.search(docs, queries, 6, "doc_id", "text"))
     assert index.docs.where("id = 7").first().len is None
+
+
+def test_blocks_are_searched_many_ranges_at_a_time(spark, monkeypatch):
+    docs, queries = corpus(spark, 900)
+    monkeypatch.setattr(blockmax, "BLOCK", 4)
+    calls = []
+    of_range = blockmax._Ranges._read
+    monkeypatch.setattr(blockmax._Ranges, "_read", lambda self, wanted: (calls.append(wanted.shape[1]), of_range(self, wanted))[1])
+    rng = np.random.default_rng(1)
+    asked = []
+    for size in (3000, 900, 20):
+        ids, w = np.sort(rng.choice(5000, size, replace=False)), blockmax._Words()
+        for x in range(0, size, 4):
+            i = ids[x : x + 4]
+            w.first.append(int(i[0])), w.last.append(int(i[-1])), w.most.append(1.0)
+            w.raw.append((blockmax.pack(np.diff(i, prepend=i[0])), blockmax.pack(np.ones(len(i), int)), blockmax.pack(np.full(len(i), 9))))
+        asked.append((w, 1.0 / size))
+    best, needed = blockmax._best(asked, 5, 9.0, blockmax.Bm25())
+    assert len(best) == 5 and 0 < needed < sum(len(w.first) for w, _ in asked) and len(calls) < 60
+    rows = lambda df: sorted(map(tuple, df.select("query_id", "rank", "id", "score").collect()))
+    found, read = blockmax.search(blockmax.build(lexical.build_index(docs, "doc_id", "text"), 300), queries, 6)
+    assert rows(found) == rows(lexical.search(docs, queries, 6, "doc_id", "text"))
+    assert all(0 < r.needed <= r.blocks for r in read.collect())
