@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .lexical import top_per
 
 
+#: So many scores are held at a time, in a few arrays.
+SCORES = 2_000_000
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Of two arrays; null where either has norm 0.  For many vectors use :func:`neighbours`."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -20,9 +24,9 @@ def cosine(a: Column, b: Column) -> Column:
 def neighbours(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", query_block: int = 4096) -> DataFrame:
     """Top ``k`` rows of ``vectors`` for each of ``queries`` (query_id, vector): query_id, id, score, rank.
 
-    Queries are broadcast ``query_block`` at a time.  A task multiplies its Arrow
-    batches with the block's matrix and passes on no more than ``k`` rows a query
-    and batch, so little is shuffled whatever the number of vectors.  Zero and
+    Queries are broadcast ``query_block`` at a time.  A task multiplies pieces of its
+    Arrow batches, of ``SCORES`` scores, with the block's matrix and passes on ``k`` rows a query
+    and piece, ties more, so little is shuffled whatever the number of vectors.  Zero and
     null vectors have no neighbours and are none.
     """
     spark = vectors.sparkSession
@@ -41,7 +45,9 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "ve
         def run(batches, shared=shared):
             for batch in batches:
                 for held in shared.value:
-                    yield from _best(batch, held, k)
+                    step = max(1, SCORES // len(held))
+                    for start in range(0, batch.num_rows, step):
+                        yield from _best(batch.slice(start, step), held, k)
 
         found = rows.mapInArrow(run, "query_id long, id long, score double")
         out = found if out is None else out.unionByName(found)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from talusgrid.operators import blockmax, lexical, matching
+from talusgrid.operators import blockmax, lexical, matching, vector
 from talusgrid.plans import registry
 from talusgrid.plans.base import tokens_sql
 from talusgrid.plans.retrieval import bm25_sql
@@ -130,3 +130,15 @@ def test_blocks_are_searched_many_ranges_at_a_time(spark, monkeypatch):
     found, read = blockmax.search(blockmax.build(lexical.build_index(docs, "doc_id", "text"), 300), queries, 6)
     assert rows(found) == rows(lexical.search(docs, queries, 6, "doc_id", "text"))
     assert all(0 < r.needed <= r.blocks for r in read.collect())
+
+
+def test_neighbours_hold_a_bounded_number_of_scores(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(300)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    queries = vectors.where("vec_id < 40").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    told = lambda: sorted(map(tuple, vector.neighbours(vectors, queries, 5).select("query_id", "rank", "id", "score").collect()))
+    want = told()
+    most = vector.SCORES
+    monkeypatch.setattr(vector, "SCORES", 400)
+    assert most <= 2_000_000 and told() == want and len(want) == 200
