@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 #: A small list of words that carry no topic, for the synthetic corpus as well as English.
@@ -118,34 +120,42 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
-def places(text: Column, term: Column) -> Column:
-    """1-based places of all occurrences of a literal term that do not overlap."""
-    parts = F.call_function("split", text, F.concat(F.lit("\\Q"), term, F.lit("\\E")))
-    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.length(F.array_join(F.slice(parts, F.lit(1), k), "")) + (k - 1) * F.length(term) + 1)
-    return F.when((F.size(parts) > 1) & (F.length(term) > 0), F.slice(ends, F.lit(1), F.size(parts) - 1)).otherwise(F.array().cast("array<int>"))
-
-
 def excerpt(text: Column, terms: Column, most: int = 600) -> Column:
     """The window of ``most`` characters with the most term occurrences; the first such window wins.
 
     Windows start a third of their length before an occurrence; without any the
     text's beginning is shown.  Ellipses mark cut ends.
     """
-    spots = F.array_sort(F.array_distinct(F.flatten(F.transform(terms, lambda t: places(F.lower(text), t)))))
-    room = F.greatest(F.lit(1), F.length(text) - most + 1)
-
-    def best(found: Column) -> Column:
-        hits = lambda s: F.size(F.filter(found, lambda p: (p >= s) & (p < s + most)))
-        starts = F.transform(found, lambda p: F.least(room, F.greatest(F.lit(1), p - most // 3)))
-        return -F.array_max(F.transform(starts, lambda s: F.struct(hits(s).alias("n"), (-s).alias("s"))))["s"]
-
-    start = F.coalesce(F.element_at(F.transform(F.array(spots), best), 1), F.lit(1))
+    @F.arrow_udf(returnType="int")
+    def starts(body: pa.Array, wanted: pa.Array, size: pa.Array) -> pa.Array:
+        rows = (_densest(x.as_py(), w.as_py() or [], n.as_py(), most) if x.is_valid else None for x, w, n in zip(body, wanted, size))
+        return pa.array(rows, pa.int32())
+
+    # only texts that are cut go to Python
+    cut = F.length(text) > most
+    start = F.coalesce(starts(F.when(cut, F.lower(text)), terms, F.length(text)), F.lit(1))
     body = F.substr(text, start, F.lit(most))
     head = F.when(start > 1, F.lit("\u2026")).otherwise(F.lit(""))
     tail = F.when(start + most - 1 < F.length(text), F.lit("\u2026")).otherwise(F.lit(""))
     return F.when(F.length(text) <= most, text).otherwise(F.concat(head, body, tail))
 
 
+def _densest(text: str, terms: list[str | None], size: int, most: int) -> int | None:
+    """1-based start of the first window with the most places of terms, in time linear in the text; None without any."""
+    found = set()
+    for term in filter(None, terms):
+        at = text.find(term)
+        while at >= 0:
+            found.add(at + 1)
+            at = text.find(term, at + len(term))
+    if not found:
+        return None
+    spots = np.sort(np.fromiter(found, np.int64, len(found)))
+    starts = np.clip(spots - most // 3, 1, max(1, size - most + 1))
+    hits = np.searchsorted(spots, starts + most) - np.searchsorted(spots, starts)
+    return int(starts[np.argmax(hits)])
+
+
 def long_words(text: Column) -> Column:
     return F.filter(F.split(text, " "), lambda w: F.length(w) > 2)
 

@@ -1,12 +1,14 @@
 """Queries whose work grew faster than their input, or whose results differed from SQL on rare values."""
 
 import random
+import time
 
 import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from talusgrid.functions import text
 from talusgrid.operators import blockmax, lexical, matching, vector
 from talusgrid.plans import registry
 from talusgrid.plans.base import tokens_sql
@@ -142,3 +144,12 @@ def test_neighbours_hold_a_bounded_number_of_scores(spark, monkeypatch):
     most = vector.SCORES
     monkeypatch.setattr(vector, "SCORES", 400)
     assert most <= 2_000_000 and told() == want and len(want) == 200
+
+
+def test_excerpt_is_linear_in_its_occurrences(spark):
+    body = "ing " * 15_000 + "heed ing heed" + " ring" * 10_000
+    rows = [(0, body), (1, None), (2, ""), (3, "é" * 90 + "ING" + "ü" * 90), (4, "aaaa" * 30), (5, "z" * 100)]
+    began = time.monotonic()
+    got = dict(spark.createDataFrame(rows, "id int, body string").select("id", text.excerpt(F.col("body"), F.array(F.lit("ing"), F.lit("heed"), F.lit(""), F.lit("aa"), F.lit(None)), 60)).collect())
+    assert time.monotonic() - began < 30
+    assert got == {0: body[:60] + "…", 1: None, 2: "", 3: "…" + "é" * 20 + "ING" + "ü" * 37 + "…", 4: "a" * 60 + "…", 5: "z" * 60 + "…"}
