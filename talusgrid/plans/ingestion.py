@@ -52,8 +52,8 @@ def incremental_stream(t: Tables) -> DataFrame:
     for name, delivery in (("a", docs.withColumn("delivered", F.lit(1).cast("long"))), ("b", late.unionByName(old)), ("c", same)):
         delivery.select("doc_id", "source", "text", "delivered").write.parquet(f"{work}/in/{name}")
         store.follow(f"{work}/in/*", f"{work}/checkpoint").awaitTermination()
-    last = store._manifest().groupBy("source").agg(F.max("batch").alias("batch"))
-    return store.chunks().join(last, "source").select("doc_id", "source", "text", "output", "batch")
+    last = store._manifest().groupBy(F.col("source").alias("_k")).agg(F.max("batch").alias("batch"))
+    return store.chunks().join(last, F.col("source").eqNullSafe(F.col("_k"))).select("doc_id", "source", "text", "output", "batch")
 
 
 @query("""SELECT doc_id, md5(text) AS output, true AS cached FROM documents WHERE sha256(text) IN (SELECT sha256(text) FROM documents WHERE lang = 'fr')

@@ -18,8 +18,9 @@ two of the writes and run again, leaves what one whole run leaves.  ``run``
 numbers the streams that fill a store one after the other: a stream that begins
 with a new checkpoint, and so with batch 0 again, takes the next number.
 
-Sizes: fingerprints combine before they are shuffled, partitions are written
-through a rebalancing shuffle that splits large ones, nothing is collected.
+Sizes: fingerprints combine before they are shuffled; a text is shuffled once if it is
+new, once to meet its output and once to its partition, through a rebalancing shuffle
+that splits large ones; nothing is collected.
 Defined results: a null source is a source of its own; rows of a source that are
 repeated in a delivery stay repeated; an empty batch changes nothing.
 """
@@ -30,10 +31,11 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.ingest import fingerprint, memo_todo, new_entries
+from ..operators.ingest import fingerprint, new_entries
+from ..scratch import discard, settle
 
 #: A batch's number in the order of all batches: its stream's number, then its own.
 ORDER = "run int, batch long"
@@ -93,10 +95,11 @@ class ChunkStore:
 
     def changed(self, delivery: DataFrame, run: int, batch: int) -> DataFrame:
         """(source, delivered, fingerprint, n) of what the batch has to write."""
-        newest = delivery.groupBy(self.source).agg(F.max(self.delivered).alias("_newest"))
-        rows = delivery.join(newest, delivery[self.source].eqNullSafe(newest[self.source]) & (F.col(self.delivered) == F.col("_newest"))).select(delivery["*"])
-        parts = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in rows.columns if c not in (self.source, self.delivered)]
-        found = fingerprint(rows, parts, [self.source, self.delivered], F.count("*").alias("n")).withColumnRenamed(self.delivered, "delivered")
+        parts = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in delivery.columns if c not in (self.source, self.delivered)]
+        # of all deliveries, so that no text is joined to find a source's newest
+        found = fingerprint(delivery.where(F.col(self.delivered).isNotNull()), parts, [self.source, self.delivered], F.count("*").alias("n"))
+        newest = Window.partitionBy(self.source).orderBy(F.desc(self.delivered))
+        found = found.withColumn("_place", F.row_number().over(newest)).where("_place = 1").drop("_place").withColumnRenamed(self.delivered, "delivered")
         known = self._before(self._manifest(), run, batch).groupBy(F.col(self.source).alias("_k")).agg(F.max_by(F.struct("delivered", "fingerprint"), F.struct("run", "batch")).alias("_m"))
         if self.source_order is not None:
             entered = new_entries(known.select(F.col("_k").alias(self.source)), found, self.source, self.source_order, F.lit(False) if self.recent is None else self.recent)
@@ -109,21 +112,27 @@ class ChunkStore:
     def write_batch(self, delivery: DataFrame, batch: int, run: int = 0, stop_after: str | None = None) -> None:
         """One micro-batch; ``stop_after`` ("memo" or "chunks") ends it early, as a lost driver would."""
         numbered = lambda df: df.withColumn("run", F.lit(run)).withColumn("batch", F.lit(batch).cast("long"))
-        todo = self.changed(delivery, run, batch).checkpoint()
+        # with its size known, so that it can be sent to the texts
+        todo = settle(self.changed(delivery, run, batch), "changed")
         wanted = todo.select(F.col(self.source).alias("_k"), F.col("delivered").alias("_d"))
         rows = delivery.join(wanted, F.col(self.source).eqNullSafe(F.col("_k")) & (F.col(self.delivered) == F.col("_d")), "left_semi")
         chunks = self.chunked(rows)
-        known, new = memo_todo(chunks, self._before(self._memo(), run, batch).dropDuplicates(["digest"]), "text")
-        made = new.select("digest", "text").dropDuplicates(["digest"]).select("digest", self.output.alias("output"))
+        keyed = chunks.withColumn("digest", F.coalesce(F.sha2("text", 256), F.lit("")))  # a null text is one like any other
+        known = self._before(self._memo(), run, batch).select("digest", "output")
+        new = keyed.select("digest", "text").join(known.select("digest"), "digest", "left_anti")
+        made = new.dropDuplicates(["digest"]).select("digest", self.output.alias("output"))
         self._replace(numbered(made), "memo", ["run", "batch"])
         if stop_after == "memo":
             return
         own = self._memo().where((F.col("run") == run) & (F.col("batch") == batch)).select("digest", "output")
-        filled = known.unionByName(new.join(own, "digest"))
+        # one row a digest; held by digest in each task, so that texts are not sorted for it
+        outputs = known.unionByName(own).dropDuplicates(["digest"])
+        filled = keyed.join(outputs.hint("shuffle_hash"), "digest")
         self._replace(filled.hint("rebalance", self.source), "chunks", [self.source])
         if stop_after == "chunks":
             return
         self._replace(numbered(todo), "manifest", ["run", "batch"])
+        discard(todo)
 
     def _replace(self, rows: DataFrame, name: str, by: list[str]) -> None:
         """Overwrite the partitions that the rows have; all others keep their files."""

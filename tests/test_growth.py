@@ -13,7 +13,9 @@ from talusgrid.operators import blockmax, lexical, matching, segments, vector
 from talusgrid.plans import registry
 from talusgrid.plans.base import tokens_sql
 from talusgrid.plans.retrieval import bm25_sql
+from talusgrid.scratch import shared_folder
 from talusgrid.sources import files
+from talusgrid.streaming.corpus import ChunkStore
 
 
 def made_by_joins(df):
@@ -175,3 +177,18 @@ def test_a_segment_is_written_without_a_shuffle_of_postings(spark, tmp_path, mon
     everything = segments.SegmentedIndex.create(now.limit(3), "doc_id", "text", str(tmp_path / "gone"))
     everything.apply(now.limit(0), now, "doc_id", "text")
     assert rows(everything.index().stats) == [(0, 0.0)] and everything.index().terms.count() == 0
+
+
+def test_a_delivery_is_read_once_for_its_changes(spark, tmp_path):
+    shared_folder(spark)
+    schema = "doc_id long, source string, text string, delivered long"
+    spark.createDataFrame([(1, "a", "x", 1), (1, "a", "y", 2), (2, "a", None, 2), (3, None, "z", 1), (4, "b", "y", 1), (5, "b", None, 1), (6, "c", "x", None)], schema).write.parquet(str(tmp_path / "in"))
+    delivery = spark.read.schema(schema).parquet(str(tmp_path / "in"))
+    store = ChunkStore(spark, str(tmp_path / "store"), schema, lambda rows: rows.select("doc_id", "source", "text"), F.concat(F.lit("<"), F.coalesce("text", F.lit("none"))))
+    plan = store.changed(delivery, 0, 0)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Relation [" in line and "text#" in line for line in plan.splitlines()) == 1
+    assert sorted((str(r.source), r.delivered, r.n) for r in store.changed(delivery, 0, 0).collect()) == [("None", 1, 1), ("a", 2, 2), ("b", 1, 2)]
+    for n in range(2):
+        store.write_batch(delivery, n)
+        assert sorted((r.doc_id, r.source, r.text, r.output) for r in store.chunks().collect()) == [(1, "a", "y", "<y"), (2, "a", None, "<none"), (3, None, "z", "<z"), (4, "b", "y", "<y"), (5, "b", None, "<none")]
+        assert store._memo().count() == 3
