@@ -36,12 +36,23 @@ class Cells:
 def fit_centres(vectors: DataFrame, n_cells: int, vector_col: str, id_col: str, sample: int = 20_000, rounds: int = 12) -> np.ndarray:
     """Unit centres from at most ``sample`` vectors, those with the smallest hashes of their ids."""
     rows = vectors.select(F.xxhash64(id_col).alias("h"), F.col(vector_col).cast("array<double>").alias("v")).where("v is not null").orderBy("h").limit(sample)
-    v = np.array([r.v for r in rows.select("v").collect()], np.float64)
-    v = v[np.linalg.norm(v, axis=1) > 0] if len(v) else v.reshape(0, 1)
-    v /= np.linalg.norm(v, axis=1)[:, None]
+
+    def fit(batches):
+        parts = [b.column(0).flatten().to_numpy().reshape(b.num_rows, -1) for b in batches if b.num_rows]
+        centres = _centres(np.concatenate(parts), n_cells, rounds) if parts else []
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(centres)), pa.int32()), pa.array(list(centres), pa.list_(pa.float64()))], ["cell", "v"])
+
+    # the sample goes to one task, and only the centres to the driver
+    found = rows.select("v").coalesce(1).mapInArrow(fit, "cell int, v array<double>").collect()
+    return np.array([r.v for r in sorted(found)], np.float64) if found else np.zeros((0, 1))
+
+
+def _centres(v: np.ndarray, n_cells: int, rounds: int) -> np.ndarray:
+    v = v[np.linalg.norm(v, axis=1) > 0]
+    v = v / np.linalg.norm(v, axis=1)[:, None]
     centres = v[:: max(1, len(v) // n_cells)][:n_cells].copy()
     for _ in range(rounds):
-        home = np.argmax(v @ centres.T, axis=1)
+        home = np.argmax(v @ centres.T, axis=1) if len(centres) else np.zeros(0, int)
         for c in range(len(centres)):
             total = v[home == c].sum(axis=0) if (home == c).any() else centres[c]
             if (size := np.linalg.norm(total)) > 0:

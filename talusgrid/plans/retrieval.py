@@ -191,23 +191,24 @@ def knn_batch(t: Tables) -> DataFrame:
     return vector.neighbours(t.embeddings, queries, 5).select("query_id", F.col("id").alias("vec_id"), "score", "rank")
 
 
-def _celled(t: Tables, k: int, **options) -> tuple[DataFrame, DataFrame]:
+def _celled(t: Tables) -> tuple[cells.Cells, DataFrame]:
     queries = t.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    return cells.search(cells.build(t.embeddings, scratch_path(t.spark, "cells"), 32), queries, k, **options)
+    return cells.build(t.embeddings, scratch_path(t.spark, "cells"), 32), queries
 
 
 @query(f"WITH {knn_sql('SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 100 = 0', 5)} SELECT query_id, id AS vec_id, score, rank FROM vx")
 def knn_cells(t: Tables) -> DataFrame:
     """The batch through cells whose bounds make it exact."""
-    found, _ = _celled(t, 5)
+    found, _ = cells.search(*_celled(t), 5)
     return found.select("query_id", F.col("id").alias("vec_id"), "score", "rank")
 
 
 @query()
 def knn_cell_recall(t: Tables) -> DataFrame:
     """Of each query's five nearest vectors the share that its two nearest cells hold, and the cells that the exact search needs."""
-    exact, probed = _celled(t, 5)
-    near, _ = _celled(t, 5, probes=2, exact=False)
+    index, queries = _celled(t)
+    exact, probed = cells.search(index, queries, 5)
+    near, _ = cells.search(index, queries, 5, probes=2, exact=False)
     hit = exact.select("query_id", "id").join(near.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
     return hit.groupBy("query_id").agg((F.count("hit") / F.count("*")).alias("recall")).join(probed, "query_id")
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from talusgrid.functions import text
-from talusgrid.operators import blockmax, lexical, matching, segments, vector
+from talusgrid.operators import blockmax, cells, lexical, matching, segments, vector
 from talusgrid.plans import registry
 from talusgrid.plans.base import tokens_sql
 from talusgrid.plans.retrieval import bm25_sql
@@ -192,3 +192,24 @@ def test_a_delivery_is_read_once_for_its_changes(spark, tmp_path):
         store.write_batch(delivery, n)
         assert sorted((r.doc_id, r.source, r.text, r.output) for r in store.chunks().collect()) == [(1, "a", "y", "<y"), (2, "a", None, "<none"), (3, None, "z", "<z"), (4, "b", "y", "<y"), (5, "b", None, "<none")]
         assert store._memo().count() == 3
+
+
+def sent_to_driver(spark):
+    """Bytes of task results so far."""
+    sc = spark.sparkContext
+    none = lambda: sc._jvm.java.util.ArrayList()
+    stages = sc._jsc.sc().statusStore().stageList(none(), False, False, sc._gateway.new_array(sc._jvm.double, 0), none())
+    return sum(stages.apply(i).resultSize() for i in range(stages.size()))
+
+
+def test_only_centres_are_sent_to_the_driver(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=32).tolist()) for i in range(3000)] + [(3000, None), (3001, [0.0] * 32)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(6).write.parquet(str(tmp_path / "v"))
+    vectors = spark.read.parquet(str(tmp_path / "v"))
+    before = sent_to_driver(spark)
+    centres = cells.fit_centres(vectors, 8, "embedding", "vec_id")
+    assert sent_to_driver(spark) - before < 100_000
+    assert centres.shape == (8, 32) and np.allclose(np.linalg.norm(centres, axis=1), 1)
+    assert cells.fit_centres(vectors.where("vec_id >= 3000"), 8, "embedding", "vec_id").shape[0] == 0
+    assert cells.fit_centres(vectors.limit(0), 8, "embedding", "vec_id").shape == (0, 1)
