@@ -133,39 +133,48 @@ def best_match(pairs: DataFrame, left: str, score: str, right: str) -> DataFrame
 
 
 def first_keys(rows: DataFrame, by: list[str], key: str, most: int) -> DataFrame:
-    """Of each group the rows with the ``most`` smallest different keys; Spark prunes before the shuffle."""
+    """Of each group the ``most`` smallest different keys; Spark prunes before the shuffle."""
     w = Window.partitionBy(*by).orderBy(key)
-    return rows.select(*by, key).where(F.col(key).isNotNull()).withColumn("_r", F.dense_rank().over(w)).where(F.col("_r") <= most).drop("_r")
+    return rows.select(*by, key).where(F.col(key).isNotNull()).withColumn("_r", F.dense_rank().over(w)).where(F.col("_r") <= most).drop("_r").distinct()
 
 
 def best_by_points(left: DataFrame, right: DataFrame, by: str, a: str, b: str, lead: str, name: str, size: str, bonus: Column) -> DataFrame:
-    """:func:`best_match` of pairs with equal ``by`` and different keys ``a`` and ``b``, without making the pairs: a, b, score.
+    """The best of the pairs with equal ``by`` and different keys ``a`` and ``b`` of each a, without making the pairs: a, b, score.
 
+    Ties go to the smaller b; a null score is the worst.
     Four points if the right name begins with ``lead``, three for the same whole-number
     ``size`` on both sides and one for a neighbouring size, and the right row's own ``bonus``.  Rows that
     would get the same points differ in their key only, so of each class of right rows
     two keys are enough, the second for where the first is the left row itself.  A
-    left row meets its eight classes: any, same or neighbouring sizes, with and without
-    the lead.  A class that asks for less than a row has gives that row too few points,
-    never too many, and the row stands in the fuller class as well.
+    left row is of two kinds, with and without the lead, and many rows share a kind.  A kind
+    meets its four classes, any, same or neighbouring sizes, once, and passes its best two keys
+    to its rows.  A class or kind that asks for less than a row has gives that row too few
+    points, never too many, and the row stands in the fuller one as well.
     ``lead`` is one word without blanks.
     """
     word = F.split(name, " ")[0]
     classes = first_keys(right.where(F.col(by).isNotNull()).select(by, word.alias("_word"), bonus.alias("_bonus"), F.col(size).cast("long").alias("_size"), b), [by, "_word", "_bonus", "_size"], b, 2)
-    leads = left.select(by, F.col(lead).alias("_lead")).where("_lead is not null").distinct()
+    # a class or kind without a lead or a size has null there
+    either = F.explode(F.array_distinct(F.array(F.lit(None).cast("string"), F.col(lead)))).alias("_lead")
+    rows = left.where(F.col(by).isNotNull() & F.col(a).isNotNull()).select(by, a, either, F.col(size).cast("long").alias("_own"))
+    kind = [by, "_lead", "_own"]
+    kinds = rows.select(*kind).distinct()
+    leads = kinds.select(by, "_lead").where("_lead is not null").distinct()
     begun = classes.where("_word is not null").withColumn("_lead", F.explode(F.transform(F.sequence(F.lit(0), F.length("_word")), lambda n: F.substr("_word", F.lit(1), n))))
-    # a class without a lead or a size has null there
     kept = begun.join(leads, [by, "_lead"], "left_semi").drop("_word").unionByName(classes.drop("_word").withColumn("_lead", F.lit(None).cast("string")))
     sized = kept.withColumn("_size", F.explode(F.array_distinct(F.array(F.col("_size"), F.lit(None).cast("long")))))
     offered = first_keys(sized, [by, "_lead", "_bonus", "_size"], b, 2)
-    none, own = F.lit(None), F.col(size).cast("long")
+    none, own = F.lit(None), F.col("_own")
     # a null lead or size of a left row asks for the class without one, for which it gets no points
     points = lambda x, n: F.when(x.isNull(), 0).otherwise(n)
-    asked = [F.struct(x.cast("string").alias("_lead"), s.cast("long").alias("_size"), (points(x, 4) + points(s, n)).alias("_points")) for x in (none, F.col(lead)) for s, n in ((none, 0), (own, 3), (own - 1, 1), (own + 1, 1))]
-    wanted = left.where(F.col(by).isNotNull()).select(by, a, F.explode(F.array_distinct(F.array(*asked))).alias("_c")).select(by, a, "_c.*")
-    same = (F.col(f"w.{by}") == F.col(f"o.{by}")) & F.expr("w._lead <=> o._lead AND w._size <=> o._size")
-    pairs = wanted.alias("w").join(offered.alias("o"), same).where(F.col(a) != F.col(b))
-    return best_match(pairs.select(a, b, (F.col("_points") + F.col("_bonus")).alias("score")), a, "score", b)
+    asked = [F.struct(s.cast("long").alias("_size"), (points(F.col("_lead"), 4) + points(s, n)).alias("_points")) for s, n in ((none, 0), (own, 3), (own - 1, 1), (own + 1, 1))]
+    wanted = kinds.select(*kind, F.explode(F.array_distinct(F.array(*asked))).alias("_c")).select(*kind, "_c.*")
+    same = lambda c: (F.col(f"x.{by}") == F.col(f"y.{by}")) & F.expr(f"x._lead <=> y._lead AND x.{c} <=> y.{c}")
+    met = wanted.alias("x").join(offered.alias("y"), same("_size")).groupBy(*(f"x.{c}" for c in kind), b).agg(F.max(F.col("_points") + F.col("_bonus")).alias("score"))
+    best = F.desc_nulls_last("score"), b
+    two = met.withColumn("_r", F.row_number().over(Window.partitionBy(*kind).orderBy(*best))).where("_r <= 2").drop("_r")
+    pairs = rows.alias("x").join(two.alias("y"), same("_own")).where(F.col(a) != F.col(b)).select(a, b, "score")
+    return pairs.withColumn("_r", F.row_number().over(Window.partitionBy(a).orderBy(*best))).where("_r = 1").drop("_r")
 
 
 def contained_titles(queries: DataFrame, titles: DataFrame, query_key: str, query: str, title: str) -> DataFrame:

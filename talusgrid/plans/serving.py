@@ -101,10 +101,10 @@ def citation_match(t: Tables) -> DataFrame:
 
 
 @query("""WITH s AS (SELECT a.p_partkey AS a, b.p_partkey AS b, (b.p_type = 'SMALL')::INT * 3 + CASE WHEN starts_with(b.p_name, split_part(a.p_name, ' ', 1)) THEN 4 ELSE 0 END + CASE WHEN a.p_size = b.p_size THEN 3 WHEN abs(a.p_size - b.p_size) <= 1 THEN 1 ELSE 0 END AS score
-  FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey % 100 = 0 AND b.p_partkey <> a.p_partkey),
+  FROM part a JOIN part b ON a.p_brand = b.p_brand AND b.p_partkey <> a.p_partkey),
 r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS k FROM s) SELECT a, b, score::INT AS score FROM r WHERE k = 1""")
 def additive_match(t: Tables) -> DataFrame:
-    a = t.part.where("p_partkey % 100 = 0").select("p_brand", F.col("p_partkey").alias("a"), F.split("p_name", " ")[0].alias("lead"), "p_size")
+    a = t.part.select("p_brand", F.col("p_partkey").alias("a"), F.split("p_name", " ")[0].alias("lead"), "p_size")
     b = t.part.select("p_brand", F.col("p_partkey").alias("b"), "p_name", "p_type", "p_size")
     return matching.best_by_points(a, b, "p_brand", "a", "b", "lead", "p_name", "p_size", (F.col("p_type") == "SMALL").cast("int") * 3)
 

@@ -73,6 +73,30 @@ def test_best_by_points_is_the_best_pair(spark, seed):
     assert got == want
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_additive_match_answers_for_every_part(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    pick = lambda *x: rng.choice(x)
+    rows = [(pick(i, i, i % 9, None), pick("red ring", "red", "re bolt", "", " x", "blue plate", None), pick("A", "A", "B", None), pick("SMALL", "LARGE", None), pick(1, 2, 3, 7, None)) for i in range(1, 90)]
+    rows += [(201, "red ring", "null types", None, 1), (202, "red bolt", "null types", None, 1), (203, "hot ring", "null types", None, 1), (301, "red ring", "alone", "SMALL", 1)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    got = sorted(tuple(r) for r in registry.queries()["additive_match"](spark, str(tmp_path)).collect())
+    keys = {(k, brand) for k, _, brand, _, _ in rows if k is not None and brand is not None}
+    assert [a for a, _, _ in got] == sorted({k for k, brand in keys if any(brand == other and k != b for b, other in keys)})
+    assert got[-3:] == [(201, 202, None), (202, 201, None), (203, 201, None)]
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    assert got == sorted(duck.execute(registry.oracle_sql()["additive_match"]).fetchall())
+
+
+def test_additive_match_finds_the_best_once_for_parts_of_a_kind(spark, tmp_path):
+    rows = [(i, f"{'red blue hot'.split()[i % 3]} ring", f"Brand#{i % 2}", "SMALL" if i % 7 == 0 else "LARGE", i % 5) for i in range(3000)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    found = registry.queries()["additive_match"](spark, str(tmp_path))
+    assert len(found.collect()) == len(rows)
+    assert made_by_joins(found) < 5 * len(rows)
+
+
 def corpus(spark, n=400, key=lambda i: i):
     rng = random.Random(9)
     texts = [" ".join(rng.choices("the of in red blue nation heed ing ring bolt it's on-off x ßtraße".split(), k=rng.randrange(30))) for _ in range(n // 2)]
